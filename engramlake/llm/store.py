@@ -145,3 +145,51 @@ def key_filter(docs: DataFrame, keys: DataFrame, key: str, bits_most: int = 1 <<
         return pd.Series(ok.astype(bool))
 
     return docs.where(may_hold(F.col(key)))
+
+
+KNOWN = np.uint32(1 << 31)
+
+
+def sightings(parts: int, key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Where each ``key`` (uint64) was seen, pre-aggregated: one row a key, however often this batch holds it.
+
+    Keys seen twice here are known to repeat; their other places need no exchange by key, and travel
+    dealt by owner, to the parts from ``parts`` on. (owner, place) pairs are distinct.
+    """
+    if not len(key):
+        return
+    order = np.argsort(key, kind="stable")
+    key, owner, place = key[order], owner[order], place[order].astype(np.uint32)
+    first = np.r_[True, key[1:] != key[:-1]]
+    again = np.r_[~first[1:], False]
+    yield from packed(parts, key[first], owner[first], np.where(again[first], place[first] | KNOWN, place[first]))
+    if not first.all():
+        dealt = (owner[~first].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(1)
+        for b in packed(parts, dealt, owner[~first], place[~first]):
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy() + parts), b.column(1)], b.schema.names)
+
+
+def repeated_places(parts: int) -> Callable:
+    """Of ``sightings``: rows (owner, places as uint32s) of every key that was seen in two places."""
+
+    def run(batches):
+        here, sure = [], []
+        for b in batches:
+            part = b.column("part").to_numpy()
+            for rows, mask in ((here, part < parts), (sure, part >= parts)):
+                if mask.any():
+                    rows.append(b.filter(pa.array(mask)))
+        key, owner, place = unpacked(here, np.uint64, np.int64, np.uint32)
+        _, o, p = unpacked(sure, np.uint64, np.int64, np.uint32)
+        if len(key):
+            order = np.argsort(key, kind="stable")
+            key, owner, place = key[order], owner[order], place[order]
+            known, place = (place & KNOWN) > 0, place & ~KNOWN
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            low, high = np.minimum.reduceat, np.maximum.reduceat
+            twice = (low(owner, starts) != high(owner, starts)) | (low(place, starts) != high(place, starts)) | high(known, starts)
+            mask = np.repeat(twice, np.diff(np.r_[starts, len(key)]))
+            o, p = np.r_[owner[mask], o], np.r_[place[mask], p]
+        yield from listed(o, p, ("owner", "places"))
+
+    return run
