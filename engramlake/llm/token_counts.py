@@ -11,6 +11,7 @@ import json
 import uuid
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,26 +43,32 @@ class TokenLengths:
         self.added = regex.compile("|".join(map(regex.escape, sorted(plain, key=len, reverse=True)))) if plain else None
         self.frequent, self.cache = frequent, {}
 
-    def _miss(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_SIZE:
+    def lengths(self, pieces: list[list[str]]) -> list[int]:
+        """Tokens of each list of pre-tokens; those in neither tier are encoded together."""
+        words = set().union(*pieces).difference(self.frequent)
+        missing = words.difference(self.cache)
+        if len(self.cache) + len(missing) > CACHE_SIZE:
             self.cache.clear()
-        todo = list(words)
+            missing = words
+        todo = list(missing)
         for word, found in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True):
             self.cache[word] = len(found.ids)
-
-    def _piece(self, text: str) -> int:
-        words = self.find(text)
-        if missing := set(words).difference(self.frequent).difference(self.cache):
-            self._miss(missing)
         frequent, cache = self.frequent, self.cache
-        return sum([frequent[w] if w in frequent else cache[w] for w in words])
+        return [sum([frequent[w] if w in frequent else cache[w] for w in piece]) for piece in pieces]
 
-    def count(self, text: str) -> int:
+    def counts(self, texts: list[str], step: int = 64) -> list[int]:
         if not self.split:
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if self.added is None or not self.added.search(text):
-            return self._piece(text)
-        return sum(map(self._piece, self.added.split(text))) + len(self.added.findall(text))
+            return [len(x.ids) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        out: list[int] = []
+        for a in range(0, len(texts), step):
+            some, more = texts[a : a + step], [0] * len(texts[a : a + step])
+            pieces = [self.find(t) for t in some]
+            if self.added is not None:
+                for i, t in enumerate(some):
+                    if n := len(self.added.findall(t)):
+                        pieces[i], more[i] = [w for part in self.added.split(t) for w in self.find(part)], n
+            out += [n + m for n, m in zip(self.lengths(pieces), more, strict=True)]
+        return out
 
 
 def frequent_lengths(docs: DataFrame, text: str, tokenizer_json: str, sample_docs: int = SAMPLE_DOCS, table_size: int = TABLE_SIZE) -> dict[str, int]:
@@ -84,7 +91,8 @@ def frequent_lengths(docs: DataFrame, text: str, tokenizer_json: str, sample_doc
     rows = docs.sample(min(1.0, sample_docs / max(n, 1)), seed=17).select(F.coalesce(text, F.lit("")).alias("text"))
     top = rows.mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size).collect()
     counts = TokenLengths(tokenizer_json, {})
-    return {r.word: counts._piece(r.word) for r in top} if counts.split else {}
+    words = [r.word for r in top]
+    return dict(zip(words, counts.lengths([[w] for w in words]), strict=True)) if counts.split else {}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit: int = 1024) -> DataFrame:
@@ -105,7 +113,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
         if key not in _workers:
             _workers.clear()
             _workers[key] = TokenLengths(*table.value)
-        return texts.map(_workers[key].count)
+        return pd.Series(_workers[key].counts(texts.tolist()), dtype="int64")
 
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({"n_bytes": F.octet_length(whole).cast("bigint"), "n_tokens": n_tokens(whole)})
