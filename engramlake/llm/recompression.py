@@ -170,7 +170,7 @@ def window_entries(window: int, parts: int):
             found = []
             for a, b, _, _, _, word, own, one, two in _words(batch, window):
                 starts, _, place = representatives(word, own, window, one)
-                wanted = [np.frombuffer(b"".join(x.as_py() for x in places[i].values), np.uint32).astype(np.int64) + own[i - a] for i in range(a, b)]
+                wanted = [np.frombuffer(places[i].as_py(), np.uint32).astype(np.int64) + own[i - a] for i in range(a, b)]
                 starts = starts[np.isin(place, np.concatenate(wanted))]
                 doc = np.searchsorted(own, starts, "right") - 1
                 found.append((one[starts], (two[starts] >> U(32)).astype(np.uint32), ids[a:b][doc], keys[a:b][doc], (starts - own[doc]).astype(np.uint32)))
@@ -183,22 +183,16 @@ def window_entries(window: int, parts: int):
             again = ~head
             again[1:] &= (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
             yield from S.packed(parts, one[head], two[head], lead[head], owner[head], place[head])
-            for x in S.packed(parts, owner[again].view(U) * U(K.BASE), owner[again], place[again]):
-                yield pa.RecordBatch.from_arrays([pa.array(x.column(0).to_numpy() + parts), x.column(1)], x.schema.names)
+            yield from S.aside(parts, S.owned(parts, owner[again], place[again]))
 
     return run
 
 
 def later_windows(parts: int):
-    """Rows (owner, places) of windows that aren't the earliest of their kind."""
+    """For ``per_owner`` the places of windows that aren't the earliest of their kind."""
 
     def run(batches):
-        here, sure = [], []
-        for b in batches:
-            part = b.column("part").to_numpy()
-            for rows, mask in ((here, part < parts), (sure, part >= parts)):
-                if mask.any():
-                    rows.append(b.filter(pa.array(mask)))
+        here, sure = S.both_kinds(parts, batches)
         one, two, lead, owner, place = S.unpacked(here, U, np.uint32, np.int64, np.int64, np.uint32)
         _, o, p = S.unpacked(sure, U, np.int64, np.uint32)
         if len(one):
@@ -208,7 +202,7 @@ def later_windows(parts: int):
             size = np.diff(np.r_[head, len(one)])
             later = (owner != np.repeat(owner[head], size)) | (place != np.repeat(place[head], size))
             o, p = np.r_[o, owner[later]], np.r_[p, place[later]]
-        yield from S.listed(o, p, ("owner", "places"))
+        yield from S.owned(parts, o, p)
 
     return run
 
@@ -224,7 +218,7 @@ def _kept(window: int):
                 words = text.as_buffer().to_pybytes().split()
                 n, kept = len(words), words
                 if cut:
-                    at = np.frombuffer(b"".join(x.as_py() for x in batch.column("places")[i].values), np.uint32).astype(np.int64)
+                    at = np.frombuffer(batch.column("places")[i].as_py(), np.uint32).astype(np.int64)
                     edge = np.zeros(n + 1, np.int32)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
@@ -259,12 +253,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
     long_ = F.octet_length("text") >= 2 * window - 1
     lead = base.where(F.col("n_words") >= window).groupBy("tkey").agg(F.min("id").alias("lead"))
     seen = S.exchanged(rows.where(long_).select("tkey", "text").mapInArrow(symbol_sightings(window, parts), S.PACKED), parts)
-    places = S.written(seen.mapInArrow(S.repeated_places(parts), "owner bigint, places binary").groupBy("owner").agg(F.collect_list("places").alias("places")))
+    places = S.written(S.per_owner(seen.mapInArrow(S.repeated_places(parts), S.PACKED), parts, np.uint32, ("owner", "places")))
     some = S.key_filter(rows.where(long_), places.select(F.col("owner").alias("tkey")), "tkey")
     wanted = places.join(lead, places.owner == lead.tkey).select("owner", "lead", "places")
     found = S.written(some.join(wanted, (F.col("tkey") == F.col("owner")) & F.col("id").eqNullSafe(F.col("lead"))).select("tkey", "lead", "text", "places"))
     entries = S.exchanged(found.mapInArrow(window_entries(window, parts), S.PACKED), parts)
-    later = S.written(entries.mapInArrow(later_windows(parts), "owner bigint, places binary").groupBy("owner").agg(F.collect_list("places").alias("places")))
+    later = S.written(S.per_owner(entries.mapInArrow(later_windows(parts), S.PACKED), parts, np.uint32, ("owner", "places")))
     texts = found.select("tkey", "text").join(later, F.col("tkey") == F.col("owner")).select("tkey", "text", "places").dropDuplicates(["tkey"])
     cut = texts.mapInArrow(_kept(window), "tkey bigint, n_words bigint, n_removed bigint, sha256 string, kept string")
     cut = S.written(cut.select("tkey", "n_removed", F.col("sha256").alias("kept_sha256"), *(["kept"] if with_text else [])))

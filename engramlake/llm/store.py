@@ -105,8 +105,19 @@ def listed(keys: np.ndarray, values: np.ndarray, names: tuple[str, str]) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(keys[starts[a:b]].view(np.int64)), own], list(names))
 
 
-def by_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def owned(parts: int, owner: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Values on their way to their owner (int64): packed by its hash."""
+    yield from packed(parts, owner.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), owner, value)
+
+
+def per_owner(rows: DataFrame, parts: int, dtype: type, names: tuple[str, str]) -> DataFrame:
+    """One row (owner, binary of all its values) of what ``owned`` sent."""
+
+    def run(batches):
+        _, owner, value = unpacked(batches, np.uint64, np.int64, dtype)
+        yield from listed(owner, value, names)
+
+    return exchanged(rows, parts).mapInArrow(run, f"{names[0]} bigint, {names[1]} binary")
 
 
 def key_filter(docs: DataFrame, keys: DataFrame, key: str, bits_most: int = 1 << 27) -> DataFrame:
@@ -150,6 +161,23 @@ def key_filter(docs: DataFrame, keys: DataFrame, key: str, bits_most: int = 1 <<
 KNOWN = np.uint32(1 << 31)
 
 
+def aside(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows under part numbers from ``parts`` on: they share an exchange with others."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy() + parts), b.column(1)], b.schema.names)
+
+
+def both_kinds(parts: int, batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
+    """Rows below part number ``parts``, and those sent ``aside``."""
+    here, sure = [], []
+    for b in batches:
+        part = b.column("part").to_numpy()
+        for rows, mask in ((here, part < parts), (sure, part >= parts)):
+            if mask.any():
+                rows.append(b.filter(pa.array(mask)))
+    return here, sure
+
+
 def sightings(parts: int, key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Where each ``key`` (uint64) was seen, pre-aggregated: one row a key, however often this batch holds it.
 
@@ -164,21 +192,14 @@ def sightings(parts: int, key: np.ndarray, owner: np.ndarray, place: np.ndarray)
     again = np.r_[~first[1:], False]
     yield from packed(parts, key[first], owner[first], np.where(again[first], place[first] | KNOWN, place[first]))
     if not first.all():
-        dealt = (owner[~first].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(1)
-        for b in packed(parts, dealt, owner[~first], place[~first]):
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy() + parts), b.column(1)], b.schema.names)
+        yield from aside(parts, owned(parts, owner[~first], place[~first]))
 
 
 def repeated_places(parts: int) -> Callable:
-    """Of ``sightings``: rows (owner, places as uint32s) of every key that was seen in two places."""
+    """Of ``sightings``: for ``per_owner`` the places (uint32) of every key that was seen in two places."""
 
     def run(batches):
-        here, sure = [], []
-        for b in batches:
-            part = b.column("part").to_numpy()
-            for rows, mask in ((here, part < parts), (sure, part >= parts)):
-                if mask.any():
-                    rows.append(b.filter(pa.array(mask)))
+        here, sure = both_kinds(parts, batches)
         key, owner, place = unpacked(here, np.uint64, np.int64, np.uint32)
         _, o, p = unpacked(sure, np.uint64, np.int64, np.uint32)
         if len(key):
@@ -190,6 +211,6 @@ def repeated_places(parts: int) -> Callable:
             twice = (low(owner, starts) != high(owner, starts)) | (low(place, starts) != high(place, starts)) | high(known, starts)
             mask = np.repeat(twice, np.diff(np.r_[starts, len(key)]))
             o, p = np.r_[owner[mask], o], np.r_[place[mask], p]
-        yield from listed(o, p, ("owner", "places"))
+        yield from owned(parts, o, p)
 
     return run

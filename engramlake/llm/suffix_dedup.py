@@ -102,7 +102,7 @@ def contexts(length: int, parts: int):
             for a, b, data, offsets in K.chunks(batch.column("text")):
                 at, gram, first, windows = anchors(data, offsets, length)
                 doc = np.searchsorted(offsets, at, "right") - 1
-                wanted = [np.frombuffer(b"".join(x.as_py() for x in places[i].values), np.uint32).astype(np.int64) + offsets[i - a] for i in range(a, b)]
+                wanted = [np.frombuffer(places[i].as_py(), np.uint32).astype(np.int64) + offsets[i - a] for i in range(a, b)]
                 keep = np.isin(at, np.concatenate(wanted))
                 at, gram, first, windows, doc = (x[keep] for x in (at, gram, first, windows, doc))
                 if not len(at):
@@ -125,9 +125,8 @@ def contexts(length: int, parts: int):
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(payloads, pa.binary())], ["part", "payload"])
                 if twin.any():
                     rest = order[twin]
-                    dealt = owner[rest].view(U) * U(K.BASE)
-                    for x in S.packed(parts, dealt, owner[rest], place[rest].astype(np.uint32), windows[rest].astype(np.uint32)):
-                        yield pa.RecordBatch.from_arrays([pa.array(x.column(0).to_numpy() + parts), x.column(1)], x.schema.names)
+                    pairs = np.stack([place[rest], windows[rest]], 1).astype(np.uint32).view(U).reshape(-1)
+                    yield from S.aside(parts, S.owned(parts, owner[rest], pairs))
 
     return run
 
@@ -212,7 +211,7 @@ def twins(data: np.ndarray, start: np.ndarray, bucket: np.ndarray, depth: int) -
 
 
 def twin_windows(length: int, parts: int):
-    """Of ``contexts``: rows (owner, runs of window starts (first, number) as uint32 pairs) that have a twin."""
+    """Of ``contexts``: for ``per_owner`` the runs of window starts (first, number, as a uint32 pair) that have a twin."""
 
     def run(batches):
         here, sure = [], []
@@ -231,7 +230,7 @@ def twin_windows(length: int, parts: int):
         for view in sure:
             n = int(np.frombuffer(view, np.int64, 1)[0])
             out_owner.append(np.frombuffer(view, np.int64, n, 8 + 8 * n))
-            out_run.append(np.frombuffer(view, np.uint32, 2 * n, 8 + 16 * n).reshape(2, n).T)
+            out_run.append(np.frombuffer(view, np.uint32, 2 * n, 8 + 16 * n).reshape(n, 2))
         if columns[0]:
             gram, owner, first, windows, before, known = (np.concatenate(c) for c in columns)
             windows, before = windows.astype(np.int64), before.astype(np.int64)
@@ -285,7 +284,7 @@ def twin_windows(length: int, parts: int):
                     out_run.append(np.stack([pos, np.ones(len(pos), np.uint32)], 1))
         if out_owner:
             pairs = np.ascontiguousarray(np.concatenate(out_run).astype(np.uint32)).view(np.uint64).reshape(-1)
-            yield from S.listed(np.concatenate(out_owner), pairs, ("owner", "runs"))
+            yield from S.owned(parts, np.concatenate(out_owner), pairs)
 
     return run
 
@@ -307,7 +306,7 @@ def _removed(length: int):
             rows = []
             for key, text, runs in zip(batch.column("tkey").to_pylist(), batch.column("text"), batch.column("runs"), strict=True):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                pairs = np.frombuffer(b"".join(x.as_py() for x in runs.values), np.uint32).reshape(-1, 2)
+                pairs = np.frombuffer(runs.as_py(), np.uint32).reshape(-1, 2)
                 s, e = covered(pairs, length, len(data))
                 kept = b"".join(data[x:y] for x, y in zip(np.r_[0, e], np.r_[s, len(data)], strict=True))
                 rows.append((key, int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
@@ -335,13 +334,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_column: str = "doc_id"
     long_ = F.col("n_bytes") >= length
     lead = base.where(long_).groupBy("tkey", "n_bytes").agg(F.min("id").alias("lead"), F.count("*").alias("copies"))
     seen = S.exchanged(rows.where(long_).select("tkey", "text").mapInArrow(anchor_sightings(length, parts), S.PACKED), parts)
-    places = S.written(seen.mapInArrow(S.repeated_places(parts), "owner bigint, places binary").groupBy("owner").agg(F.collect_list("places").alias("places")))
+    places = S.written(S.per_owner(seen.mapInArrow(S.repeated_places(parts), S.PACKED), parts, np.uint32, ("owner", "places")))
     wanted = places.join(lead, places.owner == lead.tkey).select("owner", "lead", F.col("n_bytes").alias("size"), "copies", "places")
     some = S.key_filter(rows.where(long_), places.select(F.col("owner").alias("tkey")), "tkey")
     same = (F.col("tkey") == F.col("owner")) & (F.col("n_bytes") == F.col("size")) & F.col("id").eqNullSafe(F.col("lead"))
     found = S.written(some.join(wanted, same).select("tkey", "text", "copies", "places"))
     around = S.exchanged(found.select("tkey", "text", "places").mapInArrow(contexts(length, parts), S.PACKED), parts)
-    runs = S.written(around.mapInArrow(twin_windows(length, parts), "owner bigint, runs binary").groupBy("owner").agg(F.collect_list("runs").alias("runs")))
+    runs = S.written(S.per_owner(around.mapInArrow(twin_windows(length, parts), S.PACKED), parts, np.uint64, ("owner", "runs")))
     cut = found.where("copies = 1").select("tkey", "text").join(runs, F.col("tkey") == F.col("owner")).select("tkey", "text", "runs")
     cut = cut.mapInArrow(_removed(length), "tkey bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
     cut = S.written(cut if with_text else cut.drop("kept"))
