@@ -37,6 +37,10 @@ from engramlake.llm.components import components
 U = np.uint64
 #: A subset held by more sets than this is hot.
 HOT = 24
+#: Cells of a set's sketch.
+CELLS = 256
+#: Sets of a hot signature that one task compares with as many others.
+BLOCK = 4096
 _SPACE = U(0xB5AD4ECEDA1CE2A9)
 
 
@@ -180,7 +184,10 @@ def _indexed(k: int, percent: int, parts: int):
 
 
 def _candidates(batches):
-    """Rows (kind, x, y, slack): 0 pairs of sets, 1 a hot signature and a set that holds it."""
+    """Rows (kind, x, y, slack): 0 pairs of sets, 1 a hot signature and a set that holds it.
+
+    All pairs of small groups; of hot ones each set with the group's first and with chance neighbours.
+    """
     sig, sid, slack = S.unpacked(batches, U, np.int64, np.int8)
     if not len(sig):
         return
@@ -201,7 +208,6 @@ def _candidates(batches):
     size = np.diff(np.r_[cut, len(sig)])
     pairs = []
     for gap in range(1, HOT):
-        # all pairs of small groups, gap by gap; of hot ones those with the leader
         own = (size > gap) & (size <= HOT)
         if not own.any():
             break
@@ -211,6 +217,12 @@ def _candidates(batches):
     if hot.any():
         rows = K.ranges(cut[hot] + 1, size[hot] - 1)
         pairs.append(np.unique(np.stack([np.repeat(sid[cut[hot]], size[hot] - 1), sid[rows]], 1), axis=0))
+        # and with two chance neighbours, others for each signature
+        rows = K.ranges(cut[hot], size[hot])
+        near = sid[rows[np.lexsort((K.mixed(sid[rows].view(U) ^ K.mixed(sig[rows])), sig[rows]))]]
+        for gap in (1, 2):
+            left = K.ranges(np.cumsum(size[hot]) - size[hot], size[hot] - gap)
+            pairs.append(np.unique(np.sort(np.stack([near[left], near[left + gap]], 1), axis=1), axis=0))
     names = ["kind", "x", "y", "slack"]
     if pairs:
         p = np.unique(np.concatenate(pairs), axis=0)
@@ -225,12 +237,28 @@ def _candidates(batches):
 
 
 def _sets(k: int):
+    """Rows (set_id, size, sketch, members): the sketch counts members by CELLS hash cells."""
+
     def run(batches):
         for batch in batches:
             ids = batch.column("set_id").to_numpy()
             for a, b, h, offsets in shingle_sets(batch.column("text"), k):
-                own = [h[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(own, pa.binary())], ["set_id", "members"])
+                own = [h[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+                cells = [np.minimum(np.bincount((x >> U(7)).astype(np.int64) & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes() for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(np.diff(offsets)), pa.array(cells, pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["set_id", "size", "sketch", "members"])
+
+    return run
+
+
+def _possible(percent: int):
+    """Pairs whose cell counts alone don't already differ by more than similar sets can."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("sa", "sb"))
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            mask = pa.array((100 + percent) * np.abs(x - y).sum(1, dtype=np.int64) <= (100 - percent) * total)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     return run
 
@@ -251,6 +279,52 @@ def _verified(percent: int):
     return run
 
 
+def _across(percent: int):
+    """Of rows sorted by (sig, low, high): possible pairs (a, b) of one group, of different roots and, if low < high, blocks."""
+
+    def compared(group: pa.Table):
+        own, root, ids, size = (group.column(c).to_numpy() for c in ("own", "root", "set_id", "size"))
+        if (root == root[0]).all():
+            return
+        cells = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        mixed = own[0] != own[-1] or (own != own[0]).any()
+        for i in range(len(ids) - 1):
+            js = np.arange(i + 1, len(ids))
+            js = js[root[js] != root[i]]
+            js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+            if mixed:
+                js = js[own[js] != own[i]]
+            if len(js):
+                js = js[(100 + percent) * np.abs(cells[js] - cells[i]).sum(1, dtype=np.int64) <= (100 - percent) * (size[js] + size[i])]
+            if len(js):
+                yield np.minimum(ids[js], ids[i]), np.maximum(ids[js], ids[i])
+
+    def run(batches):
+        rest = None
+        for batch in _ended(batches):
+            table = pa.Table.from_batches([batch]) if batch is not None else None
+            if rest is not None:
+                table = pa.concat_tables([rest, table]) if table is not None else rest
+            if table is None or not len(table):
+                continue
+            key = [table.column(c).to_numpy() for c in ("sig", "low", "high")]
+            cut = np.flatnonzero(np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])])
+            ends = np.r_[cut[1:], len(table)]
+            whole = len(cut) if batch is None else len(cut) - 1
+            found = [p for s, e in zip(cut[:whole], ends[:whole], strict=True) for p in compared(table.slice(s, e - s))]
+            rest = table.slice(cut[-1]) if batch is not None else None
+            if found:
+                p = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
+
+    return run
+
+
+def _ended(batches):
+    yield from batches
+    yield None
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, n_links (other, different sets that it was found linked with) and component_id.
 
@@ -269,24 +343,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: s
     # a set is read from one row that has it
     lead = base.where("set_id != 0").groupBy("set_id").agg(F.min(F.struct("tkey", "id")).alias("lead")).select("set_id", "lead.tkey", "lead.id")
 
-    def members(pairs: DataFrame) -> DataFrame:
-        own = lead.join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id", "left_semi")
-        own = S.written(own.select("set_id", F.col("tkey").alias("k"), F.col("id").alias("i")))
+    def members(ids: DataFrame) -> DataFrame:
+        own = S.written(lead.join(ids, "set_id", "left_semi").select("set_id", F.col("tkey").alias("k"), F.col("id").alias("i")))
         some = S.key_filter(rows, own.select(F.col("k").alias("tkey")), "tkey")
         read = some.join(own, (F.col("tkey") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))).select("set_id", "text")
-        return S.written(read.mapInArrow(_sets(k), "set_id bigint, members binary").dropDuplicates(["set_id"]))
+        return S.written(read.mapInArrow(_sets(k), "set_id bigint, size bigint, sketch binary, members binary"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        if pairs.isEmpty():
-            return pairs
-        sets = members(pairs)
-        a, b = sets.select(F.col("set_id").alias("a"), F.col("members").alias("ma")), sets.select(F.col("set_id").alias("b"), F.col("members").alias("mb"))
-        out = S.written(pairs.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(_verified(percent), "a bigint, b bigint"))
-        S.dropped(sets)
-        return out
+    def verified(near: DataFrame) -> DataFrame:
+        a, b = (sets.select(F.col("set_id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
+        return S.written(near.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(_verified(percent), "a bigint, b bigint").distinct())
 
     pairs = S.written(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    links = linked(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(found.where("kind = 1").select(F.col("y").alias("set_id"))).distinct()
+    sets = members(ids)
+    a, b = (sets.select(F.col("set_id").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    near = pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= %d * greatest(na, nb)" % percent)
+    links = verified(S.written(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(percent), "a bigint, b bigint")))
     roots = S.written(components(links))
     # hot signatures: sets whose slack doesn't pay for all of theirs, across components
     hot = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("set_id"), "slack").withColumn("band", F.col("sig").bitwiseAND(63))
@@ -294,14 +366,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: s
     poor = hot.groupBy("set_id", "band").agg(F.count("*").alias("n"), F.min("slack").alias("left")).where(F.col("n") * F.get(worth, F.col("band").cast("int")) > F.col("left"))
     poor = hot.join(poor.select("set_id", "band"), ["set_id", "band"]).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     poor = S.written(poor.select("sig", "set_id", F.coalesce("root", "set_id").alias("root")))
-    split = poor.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("sig")
-    poor = poor.join(split, "sig")
-    other = poor.select("sig", F.col("set_id").alias("b"), F.col("root").alias("rb"))
-    across = poor.withColumnRenamed("set_id", "a").join(other, "sig").where("a < b AND root != rb").select("a", "b").distinct()
-    more = S.written(across.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = S.written(links.union(linked(more)))
+    # blocks of at most BLOCK sets are compared with each other, by sketches: bounded tasks, and only possible pairs leave them
+    split = poor.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low != high").select("sig", "blocks")
+    poor = poor.join(split, "sig").join(sets.select("set_id", "size", "sketch"), "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    poor = poor.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    poor = poor.select("sig", "low", "high", "own", "root", "set_id", "size", "sketch").repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+    across = S.written(poor.mapInArrow(_across(percent), "a bigint, b bigint"))
+    more = across.distinct().join(links, ["a", "b"], "left_anti")
+    if not across.isEmpty():
+        links = S.written(links.union(verified(more)))
         roots = S.written(components(links))
+    S.dropped(sets, found)
     n_links = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
     sets = base.where("set_id != 0").groupBy("set_id").agg(F.min("id").alias("least")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     named = sets.groupBy("root").agg(F.min("least").alias("component_id"))
