@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.llm import chat_format, ngram_join, recompression, suffix_dedup, token_counts
+from engramlake.llm import chat_format, ngram_join, packing, recompression, suffix_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,8 +36,13 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op6_chat_formatting, op8_substring_dedup, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op6_chat_formatting, op8_substring_dedup, op9_ngram_jaccard_join, op10_retrieval_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
