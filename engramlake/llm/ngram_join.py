@@ -22,12 +22,13 @@ Equal sets are one before anything travels. Candidates are verified by exact cou
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.llm import kernels as K
@@ -184,13 +185,25 @@ def _indexed(k: int, percent: int, parts: int):
 
 
 def _candidates(batches):
+    yield from candidates(*S.unpacked(batches, U, np.int64, np.int8))
+
+
+def candidates(sig: np.ndarray, sid: np.ndarray, slack: np.ndarray, bits: np.ndarray | None = None, unlike: int = 0):
     """Rows (kind, x, y, slack): 0 pairs of sets, 1 a hot signature and a set that holds it.
 
     All pairs of small groups; of hot ones each set with the group's first and with chance neighbours.
+    With ``bits``, only pairs that differ in at most ``unlike`` of them.
     """
-    sig, sid, slack = S.unpacked(batches, U, np.int64, np.int8)
     if not len(sig):
         return
+
+    def told(left, right):
+        x, y = sid[left], sid[right]
+        if bits is not None:
+            ok = np.bitwise_count(bits[left] ^ bits[right]) <= unlike
+            x, y = x[ok], y[ok]
+        return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+
     # most signatures are held once
     order = np.argsort(sig, kind="stable")
     sig = sig[order]
@@ -199,11 +212,11 @@ def _candidates(batches):
     shared[1:] |= same
     shared[:-1] |= same
     sig, order = sig[shared], order[shared]
-    sid, slack = sid[order], slack[order]
+    sid, slack, bits = sid[order], slack[order], bits[order] if bits is not None else None
     order = np.lexsort((sid, sig))
-    sig, sid, slack = sig[order], sid[order], slack[order]
+    sig, sid, slack, bits = sig[order], sid[order], slack[order], bits[order] if bits is not None else None
     new = np.r_[True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])] if len(sig) else np.empty(0, bool)
-    sig, sid, slack = sig[new], sid[new], slack[new]
+    sig, sid, slack, bits = sig[new], sid[new], slack[new], bits[new] if bits is not None else None
     cut = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, np.int64)
     size = np.diff(np.r_[cut, len(sig)])
     pairs = []
@@ -212,17 +225,16 @@ def _candidates(batches):
         if not own.any():
             break
         left = K.ranges(cut[own], size[own] - gap)
-        pairs.append(np.unique(np.stack([sid[left], sid[left + gap]], 1), axis=0))
+        pairs.append(told(left, left + gap))
     hot = size > HOT
     if hot.any():
-        rows = K.ranges(cut[hot] + 1, size[hot] - 1)
-        pairs.append(np.unique(np.stack([np.repeat(sid[cut[hot]], size[hot] - 1), sid[rows]], 1), axis=0))
+        pairs.append(told(np.repeat(cut[hot], size[hot] - 1), K.ranges(cut[hot] + 1, size[hot] - 1)))
         # and with two chance neighbours, others for each signature
         rows = K.ranges(cut[hot], size[hot])
-        near = sid[rows[np.lexsort((K.mixed(sid[rows].view(U) ^ K.mixed(sig[rows])), sig[rows]))]]
+        near = rows[np.lexsort((K.mixed(sid[rows].view(U) ^ K.mixed(sig[rows])), sig[rows]))]
         for gap in (1, 2):
             left = K.ranges(np.cumsum(size[hot]) - size[hot], size[hot] - gap)
-            pairs.append(np.unique(np.sort(np.stack([near[left], near[left + gap]], 1), axis=1), axis=0))
+            pairs.append(told(near[left], near[left + gap]))
     names = ["kind", "x", "y", "slack"]
     if pairs:
         p = np.unique(np.concatenate(pairs), axis=0)
@@ -325,6 +337,44 @@ def _ended(batches):
     yield None
 
 
+def linked(found: DataFrame, members: Callable, percent: int, parts: int, worth: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) and their components (node, root) of what ``candidates`` found.
+
+    ``members`` gives rows (set_id, size, sketch, members) of a table of set_ids. ``worth`` is what a hot signature costs
+    in each band; without it no set has slack.
+    """
+    pairs = S.written(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    hot = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("set_id"), "slack").withColumn("band", F.col("sig").bitwiseAND(63))
+    sets = members(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(hot.select("set_id")).distinct())
+
+    def verified(near: DataFrame) -> DataFrame:
+        a, b = (sets.select(F.col("set_id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
+        return S.written(near.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(_verified(percent), "a bigint, b bigint").distinct())
+
+    a, b = (sets.select(F.col("set_id").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    near = pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= %d * greatest(na, nb)" % percent)
+    links = verified(S.written(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(percent), "a bigint, b bigint")))
+    roots = S.written(components(links))
+    # hot signatures: sets whose slack doesn't pay for all of theirs, across components
+    poor = hot
+    if worth is not None:
+        poor = hot.groupBy("set_id", "band").agg(F.count("*").alias("n"), F.min("slack").alias("left")).where(F.col("n") * F.get(worth, F.col("band").cast("int")) > F.col("left"))
+        poor = hot.join(poor.select("set_id", "band"), ["set_id", "band"])
+    poor = poor.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    poor = S.written(poor.select("sig", "set_id", F.coalesce("root", "set_id").alias("root")))
+    # blocks of at most BLOCK sets are compared with each other, by sketches: bounded tasks, and only possible pairs leave them
+    split = poor.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low != high").select("sig", "blocks")
+    poor = poor.join(split, "sig").join(sets.select("set_id", "size", "sketch"), "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    poor = poor.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    poor = poor.select("sig", "low", "high", "own", "root", "set_id", "size", "sketch").repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+    across = S.written(poor.mapInArrow(_across(percent), "a bigint, b bigint"))
+    if not across.isEmpty():
+        links = S.written(links.union(verified(across.distinct().join(links, ["a", "b"], "left_anti"))))
+        roots = S.written(components(links))
+    S.dropped(sets)
+    return links, roots
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, n_links (other, different sets that it was found linked with) and component_id.
 
@@ -349,34 +399,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: s
         read = some.join(own, (F.col("tkey") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))).select("set_id", "text")
         return S.written(read.mapInArrow(_sets(k), "set_id bigint, size bigint, sketch binary, members binary"))
 
-    def verified(near: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("set_id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
-        return S.written(near.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(_verified(percent), "a bigint, b bigint").distinct())
-
-    pairs = S.written(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(found.where("kind = 1").select(F.col("y").alias("set_id"))).distinct()
-    sets = members(ids)
-    a, b = (sets.select(F.col("set_id").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    near = pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= %d * greatest(na, nb)" % percent)
-    links = verified(S.written(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(percent), "a bigint, b bigint")))
-    roots = S.written(components(links))
-    # hot signatures: sets whose slack doesn't pay for all of theirs, across components
-    hot = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("set_id"), "slack").withColumn("band", F.col("sig").bitwiseAND(63))
     worth = F.array(*[F.lit(2 if allocation(low, high, percent)[1] else 1) for low, high in bands(1 << 30, percent)])
-    poor = hot.groupBy("set_id", "band").agg(F.count("*").alias("n"), F.min("slack").alias("left")).where(F.col("n") * F.get(worth, F.col("band").cast("int")) > F.col("left"))
-    poor = hot.join(poor.select("set_id", "band"), ["set_id", "band"]).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    poor = S.written(poor.select("sig", "set_id", F.coalesce("root", "set_id").alias("root")))
-    # blocks of at most BLOCK sets are compared with each other, by sketches: bounded tasks, and only possible pairs leave them
-    split = poor.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low != high").select("sig", "blocks")
-    poor = poor.join(split, "sig").join(sets.select("set_id", "size", "sketch"), "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    poor = poor.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    poor = poor.select("sig", "low", "high", "own", "root", "set_id", "size", "sketch").repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
-    across = S.written(poor.mapInArrow(_across(percent), "a bigint, b bigint"))
-    more = across.distinct().join(links, ["a", "b"], "left_anti")
-    if not across.isEmpty():
-        links = S.written(links.union(verified(more)))
-        roots = S.written(components(links))
-    S.dropped(sets, found)
+    links, roots = linked(found, members, percent, parts, worth)
+    S.dropped(found)
     n_links = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
     sets = base.where("set_id != 0").groupBy("set_id").agg(F.min("id").alias("least")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     named = sets.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.llm import chat_format, ngram_join, packing, recompression, suffix_dedup, token_counts
+from engramlake.llm import chat_format, line_dedup, ngram_join, packing, recompression, suffix_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marks = "<|im_end|><|im_start|>assistant ok"
@@ -42,7 +46,7 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op6_chat_formatting, op8_substring_dedup, op9_ngram_jaccard_join, op10_retrieval_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_line_dedup, op6_chat_formatting, op8_substring_dedup, op9_ngram_jaccard_join, op10_retrieval_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
