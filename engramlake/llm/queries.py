@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.llm import chat_format, line_dedup, ngram_join, packing, recompression, suffix_dedup, token_counts
+from engramlake.llm import chat_format, decontaminate, line_dedup, ngram_join, packing, recompression, suffix_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_turns(turns.unionByName(probe)))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, _read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -46,7 +51,7 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_line_dedup, op6_chat_formatting, op8_substring_dedup, op9_ngram_jaccard_join, op10_retrieval_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_line_dedup, op6_chat_formatting, op7_benchmark_decontamination, op8_substring_dedup, op9_ngram_jaccard_join, op10_retrieval_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
