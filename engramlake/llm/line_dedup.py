@@ -27,7 +27,7 @@ UNLIKE = 16
 _chance = np.random.default_rng(20240601)
 _TIMES = _chance.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 _PLUS = _chance.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
-FOUND = "kind tinyint, x bigint, y bigint, slack tinyint, z bigint, n int"
+FOUND = "kind tinyint, x bigint, y bigint, slack tinyint, n int, z bigint"
 
 
 def lines(data: np.ndarray, offsets: np.ndarray):
@@ -114,13 +114,13 @@ def _seen(min_chars: int, parts: int):
 
 
 def _joined(parts: int):
-    """Rows of kind 0 and 1 of ``ngram_join.candidates``, 2 (line, row key, id, number) the first of equal lines, 3 (row key in y, number) lines to drop."""
+    """Rows of kinds 0 to 2 of ``ngram_join.candidates``, 3 the first of equal lines (line, row key, number, id), 4 lines to drop (row key in y, number in n)."""
     names = [x.split()[0] for x in FOUND.split(", ")]
 
     def told(kind, x, y, z, n):
         for a in range(0, len(x), 50000):
             m = len(x[a : a + 50000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), *(pa.array(c[a : a + 50000]) for c in (x, y)), pa.array(np.zeros(m, np.int8)), pa.array(z[a : a + 50000]), pa.array(n[a : a + 50000].astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), *(pa.array(c[a : a + 50000]) for c in (x, y)), pa.array(np.zeros(m, np.int8)), pa.array(n[a : a + 50000].astype(np.int32)), pa.array(z[a : a + 50000])], names)
 
     def run(batches):
         here, there = S.both_kinds(parts, batches)
@@ -128,7 +128,7 @@ def _joined(parts: int):
         del here
         for b in J.candidates(sig, sid, np.full(len(sig), -1, np.int8), bits, UNLIKE):
             m = len(b)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int32))], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(m, np.int64))], names)
         del sig, sid, bits
         name, doc, key, number, state = S.unpacked(there, U, np.int64, np.int64, np.uint32, np.uint8)
         order = np.lexsort((state, number, key, doc, name))
@@ -141,8 +141,8 @@ def _joined(parts: int):
         drop = (key != key[first]) | (number != number[first])
         new = np.r_[True, (key[1:] != key[:-1]) | (number[1:] != number[:-1]) | (name[1:] != name[:-1])]
         drop &= new
-        yield from told(2, name[head].view(np.int64), key[head], doc[head], number[head])
-        yield from told(3, name[drop].view(np.int64), key[drop], doc[drop], number[drop])
+        yield from told(3, name[head].view(np.int64), key[head], doc[head], number[head])
+        yield from told(4, name[drop].view(np.int64), key[drop], doc[drop], number[drop])
 
     return run
 
@@ -197,7 +197,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = 15, id_colu
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), whole.alias("text"), key.alias("rkey"))
     seen = S.exchanged(rows.mapInArrow(_seen(min_chars, parts), S.PACKED), parts)
     found = S.written(seen.mapInArrow(_joined(parts), FOUND))
-    first = found.where("kind = 2").select("x", F.col("y").alias("k"), F.col("z").alias("doc"), "n")
+    del seen
+    S.settled(docs.sparkSession)
+    first = found.where("kind = 3").select("x", F.col("y").alias("k"), F.col("z").alias("doc"), "n")
 
     def members(ids: DataFrame) -> DataFrame:
         own = first.join(ids, F.col("x") == F.col("set_id"), "left_semi").groupBy("k").agg(F.collect_list(F.struct("n", "x")).alias("wanted"))
@@ -209,7 +211,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = 15, id_colu
     near = first.join(roots, F.col("x") == F.col("node"))
     least = near.groupBy("root").agg(F.min(F.struct("doc", "k", "n")).alias("least"))
     near = near.join(least, "root").where(F.struct("doc", "k", "n") != F.col("least")).select("k", "n")
-    gone = found.where("kind = 3").select(F.col("y").alias("k"), "n").union(near)
+    gone = found.where("kind = 4").select(F.col("y").alias("k"), "n").union(near)
     gone = S.written(gone.groupBy("k").agg(F.array_distinct(F.collect_list("n")).alias("gone")))
     some = S.key_filter(rows, gone.select(F.col("k").alias("rkey")), "rkey")
     cut = some.join(gone, F.col("rkey") == F.col("k")).select("rkey", "text", "gone").mapInArrow(_cut, "rkey bigint, n_removed bigint, kept_sha256 string, kept string")

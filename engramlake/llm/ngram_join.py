@@ -37,7 +37,8 @@ from engramlake.llm.components import components
 
 U = np.uint64
 #: A subset held by more sets than this is hot.
-HOT = 24
+HOT = 12
+FOUND = "kind tinyint, x bigint, y bigint, slack tinyint, n int"
 #: Cells of a set's sketch.
 CELLS = 256
 #: Sets of a hot signature that one task compares with as many others.
@@ -189,9 +190,9 @@ def _candidates(batches):
 
 
 def candidates(sig: np.ndarray, sid: np.ndarray, slack: np.ndarray, bits: np.ndarray | None = None, unlike: int = 0):
-    """Rows (kind, x, y, slack): 0 pairs of sets, 1 a hot signature and a set that holds it.
+    """Rows (kind, x, y, slack, n): 0 pairs of sets of one band, their larger slack, and signatures shared here (times 64,
+    plus the band); 1 a hot signature and a set that holds it; 2 pairs of one hot group: each set with the first and with chance neighbours.
 
-    All pairs of small groups; of hot ones each set with the group's first and with chance neighbours.
     With ``bits``, only pairs that differ in at most ``unlike`` of them.
     """
     if not len(sig):
@@ -199,11 +200,23 @@ def candidates(sig: np.ndarray, sid: np.ndarray, slack: np.ndarray, bits: np.nda
 
     def told(left, right):
         x, y = sid[left], sid[right]
+        band, most = (sig[left] & U(63)).astype(np.int64), np.maximum(slack[left], slack[right])
         if bits is not None:
             ok = np.bitwise_count(bits[left] ^ bits[right]) <= unlike
-            x, y = x[ok], y[ok]
-        return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-
+            x, y, band, most = x[ok], y[ok], band[ok], most[ok]
+        return np.minimum(x, y), np.maximum(x, y), band, most
+
+    def rows_of(kind, pairs):
+        x, y, band, most = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        order = np.lexsort((band, y, x))
+        x, y, band, most = x[order], y[order], band[order], most[order]
+        cut = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (band[1:] != band[:-1])]) if len(x) else np.empty(0, np.int64)
+        n = np.diff(np.r_[cut, len(x)])
+        for a in range(0, len(cut), 50000):
+            c, m = cut[a : a + 50000], n[a : a + 50000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind, np.int8)), pa.array(x[c]), pa.array(y[c]), pa.array(most[c]), pa.array((m * 64 + band[c]).astype(np.int32))], names)
+
+    names = [x.split()[0] for x in FOUND.split(", ")]
     # most signatures are held once
     order = np.argsort(sig, kind="stable")
     sig = sig[order]
@@ -228,24 +241,19 @@ def candidates(sig: np.ndarray, sid: np.ndarray, slack: np.ndarray, bits: np.nda
         pairs.append(told(left, left + gap))
     hot = size > HOT
     if hot.any():
-        pairs.append(told(np.repeat(cut[hot], size[hot] - 1), K.ranges(cut[hot] + 1, size[hot] - 1)))
+        first = [told(np.repeat(cut[hot], size[hot] - 1), K.ranges(cut[hot] + 1, size[hot] - 1))]
         # and with two chance neighbours, others for each signature
         rows = K.ranges(cut[hot], size[hot])
         near = rows[np.lexsort((K.mixed(sid[rows].view(U) ^ K.mixed(sig[rows])), sig[rows]))]
         for gap in (1, 2):
             left = K.ranges(np.cumsum(size[hot]) - size[hot], size[hot] - gap)
-            pairs.append(told(near[left], near[left + gap]))
-    names = ["kind", "x", "y", "slack"]
-    if pairs:
-        p = np.unique(np.concatenate(pairs), axis=0)
-        for a in range(0, len(p), 50000):
-            q = p[a : a + 50000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(q), np.int8)), pa.array(q[:, 0].copy()), pa.array(q[:, 1].copy()), pa.array(np.zeros(len(q), np.int8))], names)
-    if hot.any():
-        rows = K.ranges(cut[hot], size[hot])
+            first.append(told(near[left], near[left + gap]))
+        yield from rows_of(2, first)
         for a in range(0, len(rows), 50000):
             r = rows[a : a + 50000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(r), np.int8)), pa.array(sig[r].view(np.int64)), pa.array(sid[r]), pa.array(slack[r])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(r), np.int8)), pa.array(sig[r].view(np.int64)), pa.array(sid[r]), pa.array(slack[r]), pa.array(np.zeros(len(r), np.int32))], names)
+    if pairs:
+        yield from rows_of(0, pairs)
 
 
 def _sets(k: int):
@@ -343,8 +351,17 @@ def linked(found: DataFrame, members: Callable, percent: int, parts: int, worth:
     ``members`` gives rows (set_id, size, sketch, members) of a table of set_ids. ``worth`` is what a hot signature costs
     in each band; without it no set has slack.
     """
-    pairs = S.written(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     hot = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("set_id"), "slack").withColumn("band", F.col("sig").bitwiseAND(63))
+    price = F.get(worth, F.col("band").cast("int")) if worth is not None else F.lit(1)
+    # similar sets share signatures worth more than the slack that either has left after its hot ones
+    pairs = found.where("kind = 0").groupBy("x", "y", (F.col("n") % 64).alias("band")).agg(F.sum(F.floor(F.col("n") / 64)).alias("n"), F.max("slack").alias("slack"))
+    if worth is not None:
+        held = hot.groupBy("set_id", "band").agg((F.count("*") * F.max(price)).alias("held"))
+        for end in ("x", "y"):
+            pairs = pairs.join(held.select(F.col("set_id").alias(end), "band", F.col("held").alias(f"held_{end}")), [end, "band"], "left")
+        pairs = pairs.where(F.col("n") * price > F.col("slack") - F.greatest(F.coalesce("held_x", F.lit(0)), F.coalesce("held_y", F.lit(0))))
+    pairs = pairs.select("x", "y").union(found.where("kind = 2").select("x", "y"))
+    pairs = S.written(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     sets = members(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(hot.select("set_id")).distinct())
 
     def verified(near: DataFrame) -> DataFrame:
@@ -358,7 +375,7 @@ def linked(found: DataFrame, members: Callable, percent: int, parts: int, worth:
     # hot signatures: sets whose slack doesn't pay for all of theirs, across components
     poor = hot
     if worth is not None:
-        poor = hot.groupBy("set_id", "band").agg(F.count("*").alias("n"), F.min("slack").alias("left")).where(F.col("n") * F.get(worth, F.col("band").cast("int")) > F.col("left"))
+        poor = hot.groupBy("set_id", "band").agg(F.count("*").alias("n"), F.min("slack").alias("left")).where(F.col("n") * price > F.col("left"))
         poor = hot.join(poor.select("set_id", "band"), ["set_id", "band"])
     poor = poor.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     poor = S.written(poor.select("sig", "set_id", F.coalesce("root", "set_id").alias("root")))
@@ -388,8 +405,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: s
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
     base = S.written(rows.mapInArrow(_described(k), "id bigint, tkey bigint, n_shingles bigint, set_id bigint"))
     index = S.exchanged(rows.select("text").mapInArrow(_indexed(k, percent, parts), S.PACKED), parts)
-    found = S.written(index.mapInArrow(_candidates, "kind tinyint, x bigint, y bigint, slack tinyint"))
-    S.dropped()
+    found = S.written(index.mapInArrow(_candidates, FOUND))
+    del index
+    S.settled(docs.sparkSession)
     # a set is read from one row that has it
     lead = base.where("set_id != 0").groupBy("set_id").agg(F.min(F.struct("tkey", "id")).alias("lead")).select("set_id", "lead.tkey", "lead.id")
 

@@ -45,9 +45,14 @@ def dropped(*frames: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.engramlake_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
     if frames:
-        frames[0].sparkSession._jvm.System.gc()
+        settled(frames[0].sparkSession)
+
+
+def settled(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def n_partitions(spark: SparkSession) -> int:
