@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.llm import chat_format, decontaminate, line_dedup, ngram_join, packing, recompression, suffix_dedup, token_counts, toxicity
+from engramlake.llm import chat_format, decontaminate, line_dedup, ngram_join, order_minhash, packing, recompression, suffix_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, _read(spark, sf_dir, "labels").select("doc_id", "toxic")).drop("text")
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_fingerprints(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marks = "<|im_end|><|im_start|>assistant ok"
@@ -56,7 +60,7 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_line_dedup, op4_toxicity, op6_chat_formatting, op7_benchmark_decontamination, op8_substring_dedup, op9_ngram_jaccard_join, op10_retrieval_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_line_dedup, op4_toxicity, op5_document_fingerprints, op6_chat_formatting, op7_benchmark_decontamination, op8_substring_dedup, op9_ngram_jaccard_join, op10_retrieval_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
