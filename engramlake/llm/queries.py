@@ -59,8 +59,14 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_line_dedup, op4_toxicity, op5_document_fingerprints, op6_chat_formatting, op7_benchmark_decontamination, op8_substring_dedup, op9_ngram_jaccard_join, op10_retrieval_packing)}
+    return {f.__name__: f for f in (pipeline, op1_token_counts, op2_suffix_dedup, op3_line_dedup, op4_toxicity, op5_document_fingerprints, op6_chat_formatting, op7_benchmark_decontamination, op8_substring_dedup, op9_ngram_jaccard_join, op10_retrieval_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
