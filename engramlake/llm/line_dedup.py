@@ -158,8 +158,7 @@ def _sets(batches):
             for w in wanted:
                 h, _ = shingles(prefix, start[w["n"] : w["n"] + 1], end[w["n"] : w["n"] + 1])
                 h = np.unique(h)
-                cells = np.minimum(np.bincount((h >> U(7)).astype(np.int64) & (J.CELLS - 1), minlength=J.CELLS), 255).astype(np.uint8)
-                out.append((w["x"], len(h), cells.tobytes(), h.tobytes()))
+                out.append((w["x"], len(h), J.sketch(h), h.tobytes()))
             if len(out) > 2000:
                 yield _table(out)
                 out = []

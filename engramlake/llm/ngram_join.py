@@ -28,7 +28,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.llm import kernels as K
@@ -39,8 +39,8 @@ U = np.uint64
 #: A subset held by more sets than this is hot.
 HOT = 12
 FOUND = "kind tinyint, x bigint, y bigint, slack tinyint, n int"
-#: Cells of a set's sketch.
-CELLS = 256
+#: Cells of a set's sketch, four bits each.
+CELLS = 1024
 #: Sets of a hot signature that one task compares with as many others.
 BLOCK = 4096
 _SPACE = U(0xB5AD4ECEDA1CE2A9)
@@ -104,7 +104,10 @@ def allocation(low: int, high: int, percent: int) -> tuple[int, int, int]:
             cost = m + deletions * low / m + lacking * 40 * m
             if best is None or cost < best[0]:
                 best = (cost, exact, deletions, slack)
-    return best[1:]
+    _, exact, deletions, slack = best
+    # what is spare pays for hot subsets
+    more = 0 if deletions else exact // 8
+    return exact + more, deletions, slack + more
 
 
 @lru_cache(maxsize=8)
@@ -191,7 +194,7 @@ def _candidates(batches):
 
 def candidates(sig: np.ndarray, sid: np.ndarray, slack: np.ndarray, bits: np.ndarray | None = None, unlike: int = 0):
     """Rows (kind, x, y, slack, n): 0 pairs of sets of one band, their larger slack, and signatures shared here (times 64,
-    plus the band); 1 a hot signature and a set that holds it; 2 pairs of one hot group: each set with the first and with chance neighbours.
+    plus the band); 1 a hot signature and a set that holds it; 2 pairs of chance neighbours of one hot group.
 
     With ``bits``, only pairs that differ in at most ``unlike`` of them.
     """
@@ -241,14 +244,12 @@ def candidates(sig: np.ndarray, sid: np.ndarray, slack: np.ndarray, bits: np.nda
         pairs.append(told(left, left + gap))
     hot = size > HOT
     if hot.any():
-        first = [told(np.repeat(cut[hot], size[hot] - 1), K.ranges(cut[hot] + 1, size[hot] - 1))]
-        # and with two chance neighbours, others for each signature
+        # chance neighbours, others for each signature; a quarter of the signatures will do
         rows = K.ranges(cut[hot], size[hot])
         near = rows[np.lexsort((K.mixed(sid[rows].view(U) ^ K.mixed(sig[rows])), sig[rows]))]
-        for gap in (1, 2):
-            left = K.ranges(np.cumsum(size[hot]) - size[hot], size[hot] - gap)
-            first.append(told(near[left], near[left + gap]))
-        yield from rows_of(2, first)
+        left = K.ranges(np.cumsum(size[hot]) - size[hot], size[hot] - 1)
+        left = left[(K.mixed(sig[near[left]]) & U(3)) == 0]
+        yield from rows_of(2, [told(near[left], near[left + 1])])
         for a in range(0, len(rows), 50000):
             r = rows[a : a + 50000]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(r), np.int8)), pa.array(sig[r].view(np.int64)), pa.array(sid[r]), pa.array(slack[r]), pa.array(np.zeros(len(r), np.int32))], names)
@@ -256,15 +257,31 @@ def candidates(sig: np.ndarray, sid: np.ndarray, slack: np.ndarray, bits: np.nda
         yield from rows_of(0, pairs)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Members by CELLS hash cells, counted up to 15: differences of these counts never exceed those of the sets."""
+    cells = np.minimum(np.bincount((h >> U(7)).astype(np.int64) & (CELLS - 1), minlength=CELLS), 15).astype(np.uint8)
+    return (cells[::2] | cells[1::2] << 4).tobytes()
+
+
+def unsketched(column: list[bytes]) -> np.ndarray:
+    packed = np.frombuffer(b"".join(column), np.uint8).reshape(-1, CELLS // 2)
+    return np.concatenate([packed & 15, packed >> 4], 1).view(np.int8)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the symmetric difference of sets, row by row."""
+    return np.abs(x - y).sum(1, dtype=np.int64)
+
+
 def _sets(k: int):
-    """Rows (set_id, size, sketch, members): the sketch counts members by CELLS hash cells."""
+    """Rows (set_id, size, sketch, members)."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("set_id").to_numpy()
             for a, b, h, offsets in shingle_sets(batch.column("text"), k):
                 own = [h[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-                cells = [np.minimum(np.bincount((x >> U(7)).astype(np.int64) & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes() for x in own]
+                cells = [sketch(x) for x in own]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(np.diff(offsets)), pa.array(cells, pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["set_id", "size", "sketch", "members"])
 
     return run
@@ -275,9 +292,9 @@ def _possible(percent: int):
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("sa", "sb"))
+            x, y = (unsketched(batch.column(c).to_pylist()) for c in ("sa", "sb"))
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            mask = pa.array((100 + percent) * np.abs(x - y).sum(1, dtype=np.int64) <= (100 - percent) * total)
+            mask = pa.array((100 + percent) * apart(x, y) <= (100 - percent) * total)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     return run
@@ -306,7 +323,7 @@ def _across(percent: int):
         own, root, ids, size = (group.column(c).to_numpy() for c in ("own", "root", "set_id", "size"))
         if (root == root[0]).all():
             return
-        cells = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        cells = unsketched(group.column("sketch").to_pylist())
         mixed = own[0] != own[-1] or (own != own[0]).any()
         for i in range(len(ids) - 1):
             js = np.arange(i + 1, len(ids))
@@ -315,7 +332,7 @@ def _across(percent: int):
             if mixed:
                 js = js[own[js] != own[i]]
             if len(js):
-                js = js[(100 + percent) * np.abs(cells[js] - cells[i]).sum(1, dtype=np.int64) <= (100 - percent) * (size[js] + size[i])]
+                js = js[(100 + percent) * apart(cells[js], cells[i]) <= (100 - percent) * (size[js] + size[i])]
             if len(js):
                 yield np.minimum(ids[js], ids[i]), np.maximum(ids[js], ids[i])
 
@@ -375,8 +392,14 @@ def linked(found: DataFrame, members: Callable, percent: int, parts: int, worth:
     # hot signatures: sets whose slack doesn't pay for all of theirs, across components
     poor = hot
     if worth is not None:
-        poor = hot.groupBy("set_id", "band").agg(F.count("*").alias("n"), F.min("slack").alias("left")).where(F.col("n") * price > F.col("left"))
-        poor = hot.join(poor.select("set_id", "band"), ["set_id", "band"])
+        # sets that no other signature brings together share more hot ones than the slack left; so in one order of
+        # signatures, rarest first, they share one that isn't among the last of either
+        size = hot.groupBy("sig").agg(F.count("*").alias("group"))
+        held = hot.join(size, "sig")
+        own = Window.partitionBy("set_id", "band")
+        along = own.orderBy("group", "sig")
+        held = held.withColumns({"nth": F.row_number().over(along), "all": F.count("*").over(own)})
+        poor = held.where((F.col("nth") - 1) * price < F.col("all") * price - F.greatest(F.col("slack").cast("int"), F.lit(0))).select("sig", "set_id")
     poor = poor.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     poor = S.written(poor.select("sig", "set_id", F.coalesce("root", "set_id").alias("root")))
     # blocks of at most BLOCK sets are compared with each other, by sketches: bounded tasks, and only possible pairs leave them
