@@ -257,14 +257,14 @@ def candidates(sig: np.ndarray, sid: np.ndarray, slack: np.ndarray, bits: np.nda
         yield from rows_of(0, pairs)
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """Members by CELLS hash cells, counted up to 15: differences of these counts never exceed those of the sets."""
-    cells = np.minimum(np.bincount((h >> U(7)).astype(np.int64) & (CELLS - 1), minlength=CELLS), 15).astype(np.uint8)
-    return (cells[::2] | cells[1::2] << 4).tobytes()
+def sketch(h: np.ndarray, cells: int = CELLS) -> bytes:
+    """Members by hash cells, counted up to 15: differences of these counts never exceed those of the sets."""
+    count = np.minimum(np.bincount((h >> U(7)).astype(np.int64) & (cells - 1), minlength=cells), 15).astype(np.uint8)
+    return (count[::2] | count[1::2] << 4).tobytes()
 
 
 def unsketched(column: list[bytes]) -> np.ndarray:
-    packed = np.frombuffer(b"".join(column), np.uint8).reshape(-1, CELLS // 2)
+    packed = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
     return np.concatenate([packed & 15, packed >> 4], 1).view(np.int8)
 
 
@@ -292,6 +292,8 @@ def _possible(percent: int):
 
     def run(batches):
         for batch in batches:
+            if not len(batch):
+                continue
             x, y = (unsketched(batch.column(c).to_pylist()) for c in ("sa", "sb"))
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             mask = pa.array((100 + percent) * apart(x, y) <= (100 - percent) * total)
@@ -300,12 +302,16 @@ def _possible(percent: int):
     return run
 
 
-def _verified(percent: int):
+def hashes_of(members: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(members, U)
+
+
+def _verified(percent: int, read: Callable):
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                x, y = read(x.as_buffer()), read(y.as_buffer())
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -362,11 +368,11 @@ def _ended(batches):
     yield None
 
 
-def linked(found: DataFrame, members: Callable, percent: int, parts: int, worth: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(found: DataFrame, members: Callable, percent: int, parts: int, worth: Column | None = None, read: Callable = hashes_of) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and their components (node, root) of what ``candidates`` found.
 
     ``members`` gives rows (set_id, size, sketch, members) of a table of set_ids. ``worth`` is what a hot signature costs
-    in each band; without it no set has slack.
+    in each band; without it no set has slack. ``read`` makes a set's distinct hashes of its ``members``.
     """
     hot = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("set_id"), "slack").withColumn("band", F.col("sig").bitwiseAND(63))
     price = F.get(worth, F.col("band").cast("int")) if worth is not None else F.lit(1)
@@ -383,7 +389,7 @@ def linked(found: DataFrame, members: Callable, percent: int, parts: int, worth:
 
     def verified(near: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("set_id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
-        return S.written(near.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(_verified(percent), "a bigint, b bigint").distinct())
+        return S.written(near.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(_verified(percent, read), "a bigint, b bigint").distinct())
 
     a, b = (sets.select(F.col("set_id").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= %d * greatest(na, nb)" % percent)
