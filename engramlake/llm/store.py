@@ -55,6 +55,13 @@ def settled(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """At most ``rows`` rows of long texts at once in a Python worker; the setting stays with the session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def n_partitions(spark: SparkSession) -> int:
     """Tasks of a packed shuffle: the session's own number."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.llm import kernels as K
+from engramlake.llm import store
 
 U = np.uint64
 #: Labelled rows and terms that the model holds, n-gram lengths, neighbours, examples of a block, least chi-square of a term.
@@ -259,19 +260,21 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_column:
     labels of both kinds every score is the base rate. Null ids aren't held out. Repeated rows are scored one by one;
     columns of ``docs`` named like the new ones are replaced; an empty table gives an empty one.
     """
+    store.short_batches(docs.sparkSession)
     model, ids = fit(docs, labels, examples, id_column, text)
     held, key = docs.sparkSession.sparkContext.broadcast((model, ids)), uuid.uuid4().hex
 
-    @F.pandas_udf("struct<score: double, evidence: array<bigint>>")
-    def scored(texts):
-        import pandas as pd
+    kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
 
+    @F.arrow_udf("struct<score: double, evidence: array<bigint>>")
+    def scored(texts: pa.Array) -> pa.Array:
         if key not in _workers:
             _workers.clear()
             _workers[key] = held.value
         own, ids = _workers[key]
-        scores, rows = own.scores(pa.array(texts, pa.string()))
-        return pd.DataFrame({"score": scores, "evidence": [[ids[i] for i in r.tolist()] for r in rows]})
+        scores, rows = own.scores(texts)
+        near = [[ids[i] for i in r.tolist()] if evidence else [] for r in rows]
+        return pa.StructArray.from_arrays([pa.array(scores), pa.array(near, pa.list_(pa.int64()))], fields=list(kind))
 
     out = docs.withColumn("held_out", held_out(id_column)).withColumn("_scored", scored(F.coalesce(F.col(text), F.lit(""))))
     out = out.withColumns({"score": F.col("_scored.score"), **({"evidence": F.col("_scored.evidence")} if evidence else {})}).drop("_scored")
