@@ -1,0 +1 @@
+"""engramlake: set-oriented memory and retrieval analytics on Spark."""
