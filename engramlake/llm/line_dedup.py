@@ -13,6 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,22 +58,36 @@ def line_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 def shingles(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of lines of at least SHINGLE code points, and where each line's begin."""
     size = end - start - SHINGLE + 1
-    at = K.ranges(start, size)
-    return K.mixed(K.range_hash(prefix, at, at + SHINGLE)), np.cumsum(size) - size
+    n = len(prefix) - SHINGLE
+    all_ = (prefix[SHINGLE:] - prefix[:n]) * K.powers(len(prefix), pow(K.BASE, -1, 1 << 64))[:n]
+    return K.mixed(all_[K.ranges(start, size)]), np.cumsum(size) - size
+
+
+def distinct(shingle: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's hashes sorted, without repeats, and their offsets. Sorts in place."""
+    ends = np.append(cut[1:], len(shingle))
+    for s, e in zip(cut.tolist(), ends.tolist(), strict=True):
+        shingle[s:e].sort()
+    new = np.ones(len(shingle), bool)
+    new[1:] = shingle[1:] != shingle[:-1]
+    new[cut] = True
+    return shingle[new], np.r_[0, np.cumsum(new)][np.r_[cut, len(shingle)]]
 
 
 def signatures(shingle: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band hashes (BANDS x lines) and 32 one-bit minima of lines."""
     h = (shingle >> U(32)).astype(np.uint32)
+    x = np.empty_like(h)
     bits, out = np.zeros(len(cut), np.uint32), np.empty((BANDS, len(cut)), U)
     for band in range(BANDS):
         total = np.full(len(cut), band + 1, U)
         for k in range(band * ROWS, (band + 1) * ROWS):
-            x = h * _TIMES[k] + _PLUS[k]
-            x ^= x >> np.uint32(15)
+            # odd factor and offset: a permutation of 32-bit numbers
+            np.multiply(h, _TIMES[k], out=x)
+            np.add(x, _PLUS[k], out=x)
             least = np.minimum.reduceat(x, cut)
             if k < 32:
-                bits |= ((least >> np.uint32(3)) & np.uint32(1)) << np.uint32(k)
+                bits |= ((least * np.uint32(0x9E3779B1)) >> np.uint32(31)) << np.uint32(k)
             total = K.mixed(total * U(K.BASE) + least)
         out[band] = total
     return out, bits
@@ -150,34 +165,30 @@ def _joined(parts: int):
 
 
 def _sets(batches):
-    """Rows (set_id, size, sketch, members) of the lines named in ``wanted``: (number, set_id) pairs of a text."""
+    """Rows (set_id, size, sketch, members) of the lines named in ``wanted``: (number, set_id) pairs of a text; a set's members are the line."""
     for batch in batches:
-        out = []
-        for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-            data = np.frombuffer(text.as_buffer(), np.uint8)
-            code, _, _, start, end = lines(data, np.array([0, len(data)]))
-            prefix = K.prefix_hash(code)
-            for w in wanted:
-                h, _ = shingles(prefix, start[w["n"] : w["n"] + 1], end[w["n"] : w["n"] + 1])
-                h = np.unique(h)
-                # the line itself is smaller than its hashes
-                line = code[start[w["n"]] : end[w["n"]]].tobytes().decode("utf-32-le").encode()
-                out.append((w["x"], len(h), J.sketch(h, CELLS), line))
-            if len(out) > 2000:
-                yield _table(out)
-                out = []
-        if out:
-            yield _table(out)
-
-
-def _read(line: pa.Buffer) -> np.ndarray:
-    code = np.frombuffer(line.to_pybytes().decode().encode("utf-32-le"), np.uint32)
-    h, _ = shingles(K.prefix_hash(code), np.array([0]), np.array([len(code)]))
-    return np.unique(h)
-
-
-def _table(rows):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["set_id", "size", "sketch", "members"])
+        wanted = batch.column("wanted")
+        first = np.r_[0, np.cumsum(pa.compute.list_value_length(wanted).to_numpy())]
+        pairs = wanted.flatten()
+        number, name = (pairs.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "x"))
+        for a, b, data, offsets in K.chunks(batch.column("text")):
+            code, text, _, start, end = lines(data, offsets)
+            at = np.searchsorted(text, np.repeat(np.arange(b - a), np.diff(first[a : b + 1]))) + number[first[a] : first[b]]
+            if not len(at):
+                continue
+            h, own = distinct(*shingles(K.prefix_hash(code), start[at], end[at]))
+            sketches = [J.sketch(h[s:e], CELLS) for s, e in zip(own[:-1], own[1:], strict=True)]
+            # a line is smaller than its hashes
+            members = [code[s:e].tobytes().decode("utf-32-le").encode() for s, e in zip(start[at], end[at], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(name[first[a] : first[b]]), pa.array(np.diff(own)), pa.array(sketches, pa.binary()), pa.array(members, pa.binary())], ["set_id", "size", "sketch", "members"])
+
+
+def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of whole lines."""
+    data, offsets = K.buffers(column)
+    own = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][offsets]
+    code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    return distinct(*shingles(K.prefix_hash(code), own[:-1], own[1:]))
 
 
 def _cut(batches):
@@ -200,12 +211,13 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = 15, id_colu
     fewer than ``min_chars`` code points stay and join nothing. Null texts are empty (one empty line); fully equal
     rows (id and text) count as one and lose the same lines; an empty table gives an empty one.
     """
+    S.short_batches(docs.sparkSession)
     parts = S.n_partitions(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     key = F.xxhash64(F.col(id_column).cast("bigint"), whole)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), whole.alias("text"), key.alias("rkey"))
-    seen = S.exchanged(rows.mapInArrow(_seen(min_chars, parts), S.PACKED), parts)
-    found = S.written(seen.mapInArrow(_joined(parts), FOUND))
+    seen = S.exchanged(rows.mapInArrow(S.lean(_seen(min_chars, parts)), S.PACKED), parts)
+    found = S.written(seen.mapInArrow(S.lean(_joined(parts)), FOUND))
     del seen
     S.settled(docs.sparkSession)
     first = found.where("kind = 3").select("x", F.col("y").alias("k"), F.col("z").alias("doc"), "n")
@@ -214,9 +226,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = 15, id_colu
         own = first.join(ids, F.col("x") == F.col("set_id"), "left_semi").groupBy("k").agg(F.collect_list(F.struct("n", "x")).alias("wanted"))
         own = S.written(own)
         some = S.key_filter(rows, own.select(F.col("k").alias("rkey")), "rkey").join(own, F.col("rkey") == F.col("k")).select("text", "wanted")
-        return S.written(some.mapInArrow(_sets, "set_id bigint, size bigint, sketch binary, members binary").dropDuplicates(["set_id"]))
+        return S.written(some.mapInArrow(S.lean(_sets), "set_id bigint, size bigint, sketch binary, members binary"))
 
-    _, roots = J.linked(found, members, percent, parts, read=_read)
+    _, roots = J.linked(found, members, lambda ids: S.written(members(ids).select("set_id", "members")), percent, parts, _read)
     S.settled(docs.sparkSession)
     near = first.join(roots, F.col("x") == F.col("node"))
     least = near.groupBy("root").agg(F.min(F.struct("doc", "k", "n")).alias("least"))
@@ -224,7 +236,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = 15, id_colu
     gone = found.where("kind = 4").select(F.col("y").alias("k"), "n").union(near)
     gone = S.written(gone.groupBy("k").agg(F.array_distinct(F.collect_list("n")).alias("gone")))
     some = S.key_filter(rows, gone.select(F.col("k").alias("rkey")), "rkey")
-    cut = some.join(gone, F.col("rkey") == F.col("k")).select("rkey", "text", "gone").mapInArrow(_cut, "rkey bigint, n_removed bigint, kept_sha256 string, kept string")
+    cut = some.join(gone, F.col("rkey") == F.col("k")).select("rkey", "text", "gone").mapInArrow(S.lean(_cut), "rkey bigint, n_removed bigint, kept_sha256 string, kept string")
     cut = S.written((cut if with_text else cut.drop("kept")).withColumnRenamed("rkey", "k").dropDuplicates(["k"]))
     S.dropped(found, gone)
     n_lines = (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("bigint")

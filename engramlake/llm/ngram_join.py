@@ -273,16 +273,14 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.abs(x - y).sum(1, dtype=np.int64)
 
 
-def _sets(k: int):
-    """Rows (set_id, size, sketch, members)."""
+def _sketches(k: int):
+    """Rows (tkey, id, size, sketch)."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("set_id").to_numpy()
             for a, b, h, offsets in shingle_sets(batch.column("text"), k):
-                own = [h[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-                cells = [sketch(x) for x in own]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(np.diff(offsets)), pa.array(cells, pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["set_id", "size", "sketch", "members"])
+                cells = [sketch(h[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("tkey").slice(a, b - a), batch.column("id").slice(a, b - a), pa.array(np.diff(offsets)), pa.array(cells, pa.binary())], ["tkey", "id", "size", "sketch"])
 
     return run
 
@@ -302,22 +300,20 @@ def _possible(percent: int):
     return run
 
 
-def hashes_of(members: pa.Buffer) -> np.ndarray:
-    return np.frombuffer(members, U)
-
-
 def _verified(percent: int, read: Callable):
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True):
-                x, y = read(x.as_buffer()), read(y.as_buffer())
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+            for s in range(0, len(batch), 500):
+                part = batch.slice(s, 500)
+                (x, p), (y, q) = read(part.column("ma")), read(part.column("mb"))
+                keep = np.zeros(len(part), bool)
+                for i in range(len(part)):
+                    both = np.concatenate([x[p[i] : p[i + 1]], y[q[i] : q[i + 1]]])
+                    both.sort()
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    keep[i] = 100 * common >= percent * (len(both) - common)
+                mask = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], ["a", "b"])
 
     return run
 
@@ -368,11 +364,11 @@ def _ended(batches):
     yield None
 
 
-def linked(found: DataFrame, members: Callable, percent: int, parts: int, worth: Column | None = None, read: Callable = hashes_of) -> tuple[DataFrame, DataFrame]:
+def linked(found: DataFrame, sketches: Callable, members: Callable, percent: int, parts: int, read: Callable, worth: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and their components (node, root) of what ``candidates`` found.
 
-    ``members`` gives rows (set_id, size, sketch, members) of a table of set_ids. ``worth`` is what a hot signature costs
-    in each band; without it no set has slack. ``read`` makes a set's distinct hashes of its ``members``.
+    ``sketches`` gives rows (set_id, size, sketch) of a table of set_ids, ``members`` rows (set_id, members), from which ``read``
+    makes the sets' distinct hashes and their offsets, a column at a time. ``worth`` is what a hot signature costs in each band; without it no set has slack.
     """
     hot = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("set_id"), "slack").withColumn("band", F.col("sig").bitwiseAND(63))
     price = F.get(worth, F.col("band").cast("int")) if worth is not None else F.lit(1)
@@ -385,16 +381,22 @@ def linked(found: DataFrame, members: Callable, percent: int, parts: int, worth:
         pairs = pairs.where(F.col("n") * price > F.col("slack") - F.greatest(F.coalesce("held_x", F.lit(0)), F.coalesce("held_y", F.lit(0))))
     pairs = pairs.select("x", "y").union(found.where("kind = 2").select("x", "y"))
     pairs = S.written(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    sets = members(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(hot.select("set_id")).distinct())
+    sets = sketches(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(hot.select("set_id")).distinct())
 
     def verified(near: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("set_id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
-        return S.written(near.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(_verified(percent, read), "a bigint, b bigint").distinct())
+        # only sets that a sketch couldn't part travel whole
+        near = S.written(near)
+        own = members(near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+        a, b = (own.select(F.col("set_id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
+        out = S.written(near.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(S.lean(_verified(percent, read)), "a bigint, b bigint").distinct())
+        S.dropped(own, near)
+        return out
 
     a, b = (sets.select(F.col("set_id").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= %d * greatest(na, nb)" % percent)
-    links = verified(S.written(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(percent), "a bigint, b bigint")))
+    links = verified(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(S.lean(_possible(percent)), "a bigint, b bigint"))
     roots = S.written(components(links))
+    S.settled(found.sparkSession)
     # hot signatures: sets whose slack doesn't pay for all of theirs, across components
     poor = hot
     if worth is not None:
@@ -413,7 +415,7 @@ def linked(found: DataFrame, members: Callable, percent: int, parts: int, worth:
     poor = poor.join(split, "sig").join(sets.select("set_id", "size", "sketch"), "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     poor = poor.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
     poor = poor.select("sig", "low", "high", "own", "root", "set_id", "size", "sketch").repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
-    across = S.written(poor.mapInArrow(_across(percent), "a bigint, b bigint"))
+    across = S.written(poor.mapInArrow(S.lean(_across(percent)), "a bigint, b bigint"))
     if not across.isEmpty():
         links = S.written(links.union(verified(across.distinct().join(links, ["a", "b"], "left_anti"))))
         roots = S.written(components(links))
@@ -430,24 +432,42 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: s
     alone has a null component_id. ``n_links`` counts verified pairs, not those implied inside a component. Other
     columns are left out; repeated rows stay; an empty table gives an empty one.
     """
+    S.short_batches(docs.sparkSession)
     parts = S.n_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
-    base = S.written(rows.mapInArrow(_described(k), "id bigint, tkey bigint, n_shingles bigint, set_id bigint"))
-    index = S.exchanged(rows.select("text").mapInArrow(_indexed(k, percent, parts), S.PACKED), parts)
-    found = S.written(index.mapInArrow(_candidates, FOUND))
+    base = S.written(rows.mapInArrow(S.lean(_described(k)), "id bigint, tkey bigint, n_shingles bigint, set_id bigint"))
+    index = S.exchanged(rows.select("text").mapInArrow(S.lean(_indexed(k, percent, parts)), S.PACKED), parts)
+    found = S.written(index.mapInArrow(S.lean(_candidates), FOUND))
     del index
     S.settled(docs.sparkSession)
     # a set is read from one row that has it
     lead = base.where("set_id != 0").groupBy("set_id").agg(F.min(F.struct("tkey", "id")).alias("lead")).select("set_id", "lead.tkey", "lead.id")
 
+    def places(ids: DataFrame) -> DataFrame:
+        return S.written(lead.join(ids, "set_id", "left_semi").select("set_id", F.col("tkey").alias("k"), F.col("id").alias("i")))
+
+    here = (F.col("tkey") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))
+
+    def sketches(ids: DataFrame) -> DataFrame:
+        own = places(ids)
+        # the sketch is made where the text is read
+        some = S.key_filter(rows, own.select(F.col("k").alias("tkey")), "tkey", _sketches(k), "tkey bigint, id bigint, size bigint, sketch binary")
+        return S.written(some.join(own, here).select("set_id", "size", "sketch"))
+
     def members(ids: DataFrame) -> DataFrame:
-        own = S.written(lead.join(ids, "set_id", "left_semi").select("set_id", F.col("tkey").alias("k"), F.col("id").alias("i")))
+        own = places(ids)
         some = S.key_filter(rows, own.select(F.col("k").alias("tkey")), "tkey")
-        read = some.join(own, (F.col("tkey") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))).select("set_id", "text")
-        return S.written(read.mapInArrow(_sets(k), "set_id bigint, size bigint, sketch binary, members binary"))
+        return S.written(some.join(own, here).select("set_id", F.col("text").cast("binary").alias("members")))
+
+    def read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found, offsets = [], [np.zeros(1, np.int64)]
+        for _, _, h, own in shingle_sets(texts, k):
+            found.append(h)
+            offsets.append(own[1:] + offsets[-1][-1])
+        return np.concatenate(found), np.concatenate(offsets)
 
     worth = F.array(*[F.lit(2 if allocation(low, high, percent)[1] else 1) for low, high in bands(1 << 30, percent)])
-    links, roots = linked(found, members, percent, parts, worth)
+    links, roots = linked(found, sketches, members, percent, parts, read, worth)
     S.dropped(found)
     n_links = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
     sets = base.where("set_id != 0").groupBy("set_id").agg(F.min("id").alias("least")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))

@@ -249,18 +249,18 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
         raise ValueError("window must be 8 to 31 words")
     parts = S.n_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
-    base = S.written(rows.mapInArrow(_kept(window), "id bigint, tkey bigint, n_words bigint, sha256 string"))
+    base = S.written(rows.mapInArrow(S.lean(_kept(window)), "id bigint, tkey bigint, n_words bigint, sha256 string"))
     long_ = F.octet_length("text") >= 2 * window - 1
     lead = base.where(F.col("n_words") >= window).groupBy("tkey").agg(F.min("id").alias("lead"))
-    seen = S.exchanged(rows.where(long_).select("tkey", "text").mapInArrow(symbol_sightings(window, parts), S.PACKED), parts)
-    places = S.written(S.per_owner(seen.mapInArrow(S.repeated_places(parts), S.PACKED), parts, np.uint32, ("owner", "places")))
+    seen = S.exchanged(rows.where(long_).select("tkey", "text").mapInArrow(S.lean(symbol_sightings(window, parts)), S.PACKED), parts)
+    places = S.written(S.per_owner(seen.mapInArrow(S.lean(S.repeated_places(parts)), S.PACKED), parts, np.uint32, ("owner", "places")))
     some = S.key_filter(rows.where(long_), places.select(F.col("owner").alias("tkey")), "tkey")
     wanted = places.join(lead, places.owner == lead.tkey).select("owner", "lead", "places")
     found = S.written(some.join(wanted, (F.col("tkey") == F.col("owner")) & F.col("id").eqNullSafe(F.col("lead"))).select("tkey", "lead", "text", "places"))
-    entries = S.exchanged(found.mapInArrow(window_entries(window, parts), S.PACKED), parts)
-    later = S.written(S.per_owner(entries.mapInArrow(later_windows(parts), S.PACKED), parts, np.uint32, ("owner", "places")))
+    entries = S.exchanged(found.mapInArrow(S.lean(window_entries(window, parts)), S.PACKED), parts)
+    later = S.written(S.per_owner(entries.mapInArrow(S.lean(later_windows(parts)), S.PACKED), parts, np.uint32, ("owner", "places")))
     texts = found.select("tkey", "text").join(later, F.col("tkey") == F.col("owner")).select("tkey", "text", "places").dropDuplicates(["tkey"])
-    cut = texts.mapInArrow(_kept(window), "tkey bigint, n_words bigint, n_removed bigint, sha256 string, kept string")
+    cut = texts.mapInArrow(S.lean(_kept(window)), "tkey bigint, n_words bigint, n_removed bigint, sha256 string, kept string")
     cut = S.written(cut.select("tkey", "n_removed", F.col("sha256").alias("kept_sha256"), *(["kept"] if with_text else [])))
     S.dropped(places, found, later)
     out = base.join(lead, "tkey", "left").join(cut, "tkey", "left")

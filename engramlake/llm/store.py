@@ -7,15 +7,16 @@ executor costs the re-run of its tasks only.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 PACKED = "part int, payload binary"
 
@@ -29,6 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def lean(f: Callable) -> Callable:
+    """The same function of batches; its worker, which others will use, gives free memory back at the end."""
+
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there."""
     spark = df.sparkSession
@@ -45,14 +60,14 @@ def dropped(*frames: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.engramlake_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if frames:
-        settled(frames[0].sparkSession)
 
 
 def settled(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first pass lets the JVM know which frames are gone
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def short_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -129,45 +144,54 @@ def per_owner(rows: DataFrame, parts: int, dtype: type, names: tuple[str, str])
         _, owner, value = unpacked(batches, np.uint64, np.int64, dtype)
         yield from listed(owner, value, names)
 
-    return exchanged(rows, parts).mapInArrow(run, f"{names[0]} bigint, {names[1]} binary")
+    return exchanged(rows, parts).mapInArrow(lean(run), f"{names[0]} bigint, {names[1]} binary")
 
 
-def key_filter(docs: DataFrame, keys: DataFrame, key: str, bits_most: int = 1 << 27) -> DataFrame:
-    """Rows of ``docs`` whose ``key`` may be among ``keys``: a Bloom filter of at most ``bits_most`` bits (16 MB).
+class KeyFilter:
+    """A Bloom filter of at most ``bits_most`` bits (16 MB) over a bigint column of a table.
 
     False positives only cost work; a join decides afterwards.
     """
-    spark = docs.sparkSession
-    n = keys.count()
-    bits = 1 << 16
-    while bits < min(bits_most, 16 * n):
-        bits *= 2
-
-    def marked(batches):
-        seen = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shift in (0, 27):
-                at = (x >> np.uint64(shift)) & np.uint64(bits - 1)
-                np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], ["bits"])
-
-    # at most 8 bit sets, each of a fixed size, reach the driver
-    sets = [np.frombuffer(r.bits, np.uint8) for r in keys.select(key).coalesce(8).mapInArrow(marked, "bits binary").collect()]
-    table = spark.sparkContext.broadcast(np.bitwise_or.reduce(sets).tobytes() if sets else bytes(bits // 8))
-
-    @F.pandas_udf("boolean")
-    def may_hold(column):
-        import pandas as pd
-
-        seen, x, ok = np.frombuffer(table.value, np.uint8), column.to_numpy().astype(np.int64).view(np.uint64), None
-        for shift in (0, 27):
-            at = (x >> np.uint64(shift)) & np.uint64(bits - 1)
-            hit = (seen[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            ok = hit if ok is None else ok & hit
-        return pd.Series(ok.astype(bool))
-
-    return docs.where(may_hold(F.col(key)))
+
+    def __init__(self, keys: DataFrame, bits_most: int = 1 << 27):
+        bits = 1 << 16
+        while bits < min(bits_most, 16 * keys.count()):
+            bits *= 2
+
+        def marked(batches):
+            seen = np.zeros(bits // 8, np.uint8)
+            for b in batches:
+                for at in places_of(b.column(0), bits):
+                    np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], ["bits"])
+
+        # at most 8 bit sets, each of a fixed size, reach the driver
+        sets = [np.frombuffer(r.bits, np.uint8) for r in keys.coalesce(8).mapInArrow(marked, "bits binary").collect()]
+        self.bits = bits
+        self.table = keys.sparkSession.sparkContext.broadcast(np.bitwise_or.reduce(sets).tobytes() if sets else bytes(bits // 8))
+
+    def may_hold(self, column: pa.Array) -> np.ndarray:
+        seen = np.frombuffer(self.table.value, np.uint8)
+        hits = [(seen[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 for at in places_of(column, self.bits)]
+        return np.bitwise_and.reduce(hits).astype(bool)
+
+    def rows(self, df: DataFrame, key: str, then: Callable | None = None, schema: str | None = None) -> DataFrame:
+        """Rows of ``df`` whose ``key`` may be in the table; with ``then``, what that makes of their batches in the same worker."""
+
+        def run(batches):
+            some = (b.filter(pa.array(self.may_hold(b.column(key)))) for b in batches)
+            yield from then(b for b in some if len(b)) if then else some
+
+        return df.mapInArrow(lean(run), schema or df.schema)
+
+
+def places_of(column: pa.Array, bits: int) -> list[np.ndarray]:
+    x = column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return [(x >> np.uint64(shift)) & np.uint64(bits - 1) for shift in (0, 27)]
+
+
+def key_filter(docs: DataFrame, keys: DataFrame, key: str, then: Callable | None = None, schema: str | None = None) -> DataFrame:
+    return KeyFilter(keys.select(key)).rows(docs, key, then, schema)
 
 
 KNOWN = np.uint32(1 << 31)
