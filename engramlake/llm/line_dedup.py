@@ -25,6 +25,8 @@ U = np.uint64
 ROWS, BANDS, SHINGLE = 6, 12, 5
 #: Of 32 bits: lines of similarity 0.8 differ in 3.2 on average, in more than this with a chance of 1 in 2,000.
 UNLIKE = 9
+#: A band shared by more lines than this is hot.
+HOT = 3
 #: Cells of a line's sketch.
 CELLS = 128
 _chance = np.random.default_rng(20240601)
@@ -143,7 +145,7 @@ def _joined(parts: int):
         here, there = S.both_kinds(parts, batches)
         sig, sid, bits = S.unpacked(here, U, np.int64, np.uint32)
         del here
-        for b in J.candidates(sig, sid, np.full(len(sig), -1, np.int8), bits, UNLIKE):
+        for b in J.candidates(sig, sid, np.full(len(sig), -1, np.int8), bits, UNLIKE, HOT):
             m = len(b)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(m, np.int64))], names)
         del sig, sid, bits
@@ -228,7 +230,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = 15, id_colu
         some = S.key_filter(rows, own.select(F.col("k").alias("rkey")), "rkey").join(own, F.col("rkey") == F.col("k")).select("text", "wanted")
         return S.written(some.mapInArrow(S.lean(_sets), "set_id bigint, size bigint, sketch binary, members binary"))
 
-    _, roots = J.linked(found, members, lambda ids: S.written(members(ids).select("set_id", "members")), percent, parts, _read)
+    _, roots = J.linked(found, members, lambda ids: S.written(members(ids).select("set_id", "members")), percent, parts, _read, small=True)
     S.settled(docs.sparkSession)
     near = first.join(roots, F.col("x") == F.col("node"))
     least = near.groupBy("root").agg(F.min(F.struct("doc", "k", "n")).alias("least"))

@@ -192,11 +192,11 @@ def _candidates(batches):
     yield from candidates(*S.unpacked(batches, U, np.int64, np.int8))
 
 
-def candidates(sig: np.ndarray, sid: np.ndarray, slack: np.ndarray, bits: np.ndarray | None = None, unlike: int = 0):
+def candidates(sig: np.ndarray, sid: np.ndarray, slack: np.ndarray, bits: np.ndarray | None = None, unlike: int = 0, hot_from: int = HOT):
     """Rows (kind, x, y, slack, n): 0 pairs of sets of one band, their larger slack, and signatures shared here (times 64,
     plus the band); 1 a hot signature and a set that holds it; 2 pairs of chance neighbours of one hot group.
 
-    With ``bits``, only pairs that differ in at most ``unlike`` of them.
+    With ``bits``, only pairs that differ in at most ``unlike`` of them. Groups of more than ``hot_from`` sets are hot.
     """
     if not len(sig):
         return
@@ -236,20 +236,24 @@ def candidates(sig: np.ndarray, sid: np.ndarray, slack: np.ndarray, bits: np.nda
     cut = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, np.int64)
     size = np.diff(np.r_[cut, len(sig)])
     pairs = []
-    for gap in range(1, HOT):
-        own = (size > gap) & (size <= HOT)
+    for gap in range(1, hot_from):
+        own = (size > gap) & (size <= hot_from)
         if not own.any():
             break
         left = K.ranges(cut[own], size[own] - gap)
         pairs.append(told(left, left + gap))
-    hot = size > HOT
+    hot = size > hot_from
     if hot.any():
-        # chance neighbours, others for each signature; a quarter of the signatures will do
+        # chance neighbours, others for each signature; where sets share many of them, a quarter will do
         rows = K.ranges(cut[hot], size[hot])
         near = rows[np.lexsort((K.mixed(sid[rows].view(U) ^ K.mixed(sig[rows])), sig[rows]))]
-        left = K.ranges(np.cumsum(size[hot]) - size[hot], size[hot] - 1)
-        left = left[(K.mixed(sig[near[left]]) & U(3)) == 0]
-        yield from rows_of(2, [told(near[left], near[left + 1])])
+        seeds = []
+        for gap in (1,) if bits is None else (1, 2):
+            left = K.ranges(np.cumsum(size[hot]) - size[hot], size[hot] - gap)
+            if bits is None:
+                left = left[(K.mixed(sig[near[left]]) & U(3)) == 0]
+            seeds.append(told(near[left], near[left + gap]))
+        yield from rows_of(2, seeds)
         for a in range(0, len(rows), 50000):
             r = rows[a : a + 50000]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(r), np.int8)), pa.array(sig[r].view(np.int64)), pa.array(sid[r]), pa.array(slack[r]), pa.array(np.zeros(len(r), np.int32))], names)
@@ -318,25 +322,48 @@ def _verified(percent: int, read: Callable):
     return run
 
 
-def _across(percent: int):
-    """Of rows sorted by (sig, low, high): possible pairs (a, b) of one group, of different roots and, if low < high, blocks."""
+def _across(percent: int, read: Callable | None):
+    """Of rows sorted by (sig, low, high): possible pairs (a, b) of one group, of different roots and, if low < high, blocks.
 
-    def compared(group: pa.Table):
+    With ``read``, pairs are verified and only those are told that join what nothing told before has joined.
+    """
+
+    def possible(group: pa.Table):
         own, root, ids, size = (group.column(c).to_numpy() for c in ("own", "root", "set_id", "size"))
         if (root == root[0]).all():
             return
         cells = unsketched(group.column("sketch").to_pylist())
-        mixed = own[0] != own[-1] or (own != own[0]).any()
+        blocks = (own != own[0]).any()
         for i in range(len(ids) - 1):
             js = np.arange(i + 1, len(ids))
             js = js[root[js] != root[i]]
             js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
-            if mixed:
+            if blocks:
                 js = js[own[js] != own[i]]
             if len(js):
                 js = js[(100 + percent) * apart(cells[js], cells[i]) <= (100 - percent) * (size[js] + size[i])]
             if len(js):
+                yield i, js
+
+    def compared(group: pa.Table):
+        ids = group.column("set_id").to_numpy()
+        if read is None:
+            for i, js in possible(group):
                 yield np.minimum(ids[js], ids[i]), np.maximum(ids[js], ids[i])
+            return
+        sets, joined = None, group.column("root").to_numpy().copy()
+        for i, js in possible(group):
+            sets = sets or read(group.column("members").combine_chunks())
+            for j in js.tolist():
+                if joined[i] == joined[j]:
+                    continue
+                h, at = sets
+                both = np.concatenate([h[at[i] : at[i + 1]], h[at[j] : at[j + 1]]])
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * common >= percent * (len(both) - common):
+                    joined[joined == joined[j]] = joined[i]
+                    yield np.array([min(ids[i], ids[j])]), np.array([max(ids[i], ids[j])])
 
     def run(batches):
         rest = None
@@ -364,11 +391,12 @@ def _ended(batches):
     yield None
 
 
-def linked(found: DataFrame, sketches: Callable, members: Callable, percent: int, parts: int, read: Callable, worth: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(found: DataFrame, sketches: Callable, members: Callable, percent: int, parts: int, read: Callable, worth: Column | None = None, small: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and their components (node, root) of what ``candidates`` found.
 
     ``sketches`` gives rows (set_id, size, sketch) of a table of set_ids, ``members`` rows (set_id, members), from which ``read``
-    makes the sets' distinct hashes and their offsets, a column at a time. ``worth`` is what a hot signature costs in each band; without it no set has slack.
+    makes the sets' distinct hashes and their offsets, a column at a time. ``worth`` is what a hot signature costs in each band; without it no set has slack. ``small`` members travel with
+    hot groups, which then tell links at once, and only what joins their sets.
     """
     hot = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("set_id"), "slack").withColumn("band", F.col("sig").bitwiseAND(63))
     price = F.get(worth, F.col("band").cast("int")) if worth is not None else F.lit(1)
@@ -412,12 +440,13 @@ def linked(found: DataFrame, sketches: Callable, members: Callable, percent: int
     poor = S.written(poor.select("sig", "set_id", F.coalesce("root", "set_id").alias("root")))
     # blocks of at most BLOCK sets are compared with each other, by sketches: bounded tasks, and only possible pairs leave them
     split = poor.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low != high").select("sig", "blocks")
-    poor = poor.join(split, "sig").join(sets.select("set_id", "size", "sketch"), "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    what = ["set_id", "size", "sketch", *(["members"] if small else [])]
+    poor = poor.join(split, "sig").join(sets.select(*what), "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     poor = poor.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    poor = poor.select("sig", "low", "high", "own", "root", "set_id", "size", "sketch").repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
-    across = S.written(poor.mapInArrow(S.lean(_across(percent)), "a bigint, b bigint"))
+    poor = poor.select("sig", "low", "high", "own", "root", *what).repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+    across = S.written(poor.mapInArrow(S.lean(_across(percent, read if small else None)), "a bigint, b bigint").distinct())
     if not across.isEmpty():
-        links = S.written(links.union(verified(across.distinct().join(links, ["a", "b"], "left_anti"))))
+        links = S.written(links.union(across if small else verified(across.join(links, ["a", "b"], "left_anti"))).distinct())
         roots = S.written(components(links))
     S.dropped(sets)
     return links, roots
