@@ -19,7 +19,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     neighbours, then its smaller ones, to its least neighbour and is written to the shared folder, so
     a lost executor never costs earlier rounds. Rounds needed grow with the logarithm of the nodes.
     """
-    edges = S.written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = S.written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), small=True)
     mark = _mark(edges)
     for _ in range(rounds):
         if not mark[0]:
@@ -27,11 +27,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = S.written(large)
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         hooked = large.join(small.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = S.written(hooked.union(small.select("a", F.col("m").alias("b"))).distinct())
-        S.dropped(edges, large)
+        new = S.written(hooked.union(small.select("a", F.col("m").alias("b"))).distinct(), small=True)
+        S.dropped(edges)
         edges, before = new, mark
         mark = _mark(edges)
         if mark == before:

@@ -226,17 +226,17 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = 15, id_colu
 
     def members(ids: DataFrame) -> DataFrame:
         own = first.join(ids, F.col("x") == F.col("set_id"), "left_semi").groupBy("k").agg(F.collect_list(F.struct("n", "x")).alias("wanted"))
-        own = S.written(own)
+        own = S.written(own, small=True)
         some = S.key_filter(rows, own.select(F.col("k").alias("rkey")), "rkey").join(own, F.col("rkey") == F.col("k")).select("text", "wanted")
-        return S.written(some.mapInArrow(S.lean(_sets), "set_id bigint, size bigint, sketch binary, members binary"))
+        return S.kept(some.mapInArrow(S.lean(_sets), "set_id bigint, size bigint, sketch binary, members binary"))
 
-    _, roots = J.linked(found, members, lambda ids: S.written(members(ids).select("set_id", "members")), percent, parts, _read, small=True)
+    _, roots = J.linked(found, members, lambda ids: members(ids).select("set_id", "members"), percent, parts, _read, small=True)
     S.settled(docs.sparkSession)
     near = first.join(roots, F.col("x") == F.col("node"))
     least = near.groupBy("root").agg(F.min(F.struct("doc", "k", "n")).alias("least"))
     near = near.join(least, "root").where(F.struct("doc", "k", "n") != F.col("least")).select("k", "n")
     gone = found.where("kind = 4").select(F.col("y").alias("k"), "n").union(near)
-    gone = S.written(gone.groupBy("k").agg(F.array_distinct(F.collect_list("n")).alias("gone")))
+    gone = S.kept(gone.groupBy("k").agg(F.array_distinct(F.collect_list("n")).alias("gone")))
     some = S.key_filter(rows, gone.select(F.col("k").alias("rkey")), "rkey")
     cut = some.join(gone, F.col("rkey") == F.col("k")).select("rkey", "text", "gone").mapInArrow(S.lean(_cut), "rkey bigint, n_removed bigint, kept_sha256 string, kept string")
     cut = S.written((cut if with_text else cut.drop("kept")).withColumnRenamed("rkey", "k").dropDuplicates(["k"]))

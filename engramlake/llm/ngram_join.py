@@ -408,22 +408,22 @@ def linked(found: DataFrame, sketches: Callable, members: Callable, percent: int
             pairs = pairs.join(held.select(F.col("set_id").alias(end), "band", F.col("held").alias(f"held_{end}")), [end, "band"], "left")
         pairs = pairs.where(F.col("n") * price > F.col("slack") - F.greatest(F.coalesce("held_x", F.lit(0)), F.coalesce("held_y", F.lit(0))))
     pairs = pairs.select("x", "y").union(found.where("kind = 2").select("x", "y"))
-    pairs = S.written(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    pairs = S.written(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), small=True)
     sets = sketches(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(hot.select("set_id")).distinct())
 
     def verified(near: DataFrame) -> DataFrame:
         # only sets that a sketch couldn't part travel whole
-        near = S.written(near)
+        near = S.written(near, small=True)
         own = members(near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
         a, b = (own.select(F.col("set_id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
-        out = S.written(near.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(S.lean(_verified(percent, read)), "a bigint, b bigint").distinct())
+        out = S.written(near.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(S.lean(_verified(percent, read)), "a bigint, b bigint").distinct(), small=True)
         S.dropped(own, near)
         return out
 
     a, b = (sets.select(F.col("set_id").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= %d * greatest(na, nb)" % percent)
     links = verified(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(S.lean(_possible(percent)), "a bigint, b bigint"))
-    roots = S.written(components(links))
+    roots = S.written(components(links), small=True)
     S.settled(found.sparkSession)
     # hot signatures: sets whose slack doesn't pay for all of theirs, across components
     poor = hot
@@ -437,17 +437,17 @@ def linked(found: DataFrame, sketches: Callable, members: Callable, percent: int
         held = held.withColumns({"nth": F.row_number().over(along), "all": F.count("*").over(own)})
         poor = held.where((F.col("nth") - 1) * price < F.col("all") * price - F.greatest(F.col("slack").cast("int"), F.lit(0))).select("sig", "set_id")
     poor = poor.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    poor = S.written(poor.select("sig", "set_id", F.coalesce("root", "set_id").alias("root")))
+    poor = S.written(poor.select("sig", "set_id", F.coalesce("root", "set_id").alias("root")), small=True)
     # blocks of at most BLOCK sets are compared with each other, by sketches: bounded tasks, and only possible pairs leave them
     split = poor.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low != high").select("sig", "blocks")
     what = ["set_id", "size", "sketch", *(["members"] if small else [])]
     poor = poor.join(split, "sig").join(sets.select(*what), "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     poor = poor.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
     poor = poor.select("sig", "low", "high", "own", "root", *what).repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
-    across = S.written(poor.mapInArrow(S.lean(_across(percent, read if small else None)), "a bigint, b bigint").distinct())
+    across = S.written(poor.mapInArrow(S.lean(_across(percent, read if small else None)), "a bigint, b bigint").distinct(), small=True)
     if not across.isEmpty():
-        links = S.written(links.union(across if small else verified(across.join(links, ["a", "b"], "left_anti"))).distinct())
-        roots = S.written(components(links))
+        links = S.written(links.union(across if small else verified(across.join(links, ["a", "b"], "left_anti"))).distinct(), small=True)
+        roots = S.written(components(links), small=True)
     S.dropped(sets)
     return links, roots
 
@@ -464,7 +464,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: s
     S.short_batches(docs.sparkSession)
     parts = S.n_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
-    base = S.written(rows.mapInArrow(S.lean(_described(k)), "id bigint, tkey bigint, n_shingles bigint, set_id bigint"))
+    base = S.kept(rows.mapInArrow(S.lean(_described(k)), "id bigint, tkey bigint, n_shingles bigint, set_id bigint"))
     index = S.exchanged(rows.select("text").mapInArrow(S.lean(_indexed(k, percent, parts)), S.PACKED), parts)
     found = S.written(index.mapInArrow(S.lean(_candidates), FOUND))
     del index
@@ -473,7 +473,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: s
     lead = base.where("set_id != 0").groupBy("set_id").agg(F.min(F.struct("tkey", "id")).alias("lead")).select("set_id", "lead.tkey", "lead.id")
 
     def places(ids: DataFrame) -> DataFrame:
-        return S.written(lead.join(ids, "set_id", "left_semi").select("set_id", F.col("tkey").alias("k"), F.col("id").alias("i")))
+        return S.written(lead.join(ids, "set_id", "left_semi").select("set_id", F.col("tkey").alias("k"), F.col("id").alias("i")), small=True)
 
     here = (F.col("tkey") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))
 
@@ -481,12 +481,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: s
         own = places(ids)
         # the sketch is made where the text is read
         some = S.key_filter(rows, own.select(F.col("k").alias("tkey")), "tkey", _sketches(k), "tkey bigint, id bigint, size bigint, sketch binary")
-        return S.written(some.join(own, here).select("set_id", "size", "sketch"))
+        return S.kept(some.join(own, here).select("set_id", "size", "sketch"))
 
     def members(ids: DataFrame) -> DataFrame:
         own = places(ids)
         some = S.key_filter(rows, own.select(F.col("k").alias("tkey")), "tkey")
-        return S.written(some.join(own, here).select("set_id", F.col("text").cast("binary").alias("members")))
+        return S.kept(some.join(own, here).select("set_id", F.col("text").cast("binary").alias("members")))
 
     def read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found, offsets = [], [np.zeros(1, np.int64)]

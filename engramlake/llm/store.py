@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 PACKED = "part int, payload binary"
@@ -44,19 +45,33 @@ def lean(f: Callable) -> Callable:
     return run
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there."""
+def written(df: DataFrame, small: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there.
+
+    ``small``: a table of far fewer rows than the input goes to a sixteenth of the session's partitions, to save files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/engramlake/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    few = df.coalesce(max(1, n_partitions(spark) // 16)) if small else df
+    few.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.engramlake_path = path
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Compute ``df`` now and keep its rows on the executors; what a lost executor held is computed again from its lineage."""
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
 def dropped(*frames: DataFrame) -> None:
-    """Delete tables of ``written`` that nothing will read again, and let Spark clean their shuffles."""
+    """Let go of tables of ``written`` or ``kept`` that nothing will read again."""
     for df in frames:
+        if not hasattr(df, "engramlake_path"):
+            df.unpersist()
+            continue
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.engramlake_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
