@@ -230,7 +230,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = 15, id_colu
         some = S.key_filter(rows, own.select(F.col("k").alias("rkey")), "rkey").join(own, F.col("rkey") == F.col("k")).select("text", "wanted")
         return S.kept(some.mapInArrow(S.lean(_sets), "set_id bigint, size bigint, sketch binary, members binary"))
 
-    _, roots = J.linked(found, members, lambda ids: members(ids).select("set_id", "members"), percent, parts, _read, small=True)
+    _, roots = J.linked(found, members, None, percent, parts, _read, small=True)
     S.settled(docs.sparkSession)
     near = first.join(roots, F.col("x") == F.col("node"))
     least = near.groupBy("root").agg(F.min(F.struct("doc", "k", "n")).alias("least"))
@@ -241,7 +241,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = 15, id_colu
     cut = some.join(gone, F.col("rkey") == F.col("k")).select("rkey", "text", "gone").mapInArrow(S.lean(_cut), "rkey bigint, n_removed bigint, kept_sha256 string, kept string")
     cut = S.written((cut if with_text else cut.drop("kept")).withColumnRenamed("rkey", "k").dropDuplicates(["k"]))
     S.dropped(found, gone)
-    n_lines = (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+    n_lines = (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
     removed = F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed")
     if with_text:
         plain = docs.drop("n_lines", "n_removed", "kept", "rkey", "k").select("*", key.alias("rkey"), n_lines.alias("n_lines"))

@@ -391,7 +391,7 @@ def _ended(batches):
     yield None
 
 
-def linked(found: DataFrame, sketches: Callable, members: Callable, percent: int, parts: int, read: Callable, worth: Column | None = None, small: bool = False) -> tuple[DataFrame, DataFrame]:
+def linked(found: DataFrame, sketches: Callable, members: Callable | None, percent: int, parts: int, read: Callable, worth: Column | None = None, small: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and their components (node, root) of what ``candidates`` found.
 
     ``sketches`` gives rows (set_id, size, sketch) of a table of set_ids, ``members`` rows (set_id, members), from which ``read``
@@ -414,10 +414,10 @@ def linked(found: DataFrame, sketches: Callable, members: Callable, percent: int
     def verified(near: DataFrame) -> DataFrame:
         # only sets that a sketch couldn't part travel whole
         near = S.written(near, small=True)
-        own = members(near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+        own = sets if small else members(near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
         a, b = (own.select(F.col("set_id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
         out = S.written(near.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(S.lean(_verified(percent, read)), "a bigint, b bigint").distinct(), small=True)
-        S.dropped(own, near)
+        S.dropped(near, *([] if small else [own]))
         return out
 
     a, b = (sets.select(F.col("set_id").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
