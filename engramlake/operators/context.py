@@ -91,7 +91,7 @@ def source_type(text: Column) -> Column:
     """dialogue, transcript, json, csv or article, by the first 2000 characters."""
     head = F.substring(text, 1, 2000)
     return (
-        F.when(head.rlike("(?m)^(user|assistant|system|human|ai)\\s*[:：]"), "dialogue")
+        F.when(head.rlike("(?im)^(user|assistant|system|human|ai)\\s*[:：]"), "dialogue")
         .when(head.rlike("(?m)^\\[?\\d{1,2}:\\d{2}(:\\d{2})?\\]?"), "transcript")
         .when(head.rlike("^\\s*[\\[{]") & F.try_parse_json(text).isNotNull(), "json")
         .when(head.rlike("^[^\\n,]+(,[^\\n,]*){2,}\\n[^\\n,]*(,[^\\n,]*){2,}"), "csv")

@@ -54,7 +54,7 @@ def superseded(facts: DataFrame) -> DataFrame:
 def expired(facts: DataFrame, uuids: DataFrame, now: str) -> DataFrame:
     """System-time close of the facts in ``uuids``."""
     gone = uuids.select("uuid").distinct().withColumn("gone", F.lit(True))
-    return facts.join(gone, "uuid", "left").withColumn("expired_at", F.when("gone", at(now))).drop("gone")
+    return facts.join(gone, "uuid", "left").withColumn("expired_at", F.when(F.col("gone"), at(now))).drop("gone")
 
 
 def expanding_window(rows: DataFrame, now: str, least: int = 3, by: str = "subject") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from engramlake.functions import text as T
 from engramlake.functions import times as TM
 from engramlake.functions import vectors as V
-from engramlake.operators import context, dedup, graph, metrics, quality, search, store, temporal
+from engramlake.operators import context, dedup, graph, metrics, quality, search, store, temporal, vector_index
 from engramlake.plans import search as plan
 from engramlake.sources import tables as src
 
@@ -466,7 +466,7 @@ def h_chunks(spark, sf):
     return context.chunks(src.memories(spark, sf), 128, 32)
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(substring(html, 1, 2000), '(?m)^(user|assistant|system|human|ai)\\s*[:：]') THEN 'dialogue' WHEN regexp_matches(substring(html, 1, 2000), '(?m)^\\[?\\d{1,2}:\\d{2}(:\\d{2})?\\]?') THEN 'transcript' ELSE 'other' END AS kind FROM pages")
+@query("SELECT page_id, CASE WHEN regexp_matches(substring(html, 1, 2000), '(?im)^(user|assistant|system|human|ai)\\s*[:：]') THEN 'dialogue' WHEN regexp_matches(substring(html, 1, 2000), '(?m)^\\[?\\d{1,2}:\\d{2}(:\\d{2})?\\]?') THEN 'transcript' ELSE 'other' END AS kind FROM pages")
 def h_source_type(spark, sf):
     kind = context.source_type(F.col("html"))
     return src.table(spark, sf, "pages").select("page_id", F.when(kind.isin("dialogue", "transcript"), kind).otherwise("other").alias("kind"))
@@ -725,3 +725,94 @@ def p_every_nth_turn(spark, sf):
 @query("SELECT user_id, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
 def p_rate_window(spark, sf):
     return src.table(spark, sf, "events").groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+# further windows, graphs, vectors and context
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 25 OFFSET 50")
+def e_clamped_page(spark, sf):
+    rows = src.table(spark, sf, "events").select("event_id", "value")
+    return store.clamped_page(rows, 3, 25, F.desc("value"), F.col("event_id"))
+
+
+@query(f"""WITH {FACTS} SELECT uuid, CASE WHEN predicate = 'click' THEN TIMESTAMP '{NOW}' END AS expired_at FROM facts""")
+def k_expire(spark, sf):
+    facts = src.facts(spark, sf)
+    return temporal.expired(facts, facts.where("predicate = 'click'").select("uuid"), NOW).select("uuid", "expired_at")
+
+
+@query(f"""WITH {EDGES}, s AS (SELECT 'c:' || c_custkey AS start FROM customer WHERE c_custkey <= 20), d1 AS (SELECT DISTINCT start, dst AS node FROM s JOIN edges ON src = start), d2 AS (SELECT DISTINCT start, dst AS node FROM d1 JOIN edges ON src = node),
+d3 AS (SELECT DISTINCT start, dst AS node FROM d2 JOIN edges ON src = node) SELECT start, node AS goal, 3 AS hops FROM d3 WHERE node IN ('s:1', 's:2', 's:3')""")
+def l_shortest_paths(spark, sf):
+    goals = spark.createDataFrame([("s:1",), ("s:2",), ("s:3",)], "goal string")
+    return graph.shortest_paths(src.edges(spark, sf), _starts(spark, sf).crossJoin(goals), 3)
+
+
+@query("""SELECT count(*) AS communities, min(n) AS smallest, max(n) AS largest, round(avg(n), 6) AS mean_size FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) >= 2)""")
+def l_community_stats(spark, sf):
+    return graph.community_statistics(src.table(spark, sf, "customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("label")), "label")
+
+
+@query("SELECT user_id AS entity, event_type AS type, count(*) AS n, max(value) AS confidence, min(event_id) AS first FROM events GROUP BY user_id, event_type HAVING count(*) >= 3")
+def d_entity_occurrences(spark, sf):
+    rows = src.table(spark, sf, "events")
+    return rows.groupBy(F.col("user_id").alias("entity"), F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.max("value").alias("confidence"), F.min("event_id").alias("first")).where("n >= 3")
+
+
+@query("SELECT n_name AS name, r_name AS community FROM nation JOIN region ON n_regionkey = r_regionkey")
+def l_node_community(spark, sf):
+    nations, regions = src.table(spark, sf, "nation"), src.table(spark, sf, "region")
+    return nations.join(regions, nations.n_regionkey == regions.r_regionkey).select(F.col("n_name").alias("name"), F.col("r_name").alias("community"))
+
+
+@query("""WITH t AS (SELECT conv_id AS query_id, turn AS ord, role || ': ' || text AS line FROM conversations),
+a AS (SELECT *, 0 AS section, sum(length(line)) OVER (PARTITION BY query_id ORDER BY ord) AS used FROM t WHERE line LIKE 'user:%'), b AS (SELECT *, 1 AS section, sum(length(line)) OVER (PARTITION BY query_id ORDER BY ord) AS used FROM t WHERE line LIKE 'assistant:%')
+SELECT query_id, section, ord, line FROM (SELECT * FROM a WHERE used <= 400 UNION ALL SELECT * FROM b WHERE used <= 1200)""")
+def o_context_sections(spark, sf):
+    rows = src.turns(spark, sf).select(F.col("conv_id").alias("query_id"), F.col("turn").alias("ord"), F.concat("role", F.lit(": "), "text").alias("line"))
+    return context.sections([rows.where(F.col("line").startswith("user:")), rows.where(F.col("line").startswith("assistant:"))], [400, 1200])
+
+
+@query("SELECT q.vec_id AS query_id, e.vec_id AS id, round(0.7 * list_cosine_similarity(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))) + 0.3 * (e.vec_id % 7 / 7), 6) AS score FROM embeddings q JOIN embeddings e ON e.label = q.label WHERE q.vec_id < 3")
+def j_fine_rank(spark, sf):
+    rows = src.table(spark, sf, "embeddings")
+    asked = rows.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    found = rows.join(asked.select("query_id", "label"), "label").select("query_id", F.col("vec_id").alias("id"), (F.pmod("vec_id", F.lit(7)) / 7).alias("score"))
+    out = search.fine_rank(found, rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), asked.select("query_id", "q"))
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query()
+def j_ivf_topk(spark, sf):
+    rows = src.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    model = vector_index.fit(rows, vector_index.n_cells(rows.count()))
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return vector_index.nearest(vector_index.indexed(rows, model), asked, model, 10, vector_index.n_probes(len(model.clusterCenters())))
+
+
+@query("SELECT event_type, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'resolved') AS resolved FROM (SELECT event_type, CASE WHEN value > 100 THEN 'pending' ELSE 'resolved' END AS status FROM events) GROUP BY event_type")
+def m_status_counts(spark, sf):
+    status = F.when(F.col("value") > 100, "pending").otherwise("resolved")
+    rows = src.table(spark, sf, "events").withColumn("status", status)
+    one = lambda s: F.sum(F.when(F.col("status") == s, 1).otherwise(0))
+    return rows.groupBy("event_type").agg(one("pending").alias("pending"), one("resolved").alias("resolved"))
+
+
+@query(f"""WITH {FACTS}, d AS (SELECT a.uuid AS old_uuid, min(b.valid_from) AS cut FROM facts a JOIN facts b ON a.subject = b.subject AND a.predicate = b.predicate AND a.uuid < b.uuid AND a.object <> b.object
+WHERE NOT coalesce(a.valid_until < b.valid_from, false) AND NOT coalesce(b.valid_until < a.valid_from, false) GROUP BY a.uuid) SELECT uuid, coalesce(cut, valid_until) AS valid_until FROM facts LEFT JOIN d ON uuid = old_uuid""")
+def m_supersede(spark, sf):
+    facts = src.facts(spark, sf)
+    return quality.resolved(facts, quality.direct(facts), "supersede").select("uuid", "valid_until")
+
+
+@query("SELECT entity, n, round(greatest(0.5, 1 - 0.1 * n), 6) AS confidence FROM (SELECT user_id::VARCHAR AS entity, count(*) AS n FROM events WHERE value > 150 GROUP BY user_id)")
+def m_consistency_report(spark, sf):
+    said = src.table(spark, sf, "events").where("value > 150").select(F.col("user_id").cast("string").alias("entity"))
+    return quality.report(said)
+
+
+@query(f"WITH {EDGES}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node) SELECT split_part(node, ':', 1) AS kind, count(*) AS nodes, round(avg(degree), 6) AS mean_degree FROM d GROUP BY 1")
+def d_average_degree(spark, sf):
+    degree = graph.both_ways(src.edges(spark, sf)).groupBy("src").agg(F.count("*").alias("degree"))
+    return degree.groupBy(F.substring_index("src", ":", 1).alias("kind")).agg(F.count("*").alias("nodes"), F.round(F.avg("degree"), 6).alias("mean_degree"))

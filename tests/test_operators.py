@@ -92,3 +92,28 @@ def test_streaming_dedupe_and_resume(spark, tmp_path):
         stream = ingest.deduplicated(ingest.arriving(spark, str(tmp_path / "in"), schema), "ts", ["id"])
         ingest.run_once(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
         assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_ivf_recall(spark, sf):
+    from engramlake.operators import vector_index
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    model = vector_index.fit(rows, vector_index.n_cells(rows.count()))
+    near = vector_index.nearest(vector_index.indexed(rows, model), asked, model, 10, vector_index.n_probes(len(model.clusterCenters())))
+    exact = search.nearest(rows, asked, 10)
+    assert exact.join(near, ["query_id", "id"]).count() >= 0.9 * exact.count()
+
+
+def test_expired_facts(spark):
+    facts = spark.createDataFrame([(1, "a"), (2, "b")], "uuid int, v string")
+    found = {r.uuid: r.expired_at for r in temporal.expired(facts, facts.where("uuid = 1"), "2024-01-01 00:00:00").collect()}
+    assert found == {1: datetime(2024, 1, 1), 2: None}
+
+
+def test_chunks_and_source_types(spark):
+    docs = spark.createDataFrame([(1, "One two three. Four five six! Seven eight? Nine."), (2, "")], "id bigint, content string")
+    rows = context.chunks(docs, 5, 2).orderBy("id", "idx").collect()
+    assert [r.content for r in rows if r.id == 1][0] == "One two three." and all(r.total == len([x for x in rows if x.id == r.id]) for r in rows)
+    kinds = spark.createDataFrame([("User: hi\nAI: ho",), ("[00:12] start",), ('{"a": 1}',), ("a,b,c\n1,2,3",), ("plain words",)], "t string").select(context.source_type(F.col("t")).alias("k"))
+    assert [r.k for r in kinds.collect()] == ["dialogue", "transcript", "json", "csv", "article"]
