@@ -254,11 +254,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
     lead = base.where(F.col("n_words") >= window).groupBy("tkey").agg(F.min("id").alias("lead"))
     seen = S.exchanged(rows.where(long_).select("tkey", "text").mapInArrow(S.lean(symbol_sightings(window, parts)), S.PACKED), parts)
     places = S.written(S.per_owner(seen.mapInArrow(S.lean(S.repeated_places(parts)), S.PACKED), parts, np.uint32, ("owner", "places")))
+    del seen
+    S.settled(docs.sparkSession)
     some = S.key_filter(rows.where(long_), places.select(F.col("owner").alias("tkey")), "tkey")
     wanted = places.join(lead, places.owner == lead.tkey).select("owner", "lead", "places")
     found = S.written(some.join(wanted, (F.col("tkey") == F.col("owner")) & F.col("id").eqNullSafe(F.col("lead"))).select("tkey", "lead", "text", "places"))
+    S.settled(docs.sparkSession)
     entries = S.exchanged(found.mapInArrow(S.lean(window_entries(window, parts)), S.PACKED), parts)
     later = S.written(S.per_owner(entries.mapInArrow(S.lean(later_windows(parts)), S.PACKED), parts, np.uint32, ("owner", "places")))
+    del entries
+    S.settled(docs.sparkSession)
     texts = found.select("tkey", "text").join(later, F.col("tkey") == F.col("owner")).select("tkey", "text", "places").dropDuplicates(["tkey"])
     cut = texts.mapInArrow(S.lean(_kept(window)), "tkey bigint, n_words bigint, n_removed bigint, sha256 string, kept string")
     cut = S.written(cut.select("tkey", "n_removed", F.col("sha256").alias("kept_sha256"), *(["kept"] if with_text else [])))

@@ -335,10 +335,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_column: str = "doc_id"
     lead = base.where(long_).groupBy("tkey", "n_bytes").agg(F.min("id").alias("lead"), F.count("*").alias("copies"))
     seen = S.exchanged(rows.where(long_).select("tkey", "text").mapInArrow(S.lean(anchor_sightings(length, parts)), S.PACKED), parts)
     places = S.written(S.per_owner(seen.mapInArrow(S.lean(S.repeated_places(parts)), S.PACKED), parts, np.uint32, ("owner", "places")))
+    del seen
+    S.settled(spark)
     wanted = places.join(lead, places.owner == lead.tkey).select("owner", "lead", F.col("n_bytes").alias("size"), "copies", "places")
     some = S.key_filter(rows.where(long_), places.select(F.col("owner").alias("tkey")), "tkey")
     same = (F.col("tkey") == F.col("owner")) & (F.col("n_bytes") == F.col("size")) & F.col("id").eqNullSafe(F.col("lead"))
     found = S.written(some.join(wanted, same).select("tkey", "text", "copies", "places"))
+    S.settled(spark)
     around = S.exchanged(found.select("tkey", "text", "places").mapInArrow(S.lean(contexts(length, parts)), S.PACKED), parts)
     runs = S.written(S.per_owner(around.mapInArrow(S.lean(twin_windows(length, parts)), S.PACKED), parts, np.uint64, ("owner", "runs")))
     cut = found.where("copies = 1").select("tkey", "text").join(runs, F.col("tkey") == F.col("owner")).select("tkey", "text", "runs")
