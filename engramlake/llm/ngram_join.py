@@ -106,7 +106,7 @@ def allocation(low: int, high: int, percent: int) -> tuple[int, int, int]:
                 best = (cost, exact, deletions, slack)
     _, exact, deletions, slack = best
     # what is spare pays for hot subsets
-    more = 0 if deletions else exact // 8
+    more = 0 if deletions else exact // 16
     return exact + more, deletions, slack + more
 
 
