@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from engramlake.functions import text as T
 from engramlake.functions import times as TM
 from engramlake.functions import vectors as V
-from engramlake.operators import context, dedup, graph, metrics, quality, search, store, temporal, vector_index
+from engramlake.operators import context, dedup, graph, lifecycle, metrics, quality, search, store, temporal, vector_index
 from engramlake.plans import search as plan
 from engramlake.sources import tables as src
 
@@ -816,3 +816,43 @@ def m_consistency_report(spark, sf):
 def d_average_degree(spark, sf):
     degree = graph.both_ways(src.edges(spark, sf)).groupBy("src").agg(F.count("*").alias("degree"))
     return degree.groupBy(F.substring_index("src", ":", 1).alias("kind")).agg(F.count("*").alias("nodes"), F.round(F.avg("degree"), 6).alias("mean_degree"))
+
+
+# lifecycle
+
+
+def _contexts(spark, sf):
+    return src.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "user_id", F.col("ts").alias("last_used"), (F.pmod("event_id", F.lit(20)) / 20).alias("confidence"), F.lit(1).cast("bigint").alias("use_count"), F.col("props").alias("content"))
+
+
+@query(f"SELECT event_id AS id, round(c, 6) AS confidence, round(c, 6) <= 0.1 AS archived FROM (SELECT event_id, CASE WHEN date_sub('second', ts, TIMESTAMP '{NOW}') > 14 * 86400 THEN event_id % 20 / 20 * 0.95 ELSE event_id % 20 / 20 END AS c FROM events)")
+def i_confidence_decay(spark, sf):
+    return lifecycle.decayed(_contexts(spark, sf), NOW).select("id", "confidence", "archived")
+
+
+@query(f"SELECT event_id AS id, date_sub('second', ts, TIMESTAMP '{NOW}') > 10 * 86400 AS archived FROM events")
+def n_archive(spark, sf):
+    return lifecycle.archived(_contexts(spark, sf), NOW, 10, "last_used").select("id", "archived")
+
+
+@query("""SELECT user_id, event_type AS kind, arg_min(props, row(-length(props), props)) AS content, count(*) AS use_count, round(least(1.0, max(event_id % 20 / 20) + 0.1 * (count(*) - 1)), 6) AS confidence FROM events GROUP BY ALL""")
+def n_context_merge(spark, sf):
+    return lifecycle.merged(_contexts(spark, sf), "user_id", "kind")
+
+
+@query("SELECT event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY event_id % 20 / 20 DESC, event_id) <= 30 AS is_active FROM events")
+def n_context_consolidation(spark, sf):
+    return lifecycle.consolidated(_contexts(spark, sf), "kind", 30).select("id", "is_active")
+
+
+@query("SELECT a.event_id AS id, 1 + count(b.event_id) AS use_count FROM events a LEFT JOIN (SELECT event_id, event_id // 2 AS id FROM events) b ON a.event_id = b.id GROUP BY a.event_id")
+def n_usage_marking(spark, sf):
+    log = src.table(spark, sf, "events").select(F.floor(F.col("event_id") / 2).alias("id"), "ts")
+    return lifecycle.marked_used(_contexts(spark, sf), log, "id").select("id", "use_count")
+
+
+@query("""WITH RECURSIVE p AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents) AND ((doc_id % 4 >= 1 AND 0.7 + doc_id % 3 * 0.1 >= 0.75) OR 0.7 + doc_id % 3 * 0.1 >= 0.85)),
+w AS (SELECT 1 AS start, 1 AS node, 0 AS depth UNION ALL SELECT start, b, depth + 1 FROM w JOIN p ON a = node WHERE depth < 5) SELECT start::VARCHAR AS start, node::VARCHAR AS node, depth FROM w""")
+def n_event_chain(spark, sf):
+    links = QUERIES["n_event_links"](spark, sf)
+    return lifecycle.event_chain(links, spark.createDataFrame([("1",)], "start string"), 5)
