@@ -35,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by near-equal shingle sets the one of the least doc_id; documents without words all stay."""
-    groups = ngram_join.near_duplicates(docs.select("doc_id", "text"))
+    groups = ngram_join.near_duplicates(docs.select("doc_id", "text"), with_links=False)
     first = groups.where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id")))
     kept = first.select(F.col("doc_id").alias("k")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")

@@ -16,6 +16,8 @@ or differ there by one shingle, as the allocation below demands:
 * Subsets held by very many sets (hot) are paid from what slack is left, too. Only sets whose slack
   doesn't suffice are compared there: first with one leader each, then, once linked
   sets are one component, across components.
+* Links inside a component that hot subsets hide are counted in the end: its sets that hold any
+  are compared block by block, each pair once, and only counts leave the blocks.
 
 Equal sets are one before anything travels. Candidates are verified by exact counts.
 """
@@ -43,6 +45,8 @@ FOUND = "kind tinyint, x bigint, y bigint, slack tinyint, n int"
 CELLS = 1024
 #: Sets of a hot signature that one task compares with as many others.
 BLOCK = 4096
+#: Sets, and their shingles, of a component that one task counts links with as many others.
+COUNT_SETS, COUNT_SHINGLES = 1024, 1 << 20
 _SPACE = U(0xB5AD4ECEDA1CE2A9)
 
 
@@ -366,19 +370,8 @@ def _across(percent: int, read: Callable | None):
                     yield np.array([min(ids[i], ids[j])]), np.array([max(ids[i], ids[j])])
 
     def run(batches):
-        rest = None
-        for batch in _ended(batches):
-            table = pa.Table.from_batches([batch]) if batch is not None else None
-            if rest is not None:
-                table = pa.concat_tables([rest, table]) if table is not None else rest
-            if table is None or not len(table):
-                continue
-            key = [table.column(c).to_numpy() for c in ("sig", "low", "high")]
-            cut = np.flatnonzero(np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])])
-            ends = np.r_[cut[1:], len(table)]
-            whole = len(cut) if batch is None else len(cut) - 1
-            found = [p for s, e in zip(cut[:whole], ends[:whole], strict=True) for p in compared(table.slice(s, e - s))]
-            rest = table.slice(cut[-1]) if batch is not None else None
+        for groups in _groups(batches, "sig", "low", "high"):
+            found = [p for group in groups for p in compared(group)]
             if found:
                 p = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
@@ -386,6 +379,96 @@ def _across(percent: int, read: Callable | None):
     return run
 
 
+def _common(h: np.ndarray, at: np.ndarray, g: np.ndarray, bt: np.ndarray) -> np.ndarray:
+    """How many members each set of (hashes ``h``, offsets ``at``) shares with each of (``g``, ``bt``)."""
+    n, m = len(at) - 1, len(bt) - 1
+    _, key = np.unique(np.concatenate([h, g]), return_inverse=True)
+    key, other = key[: len(h)], key[len(h) :]
+    row, column = np.repeat(np.arange(n), np.diff(at)), np.repeat(np.arange(m), np.diff(bt))
+    many = int(max(key.max(initial=-1), other.max(initial=-1))) + 1
+    held, holds = np.bincount(key, minlength=many), np.bincount(other, minlength=many)
+    out = np.zeros(n * m, np.int32)
+    # members that few sets hold: pair by pair
+    dense = held * holds > n * m // 64
+    own = np.flatnonzero((holds[key] > 0) & ~dense[key])
+    order = np.argsort(other, kind="stable")
+    first = np.cumsum(holds) - holds
+    ends = np.cumsum(holds[key[own]])
+    a = 0
+    while a < len(own):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 21), "right")))
+        part = own[a:b]
+        count = holds[key[part]]
+        np.add.at(out, np.repeat(row[part] * m, count) + column[order[K.ranges(first[key[part]], count)]], 1)
+        a = b
+    # those that many hold: products of 0/1 matrices
+    out = out.reshape(n, m)
+    names = np.flatnonzero(dense)
+    place = np.full(many, -1)
+    place[names] = np.arange(len(names))
+    for a in range(0, len(names), 1024):
+        sides = []
+        for k, r, height in ((key, row, n), (other, column, m)):
+            some = np.flatnonzero((place[k] >= a) & (place[k] < a + 1024))
+            side = np.zeros((height, min(1024, len(names) - a)), np.float32)
+            side[r[some], place[k[some]] - a] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int32)
+    return out
+
+
+def _link_counts(percent: int, read: Callable):
+    """Of rows sorted by (root, low, high): each set's links (set_id, n) with the group's other sets and, if low < high, of the other block."""
+
+    def counted(group: pa.Table):
+        own, ids = group.column("own").to_numpy(), group.column("set_id").to_numpy()
+        h, at = read(group.column("members").combine_chunks())
+        sides = []
+        for block in np.unique(own).tolist():
+            rows = np.flatnonzero(own == block)
+            size = at[rows + 1] - at[rows]
+            sides.append((ids[rows], size, h[K.ranges(at[rows], size)], np.r_[0, np.cumsum(size)]))
+        if group.column("low")[0].as_py() == group.column("high")[0].as_py():
+            sides *= 2
+        elif len(sides) < 2:  # a block that got no sets
+            return
+        (ids, size, *left), (other, sizes, *right) = sides
+        both = _common(*left, *right).astype(np.int64)
+        links = 100 * both >= percent * (size[:, None] + sizes - both)
+        if sides[0] is sides[1]:
+            np.fill_diagonal(links, False)
+        else:
+            yield other, links.sum(0)
+        yield ids, links.sum(1)
+
+    def run(batches):
+        for groups in _groups(batches, "root", "low", "high"):
+            for ids, n in (c for group in groups for c in counted(group)):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0].astype(np.int64))], ["set_id", "n"])
+
+    return run
+
+
+def _groups(batches, *names: str):
+    """Lists of whole groups of rows that are sorted by the columns ``names``."""
+    rest = None
+    for batch in _ended(batches):
+        table = pa.Table.from_batches([batch]) if batch is not None else None
+        if rest is not None:
+            table = pa.concat_tables([rest, table]) if table is not None else rest
+        if table is None or not len(table):
+            continue
+        new = np.zeros(len(table), bool)
+        new[0] = True
+        for key in (table.column(c).to_numpy() for c in names):
+            new[1:] |= key[1:] != key[:-1]
+        cut = np.flatnonzero(new)
+        ends = np.r_[cut[1:], len(table)]
+        whole = len(cut) if batch is None else len(cut) - 1
+        yield [table.slice(s, e - s) for s, e in zip(cut[:whole], ends[:whole], strict=True)]
+        rest = table.slice(cut[-1]) if batch is not None else None
+
+
 def _ended(batches):
     yield from batches
     yield None
@@ -452,13 +535,34 @@ def linked(found: DataFrame, sketches: Callable, members: Callable | None, perce
     return links, roots
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, n_shingles, n_links (other, different sets that it was found linked with) and component_id.
+def link_counts(links: DataFrame, roots: DataFrame, hot: DataFrame, sizes: DataFrame, members: Callable, percent: int, parts: int, read: Callable) -> DataFrame:
+    """Rows (set_id, n): all sets that each set is similar to.
+
+    ``links`` lacks pairs of ``hot`` sets (set_id) only, and those are in one component of ``roots``: such sets are compared
+    with each other there, and other links are taken as they are. ``sizes`` has rows (set_id, n_shingles).
+    """
+    group = S.written(hot.join(roots.withColumnRenamed("node", "set_id"), "set_id"), small=True)
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(group.select(F.col("set_id").alias(end), F.lit(True).alias(f"hot_{end}")), end, "left")
+    ends = ends.where("hot_a is null or hot_b is null").select(F.explode(F.array("a", "b")).alias("set_id"), F.lit(1).cast("bigint").alias("n"))
+    blocks = F.ceil(F.greatest(F.count("*") / COUNT_SETS, F.sum("n_shingles") / COUNT_SHINGLES)).cast("int")
+    split = group.join(sizes, "set_id").groupBy("root").agg(F.count("*").alias("all"), blocks.alias("blocks")).where("all > 1").select("root", "blocks")
+    own = S.written(group.join(split, "root"), small=True)
+    rows = own.join(members(own.select("set_id")), "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    rows = rows.select("root", "low", "high", "own", "set_id", "members").repartition(parts, "root", "low", "high").sortWithinPartitions("root", "low", "high")
+    inside = S.written(rows.mapInArrow(S.lean(_link_counts(percent, read)), "set_id bigint, n bigint"), small=True)
+    return ends.union(inside).groupBy("set_id").agg(F.sum("n").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: str = "doc_id", text: str = "text", with_links: bool = True) -> DataFrame:
+    """Per row of ``docs``: id, n_shingles, component_id and, ``with_links``, n_links (all other, different sets similar to its own).
 
     Rows link when 100 * |intersection| >= ``percent`` * |union| of their k-word shingle sets; component_id is the
     least id that links lead to, the row's own included. Rows without words have no shingles and link
     with nothing; equal sets link whatever their size; rows of null id take part and a component of such rows
-    alone has a null component_id. ``n_links`` counts verified pairs, not those implied inside a component. Other
+    alone has a null component_id. Other
     columns are left out; repeated rows stay; an empty table gives an empty one.
     """
     S.short_batches(docs.sparkSession)
@@ -497,10 +601,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: s
 
     worth = F.array(*[F.lit(2 if allocation(low, high, percent)[1] else 1) for low, high in bands(1 << 30, percent)])
     links, roots = linked(found, sketches, members, percent, parts, read, worth)
-    S.dropped(found)
-    n_links = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
     sets = base.where("set_id != 0").groupBy("set_id").agg(F.min("id").alias("least")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     named = sets.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = sets.join(named, "root").join(n_links, "set_id", "left").select("set_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = base.join(labels, "set_id", "left")
-    return out.select(F.col("id").alias(id_column), "n_shingles", F.when(F.col("set_id") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    labels = sets.join(named, "root").select("set_id", "component_id")
+    what = [F.col("id").alias(id_column), "n_shingles", F.when(F.col("set_id") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id")]
+    if with_links:
+        hot = found.where("kind = 1").select(F.col("y").alias("set_id")).distinct()
+        sizes = base.where("set_id != 0").groupBy("set_id").agg(F.max("n_shingles").alias("n_shingles"))
+        labels = labels.join(link_counts(links, roots, hot, sizes, members, percent, parts, read), "set_id", "left")
+        what.append(F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    S.dropped(found)
+    return base.join(labels, "set_id", "left").select(*what)

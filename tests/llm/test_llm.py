@@ -173,6 +173,34 @@ def test_ngram_join_of_a_hot_group(spark):
     assert [rows[i].component_id for i in range(len(texts))] == jaccard_components(sets, 80)
 
 
+def test_ngram_join_counts_all_links(spark, monkeypatch):
+    """n_links of a family of near copies that share hot signatures, of its blocks, and of sets beside it."""
+    monkeypatch.setattr(ngram_join, "COUNT_SETS", 40, raising=False)
+    chance = random.Random(17)
+    texts = []
+    for family, copies in ((0, 150), (1, 60), (2, 3)):
+        base = [f"f{family}_{chance.randrange(5000)}" for _ in range(110)]
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(chance.randint(0, 4)):
+                own[chance.randrange(len(own))] = f"e{chance.randrange(9999)}"
+            texts.append(" ".join(own))
+    texts += texts[:5]
+    rows = {r.doc_id: r for r in ngram_join.near_duplicates(frame(spark, texts)).collect()}
+    sets = [frozenset(shingles(t)) for t in texts]
+    other = set(sets)
+    want = [sum(s != o and 100 * len(s & o) >= 80 * len(s | o) for o in other) for s in sets]
+    assert [rows[i].n_links for i in range(len(texts))] == want
+
+
+def test_common_counts_like_sets():
+    chance = np.random.default_rng(5)
+    sides = [[np.unique(chance.integers(0, top, chance.integers(0, 60)).astype(np.uint64)) for top in (30, 30, 400, 5000) * 9] for _ in range(2)]
+    h, at, g, bt = (x for side in sides for x in (np.concatenate(side), np.r_[0, np.cumsum([len(s) for s in side])]))
+    want = [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
+    assert ngram_join._common(h, at, g, bt).tolist() == want
+
+
 @pytest.mark.parametrize("size", range(4, 60, 5))
 def test_signatures_lose_no_pair(size):
     """Sets at the threshold share a signature, in every band."""
