@@ -19,21 +19,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most documents and ids of a shard, distinct query terms of a seed, and posting length from which a term is too common to ask for.
-SHARD_DOCS, SHARD_IDS, QUERY_TERMS = 8192, 24 << 20, 24
+#: Most documents and ids of a shard.
+SHARD_DOCS, SHARD_IDS = 8192, 24 << 20
+#: A term that more than one document in so many holds has a row of weights for all documents instead of postings.
+DENSE = 4
 K1, B = 1.5, 0.75
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _workers: dict = {}
 
 
 class Index:
-    """BM25 over bags of token ids; documents leave it as they are used."""
+    """BM25 over bags of token ids, without the id ``mark`` that ends all of them; documents leave it as they are used."""
 
-    def __init__(self, docs: list[np.ndarray], alive: np.ndarray):
+    def __init__(self, docs: list[np.ndarray], alive: np.ndarray, mark: int | None = None):
         rows = np.flatnonzero(alive)
         terms, owner, tf = [], [], []
         for r in rows.tolist():
-            t, n = np.unique(docs[r], return_counts=True)
+            t, n = np.unique(docs[r] if mark is None else docs[r][docs[r] != mark], return_counts=True)
             terms.append(t)
             tf.append(n)
             owner.append(np.full(len(t), r, np.int32))
@@ -49,35 +51,35 @@ class Index:
         self.idf = np.log((len(rows) - df + 0.5) / (df + 0.5) + 1.0).astype(np.float32)
         self.weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.owner] / mean)) if len(term) else tf
         self.scores = np.zeros(len(docs), np.float32)
+        common = np.flatnonzero(df * DENSE > max(len(rows), 1))
+        self.place = np.full(len(df), -1)
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(docs)), np.float32)
+        for k, t in enumerate(common.tolist()):
+            s, e = self.first[t], self.first[t + 1]
+            self.dense[k, self.owner[s:e]] = self.weight[s:e]
 
     def best(self, seed: np.ndarray, alive: np.ndarray, many: int) -> np.ndarray:
-        """Unused documents by falling BM25 score for the seed's rarest terms, ties by row."""
+        """Unused documents by falling BM25 score for all of the seed's terms, ties by row; only such that share one."""
         terms = np.unique(seed)
         terms = terms[terms < len(self.idf)]
-        df = self.first[terms + 1] - self.first[terms]
-        terms = terms[df > 1]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
-        hit = []
-        for t in terms.tolist():
+        terms = terms[self.first[terms + 1] - self.first[terms] > 1]
+        scores, place = self.scores, self.place[terms]
+        scores[:] = 0
+        for t in terms[place < 0].tolist():
             s, e = self.first[t], self.first[t + 1]
-            self.scores[self.owner[s:e]] += self.weight[s:e]
-            hit.append(self.owner[s:e])
-        if not hit:
-            return np.empty(0, np.int64)
-        rows = np.unique(np.concatenate(hit))
-        found = self.scores[rows]
-        self.scores[rows] = 0
-        open_ = alive[rows]
-        rows, found = rows[open_], found[open_]
-        if len(rows) > many:
-            top = np.argpartition(-found, many)[:many]
-            rows, found = rows[top], found[top]
-        return rows[np.lexsort((rows, -found))]
-
-
-def packed_shard(ids: list[np.ndarray], window: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Pieces (row, start, length, sequence, offset) of a shard's documents, and the number of sequences."""
+            scores[self.owner[s:e]] += self.weight[s:e]
+        for k in place[place >= 0].tolist():
+            scores += self.dense[k]
+        rows = np.flatnonzero((scores > 0) & alive)
+        if len(rows) > many:  # and all that tie with the last of them
+            found = scores[rows]
+            rows = rows[found >= np.partition(found, -many)[-many]]
+        return rows[np.lexsort((rows, -scores[rows]))][:many]
+
+
+def packed_shard(ids: list[np.ndarray], window: int, mark: int | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Pieces (row, start, length, sequence, offset) of a shard's documents, and the number of sequences. ``mark`` is no term."""
     pieces, sequence = [], 0
     size = np.array([len(x) for x in ids])
     done = size // window * window
@@ -87,7 +89,7 @@ def packed_shard(ids: list[np.ndarray], window: int) -> tuple[list[tuple[int, in
             sequence += 1
     tails = [x[d:] for x, d in zip(ids, done, strict=True)]
     alive = size > done
-    index = Index(tails, alive)
+    index = Index(tails, alive, mark)
     # long remainders seed first; a cut one goes on at once
     queue = np.flatnonzero(alive)
     queue = queue[np.lexsort((queue, done[queue] - size[queue]))].tolist()
@@ -160,7 +162,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 20
 
         def flushed():
             nonlocal number
-            pieces, n = packed_shard(rows, window)
+            pieces, n = packed_shard(rows, window, end_id)
             r, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
             own = [rows[a][b : b + c].astype("<u4").tobytes() for a, b, c, _, _ in pieces]
             columns = [pa.array(names, pa.int64()).take(pa.array(r)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(np.array([len(x) for x in rows], np.int64)[r]), pa.array(sequence + number), pa.array(offset)]

@@ -398,6 +398,37 @@ def test_packing(spark, texts):
     assert packing.pack(empty(spark), BPE).count() == 0
 
 
+def bm25(docs, seed, row, mark):
+    """The score of document ``row`` for all terms of ``seed``, by the textbook."""
+    bags = [Counter(x for x in d.tolist() if x != mark) for d in docs]
+    mean, total = sum(len(d) for d in docs) / len(docs), 0.0
+    for t in sorted(set(seed.tolist()) - {mark}):
+        if tf := bags[row][t]:
+            df = sum(t in b for b in bags)
+            total += np.log((len(docs) - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(docs[row]) / mean))
+    return total
+
+
+def test_packing_asks_with_all_terms():
+    """Long seeds, whose rarest terms' holders are used, and terms rare and common: the best of all unused documents."""
+    chance = np.random.default_rng(8)
+    docs = [np.r_[chance.zipf(1.3, chance.integers(40, 160)) % 400 + 2, 1].astype(np.uint32) for _ in range(60)]
+    alive = np.ones(len(docs), bool)
+    index = packing.Index(docs, alive, 1)
+    for seed in range(0, 60, 4):
+        alive[seed] = False
+        got = index.best(docs[seed], alive, 8)
+        scores = {r: bm25(docs, docs[seed], r, 1) for r in np.flatnonzero(alive).tolist()}
+        want = sorted(scores.values(), reverse=True)[:8]
+        assert np.allclose([scores[r] for r in got.tolist()], [x for x in want if x > 0], atol=1e-3)
+        alive[got[:2]] = False
+    # the only holders of a long seed's 30 rare terms are used; another shares its common ones, a third nothing but the end
+    rare, usual = np.arange(100, 130), np.arange(10, 50)
+    docs = [np.r_[rare, usual, 1], np.r_[rare, 1], np.r_[usual, 1], np.r_[np.arange(300, 310), 1], np.r_[usual, 1], np.r_[usual, 1]]
+    docs = [d.astype(np.uint32) for d in docs]
+    assert packing.Index(docs, np.ones(6, bool), 1).best(docs[0], np.array([False, False, True, True, False, False]), 8).tolist() == [2]
+
+
 def test_packing_prefers_neighbours():
     docs = [np.array([t] * 10 + [90 + i], np.uint32) for i, t in enumerate([5, 6, 7, 5, 6, 7])]
     pieces, _ = packing.packed_shard(docs, 22)
