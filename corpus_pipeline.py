@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier line nearly equals, n_chars counted anew. A document that had text and keeps none goes."""
-    kept = line_dedup.dedup_lines(docs, with_text=True)
+    kept = line_dedup.dedup_lines(docs, min_chars=1, with_text=True)
     solid = F.col("kept").rlike("[^\\x20\\x09-\\x0D]")
     kept = kept.where((F.col("n_removed") == 0) | solid)
     changed = F.col("n_removed") > 0

@@ -104,7 +104,7 @@ def _seen(min_chars: int, parts: int):
             place, known = [], set()
             for a, b, data, offsets in K.chunks(batch.column("text")):
                 code, text, number, start, end = lines(data, offsets)
-                keep = end - start >= max(min_chars, SHINGLE)
+                keep = end - start >= max(min_chars, 1)
                 text, number, start, end = text[keep], number[keep], start[keep], end[keep]
                 if not len(text):
                     continue
@@ -112,6 +112,7 @@ def _seen(min_chars: int, parts: int):
                 name = line_hashes(prefix, start, end)
                 place.append((name, ids[a:b][text], keys[a:b][text], number.astype(np.uint32)))
                 _, first = np.unique(name, return_index=True)
+                first = first[(end - start)[first] >= SHINGLE]  # shorter lines have no shingles: equal or not
                 first = first[[x not in known and not known.add(x) for x in name[first].tolist()]]
                 if len(first):
                     band, bits = signatures(*shingles(prefix, start[first], end[first]))
@@ -210,7 +211,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = 15, id_colu
 
     A line goes if its component, joined by lines whose sets of 5-character shingles have a Jaccard similarity of
     ``percent`` / 100 or more, holds an earlier one: in a row of a smaller id (null last, ties by the row's hash), or further up. Lines of
-    fewer than ``min_chars`` code points stay and join nothing. Null texts are empty (one empty line); fully equal
+    fewer than ``min_chars`` code points, and blank ones, stay and join nothing; those under five join equal ones only. Null texts are empty (one empty line); fully equal
     rows (id and text) count as one and lose the same lines; an empty table gives an empty one.
     """
     S.short_batches(docs.sparkSession)

@@ -22,7 +22,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

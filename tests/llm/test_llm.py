@@ -245,6 +245,30 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """Repeats of lines under 15 characters go in the query, near copies from five characters on; blank lines stay."""
+    chance = random.Random(12)
+    short = ["Les.", "a", "日本語", "こんにちは世界", "}", "four5", *("".join(chance.choice("abcdefgh") for _ in range(13)) for _ in range(6))]
+    texts = [None, "", "\n \n"]
+    for _ in range(40):
+        own = [chance.choice(short) for _ in range(chance.randint(0, 4))] + ["", f"line {chance.random()} alone"]
+        if chance.random() < 0.4:
+            own.insert(0, f" {chance.choice(short[6:])}{chance.choice('xyz')}")
+        chance.shuffle(own)
+        texts.append("\n".join(own))
+    frame(spark, texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    places = [(i, n, x.strip()) for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if x.strip()]
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} or {x} for _, _, x in places]
+    gone = defaultdict(set)
+    for k, r in enumerate(jaccard_components(sets, 80)):
+        if r != k:
+            gone[places[k][0]].add(places[k][1])
+    for i, t in enumerate(texts):
+        kept = "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone[i])
+        assert (rows[i].n_removed, rows[i].kept_sha256) == (len(gone[i]), hashlib.sha256(kept.encode()).hexdigest())
+
+
 def test_toxicity(spark):
     chance = random.Random(8)
     words = ["".join(chance.choice("aeioulrst") for _ in range(6)) for _ in range(80)]
