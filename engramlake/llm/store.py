@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,11 +37,50 @@ def lean(f: Callable) -> Callable:
 
     def run(batches):
         yield from f(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        trimmed()
+
+    return run
+
+
+def trimmed() -> None:
+    """Give this process's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def runs(texts: list[str], many: int, chars: int) -> Iterator[list[str]]:
+    """The texts in order, at most ``many`` and about ``chars`` characters at a time; a longer text is a run of its own."""
+    some, size = [], 0
+    for t in texts:
+        if some and (len(some) >= many or size + len(t) > chars):
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    if some:
+        yield some
+
+
+def sliced(rows: pa.Array | pa.RecordBatch, many: int, size: int, column: str | None = None) -> Iterator:
+    """Slices of at most ``many`` rows whose texts (of ``column``) have about ``size`` bytes; a longer text is a slice of its own."""
+    texts = rows if column is None else rows.column(column)
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right"))
+        b = min(max(b, a + 1), a + many)
+        yield rows.slice(a, b - a)
+        a = b
+
+
+def short(f: Callable, rows: int = 2000, size: int = 8 << 20, column: str = "text") -> Callable:
+    """The same function of batches, given slices of them: what it holds at once doesn't depend on the session's batch size."""
+
+    def run(batches):
+        return f(x for b in batches for x in sliced(b, rows, size, column))
 
     return run
 

@@ -8,16 +8,20 @@ Pre-tokens never leave the task that reads their text: no shuffle.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections import Counter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that the table of frequent pre-tokens is made from, its entries, and entries of a worker's cache.
-SAMPLE_DOCS, TABLE_SIZE, CACHE_SIZE = 2000, 30_000, 400_000
+from engramlake.llm import store as S
+
+#: Rows that the table of frequent pre-tokens is made from, its entries, and characters of a worker's cache.
+SAMPLE_DOCS, TABLE_SIZE, CACHE_CHARS = 2000, 30_000, 1 << 20
+#: Texts, and their bytes, that a worker handles at once.
+STEP_TEXTS, STEP_BYTES = 64, 1 << 20
 #: The pre-tokenizer of byte-level BPE (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -28,6 +32,7 @@ class TokenLengths:
     """Token counts of texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
     def __init__(self, tokenizer_json: str, frequent: dict[str, int]):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
         from tokenizers import Tokenizer
 
@@ -41,27 +46,34 @@ class TokenLengths:
         self.split = self.split and len(plain) == len(spec.get("added_tokens") or [])
         # an added token inside a text is one token
         self.added = regex.compile("|".join(map(regex.escape, sorted(plain, key=len, reverse=True)))) if plain else None
-        self.frequent, self.cache = frequent, {}
+        self.frequent, self.cache, self.held = frequent, {}, 0
+
+    def encoded(self, texts: list[str]) -> list[int]:
+        """Numbers of tokens, by the tokenizer, some at a time; a long text is a run of its own."""
+        out: list[int] = []
+        for some in S.runs(texts, 2 * STEP_TEXTS, STEP_BYTES // 8):
+            out += [len(x.ids) for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
 
     def lengths(self, pieces: list[list[str]]) -> list[int]:
         """Tokens of each list of pre-tokens; those in neither tier are encoded together."""
         words = set().union(*pieces).difference(self.frequent)
         missing = words.difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_SIZE:
-            self.cache.clear()
+        if self.held > CACHE_CHARS:  # what this call needs is looked up again
+            self.cache, self.held = {}, 0
             missing = words
         todo = list(missing)
-        for word, found in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True):
-            self.cache[word] = len(found.ids)
+        self.cache.update(zip(todo, self.encoded(todo), strict=True))
+        self.held += sum(map(len, todo))
         frequent, cache = self.frequent, self.cache
         return [sum([frequent[w] if w in frequent else cache[w] for w in piece]) for piece in pieces]
 
-    def counts(self, texts: list[str], step: int = 64) -> list[int]:
+    def counts(self, texts: list[str]) -> list[int]:
         if not self.split:
-            return [len(x.ids) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return self.encoded(texts)
         out: list[int] = []
-        for a in range(0, len(texts), step):
-            some, more = texts[a : a + step], [0] * len(texts[a : a + step])
+        for some in S.runs(texts, STEP_TEXTS, STEP_BYTES):
+            more = [0] * len(some)
             pieces = [self.find(t) for t in some]
             if self.added is not None:
                 for i, t in enumerate(some):
@@ -83,13 +95,13 @@ def frequent_lengths(docs: DataFrame, text: str, tokenizer_json: str, sample_doc
 
         find, seen = regex.compile(PATTERN).findall, Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(find(t))
+            for t in b.column(0):
+                seen.update(find(t.as_py()))
         top = seen.most_common(table_size)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], ["word", "n"])
 
     rows = docs.sample(min(1.0, sample_docs / max(n, 1)), seed=17).select(F.coalesce(text, F.lit("")).alias("text"))
-    top = rows.mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size).collect()
+    top = rows.mapInArrow(S.lean(counted), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size).collect()
     counts = TokenLengths(tokenizer_json, {})
     words = [r.word for r in top]
     return dict(zip(words, counts.lengths([[w] for w in words]), strict=True)) if counts.split else {}
@@ -108,12 +120,16 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
     table = spark.sparkContext.broadcast((definition, frequent_lengths(docs, text, definition)))
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("bigint")
-    def n_tokens(texts):
+    @F.arrow_udf("bigint")
+    def n_tokens(texts: pa.Array) -> pa.Array:
         if key not in _workers:
             _workers.clear()
             _workers[key] = TokenLengths(*table.value)
-        return pd.Series(_workers[key].counts(texts.tolist()), dtype="int64")
+        found: list[int] = []
+        for some in S.sliced(texts, STEP_TEXTS, STEP_BYTES):
+            found += _workers[key].counts(some.to_pylist())
+        S.trimmed()
+        return pa.array(found, pa.int64())
 
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({"n_bytes": F.octet_length(whole).cast("bigint"), "n_tokens": n_tokens(whole)})

@@ -54,11 +54,13 @@ def test_token_counts(spark, texts):
 
 
 def test_token_cache_overflow(monkeypatch, texts):
-    monkeypatch.setattr(token_counts, "CACHE_SIZE", 5)
+    monkeypatch.setattr(token_counts, "CACHE_CHARS", 30)
+    monkeypatch.setattr(token_counts, "STEP_TEXTS", 3)
+    monkeypatch.setattr(token_counts, "STEP_BYTES", 200)
     counts = token_counts.TokenLengths(open(BPE, encoding="utf-8").read(), {})
     exact = Tokenizer.from_file(BPE)
     plain = [t or "" for t in texts]
-    assert counts.counts(plain, step=3) == [len(exact.encode(t, add_special_tokens=False).ids) for t in plain]
+    assert counts.counts(plain) == [len(exact.encode(t, add_special_tokens=False).ids) for t in plain]
 
 
 def covered_bytes(texts, length):
