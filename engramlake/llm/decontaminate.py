@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.llm import store as S
+
 #: Characters of benchmark items that one pass holds in memory, and the share of an item's characters that may be edited.
 BLOCK_CHARS, ERROR_RATE = 16 << 20, 0.08
 SCHEMA = "doc_id bigint, item_id bigint, start bigint, end bigint, edits bigint"
@@ -121,7 +123,7 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RA
         # bounded: a block holds about half of block_chars on average
         some = rows.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).orderBy("i", "t").collect()
         held = spark.sparkContext.broadcast([(r.i, normalized(r.t)) for r in some])
-        found = own.mapInArrow(_matcher(held, uuid.uuid4().hex, error_rate), SCHEMA)
+        found = own.mapInArrow(S.short(_matcher(held, uuid.uuid4().hex, error_rate)), SCHEMA)
         out = found if out is None else out.union(found)
     return out
 

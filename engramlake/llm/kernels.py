@@ -2,7 +2,9 @@
 
 A text column arrives as an Arrow string array: one byte buffer and offsets.
 Prefix polynomial hashes (mod 2**64, odd base) give the hash of any byte or
-word range from two table lookups.
+word range from two table lookups. Such hashes take some long sequences over two letters for equal
+(Thue-Morse words from 1,024 on, whatever the base), so they name ranges of at most ``RANGE`` values only;
+longer words and lines are named by xxhash.
 """
 
 from __future__ import annotations
@@ -11,10 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 20
+#: The longest range that a prefix hash may name.
+RANGE = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -107,8 +112,18 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mixed(range_hash(prefix_hash(data), starts, ends) + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+def named(values: np.ndarray, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    """A hash of each values[start:end] of any length; ``prefix`` is ``prefix_hash(values, base)``."""
+    size = ends - starts
+    out = mixed(range_hash(prefix, starts, ends, base) + size.astype(U) * U(0xD6E8FEB86659FD93))
+    seed = base & 0xFFFFFFFF
+    for i in np.flatnonzero(size > RANGE).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(values[starts[i] : ends[i]].tobytes(), seed)
+    return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    return named(data, prefix_hash(data, base), starts, ends, base)
 
 
 def window_min(x: np.ndarray, width_log2: int) -> np.ndarray:

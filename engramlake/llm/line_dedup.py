@@ -53,10 +53,6 @@ def lines(data: np.ndarray, offsets: np.ndarray):
     return code, text, number, start, end
 
 
-def line_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return K.mixed(K.range_hash(prefix, start, end) + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
-
-
 def shingles(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of lines of at least SHINGLE code points, and where each line's begin."""
     size = end - start - SHINGLE + 1
@@ -109,7 +105,7 @@ def _seen(min_chars: int, parts: int):
                 if not len(text):
                     continue
                 prefix = K.prefix_hash(code)
-                name = line_hashes(prefix, start, end)
+                name = K.named(code, prefix, start, end)
                 place.append((name, ids[a:b][text], keys[a:b][text], number.astype(np.uint32)))
                 _, first = np.unique(name, return_index=True)
                 first = first[(end - start)[first] >= SHINGLE]  # shorter lines have no shingles: equal or not
@@ -214,12 +210,11 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = 15, id_colu
     fewer than ``min_chars`` code points, and blank ones, stay and join nothing; those under five join equal ones only. Null texts are empty (one empty line); fully equal
     rows (id and text) count as one and lose the same lines; an empty table gives an empty one.
     """
-    S.short_batches(docs.sparkSession)
     parts = S.n_partitions(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     key = F.xxhash64(F.col(id_column).cast("bigint"), whole)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), whole.alias("text"), key.alias("rkey"))
-    seen = S.exchanged(rows.mapInArrow(S.lean(_seen(min_chars, parts)), S.PACKED), parts)
+    seen = S.exchanged(rows.mapInArrow(S.lean(S.short(_seen(min_chars, parts))), S.PACKED), parts)
     found = S.written(seen.mapInArrow(S.lean(_joined(parts)), FOUND))
     del seen
     S.settled(docs.sparkSession)
@@ -229,7 +224,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = 15, id_colu
         own = first.join(ids, F.col("x") == F.col("set_id"), "left_semi").groupBy("k").agg(F.collect_list(F.struct("n", "x")).alias("wanted"))
         own = S.written(own, small=True)
         some = S.key_filter(rows, own.select(F.col("k").alias("rkey")), "rkey").join(own, F.col("rkey") == F.col("k")).select("text", "wanted")
-        return S.kept(some.mapInArrow(S.lean(_sets), "set_id bigint, size bigint, sketch binary, members binary"))
+        return S.kept(some.mapInArrow(S.lean(S.short(_sets)), "set_id bigint, size bigint, sketch binary, members binary"))
 
     _, roots = J.linked(found, members, None, percent, parts, _read, small=True)
     S.settled(docs.sparkSession)
@@ -239,7 +234,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_chars: int = 15, id_colu
     gone = found.where("kind = 4").select(F.col("y").alias("k"), "n").union(near)
     gone = S.kept(gone.groupBy("k").agg(F.array_distinct(F.collect_list("n")).alias("gone")))
     some = S.key_filter(rows, gone.select(F.col("k").alias("rkey")), "rkey")
-    cut = some.join(gone, F.col("rkey") == F.col("k")).select("rkey", "text", "gone").mapInArrow(S.lean(_cut), "rkey bigint, n_removed bigint, kept_sha256 string, kept string")
+    cut = some.join(gone, F.col("rkey") == F.col("k")).select("rkey", "text", "gone").mapInArrow(S.lean(S.short(_cut)), "rkey bigint, n_removed bigint, kept_sha256 string, kept string")
     cut = S.written((cut if with_text else cut.drop("kept")).withColumnRenamed("rkey", "k").dropDuplicates(["k"]))
     S.dropped(found, gone)
     n_lines = (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("bigint")

@@ -565,11 +565,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: s
     alone has a null component_id. Other
     columns are left out; repeated rows stay; an empty table gives an empty one.
     """
-    S.short_batches(docs.sparkSession)
     parts = S.n_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
-    base = S.kept(rows.mapInArrow(S.lean(_described(k)), "id bigint, tkey bigint, n_shingles bigint, set_id bigint"))
-    index = S.exchanged(rows.select("text").mapInArrow(S.lean(_indexed(k, percent, parts)), S.PACKED), parts)
+    base = S.kept(rows.mapInArrow(S.lean(S.short(_described(k))), "id bigint, tkey bigint, n_shingles bigint, set_id bigint"))
+    index = S.exchanged(rows.select("text").mapInArrow(S.lean(S.short(_indexed(k, percent, parts))), S.PACKED), parts)
     found = S.written(index.mapInArrow(S.lean(_candidates), FOUND))
     del index
     S.settled(docs.sparkSession)
@@ -584,7 +583,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_column: s
     def sketches(ids: DataFrame) -> DataFrame:
         own = places(ids)
         # the sketch is made where the text is read
-        some = S.key_filter(rows, own.select(F.col("k").alias("tkey")), "tkey", _sketches(k), "tkey bigint, id bigint, size bigint, sketch binary")
+        some = S.key_filter(rows, own.select(F.col("k").alias("tkey")), "tkey", S.short(_sketches(k)), "tkey bigint, id bigint, size bigint, sketch binary")
         return S.kept(some.join(own, here).select("set_id", "size", "sketch"))
 
     def members(ids: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ words that decides it: inside that range, equal words always give it.
    the most words among those decided inside it (a window without one
    represents itself). One Spark exchange of representatives, pre-aggregated,
    finds those that occur twice.
-2. Only windows whose representative repeats are compared, by two hashes of all
-   their words (96 bits); all but the earliest of equal windows go.
+2. Only windows whose representative repeats are compared, by two independent hashes of all
+   their words' bytes (96 bits); all but the earliest of equal windows go.
 """
 
 from __future__ import annotations
@@ -122,11 +122,11 @@ def _words(batch: pa.RecordBatch, window: int):
     """For runs of whole texts: their rows, bytes, word spans, hashes, word offsets and the two hashes of windows."""
     for a, b, data, offsets in K.chunks(batch.column("text")):
         starts, ends, own = K.word_spans(data, offsets)
-        word = K.word_hashes(data, starts, ends) if len(starts) else np.empty(0, U)
+        word, other = (K.word_hashes(data, starts, ends, base) if len(starts) else np.empty(0, U) for base in (K.BASE, SECOND_BASE))
         n = max(len(word) - window + 1, 0)
         at = np.arange(n)
         one = K.mixed(K.range_hash(K.prefix_hash(word), at, at + window))
-        two = K.mixed(K.range_hash(K.prefix_hash(word, SECOND_BASE), at, at + window, SECOND_BASE))
+        two = K.mixed(K.range_hash(K.prefix_hash(other, SECOND_BASE), at, at + window, SECOND_BASE))
         yield a, b, data, starts, ends, word, own, one, two
 
 
@@ -249,10 +249,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
         raise ValueError("window must be 8 to 31 words")
     parts = S.n_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
-    base = S.written(rows.mapInArrow(S.lean(_kept(window)), "id bigint, tkey bigint, n_words bigint, sha256 string"))
+    base = S.written(rows.mapInArrow(S.lean(S.short(_kept(window), 10_000, 24 << 20)), "id bigint, tkey bigint, n_words bigint, sha256 string"))
     long_ = F.octet_length("text") >= 2 * window - 1
     lead = base.where(F.col("n_words") >= window).groupBy("tkey").agg(F.min("id").alias("lead"))
-    seen = S.exchanged(rows.where(long_).select("tkey", "text").mapInArrow(S.lean(symbol_sightings(window, parts)), S.PACKED), parts)
+    seen = S.exchanged(rows.where(long_).select("tkey", "text").mapInArrow(S.lean(S.short(symbol_sightings(window, parts), 10_000, 24 << 20)), S.PACKED), parts)
     places = S.written(S.per_owner(seen.mapInArrow(S.lean(S.repeated_places(parts)), S.PACKED), parts, np.uint32, ("owner", "places")))
     del seen
     S.settled(docs.sparkSession)
@@ -260,12 +260,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
     wanted = places.join(lead, places.owner == lead.tkey).select("owner", "lead", "places")
     found = S.written(some.join(wanted, (F.col("tkey") == F.col("owner")) & F.col("id").eqNullSafe(F.col("lead"))).select("tkey", "lead", "text", "places"))
     S.settled(docs.sparkSession)
-    entries = S.exchanged(found.mapInArrow(S.lean(window_entries(window, parts)), S.PACKED), parts)
+    entries = S.exchanged(found.mapInArrow(S.lean(S.short(window_entries(window, parts), 10_000, 24 << 20)), S.PACKED), parts)
     later = S.written(S.per_owner(entries.mapInArrow(S.lean(later_windows(parts)), S.PACKED), parts, np.uint32, ("owner", "places")))
     del entries
     S.settled(docs.sparkSession)
     texts = found.select("tkey", "text").join(later, F.col("tkey") == F.col("owner")).select("tkey", "text", "places").dropDuplicates(["tkey"])
-    cut = texts.mapInArrow(S.lean(_kept(window)), "tkey bigint, n_words bigint, n_removed bigint, sha256 string, kept string")
+    cut = texts.mapInArrow(S.lean(S.short(_kept(window), 10_000, 24 << 20)), "tkey bigint, n_words bigint, n_removed bigint, sha256 string, kept string")
     cut = S.written(cut.select("tkey", "n_removed", F.col("sha256").alias("kept_sha256"), *(["kept"] if with_text else [])))
     S.dropped(places, found, later)
     out = base.join(lead, "tkey", "left").join(cut, "tkey", "left")

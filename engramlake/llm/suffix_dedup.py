@@ -14,8 +14,8 @@ only where they can have a neighbour:
    neighbours are verified byte by byte.
 3. Places with a twin go back to their texts.
 
-Whole copies are found by hash first and count as covered. Texts are known by
-(xxhash64, length), never by position in a file, so every step can be re-run.
+Whole copies are found by sha256 first and count as covered. Texts are known by
+xxhash64, never by position in a file, so every step can be re-run.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +94,21 @@ def _pack_contexts(parts: int, gram, owner, first, windows, before, known, data,
     return part[cuts], blobs, data
 
 
+def context_names(data: np.ndarray, start: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """One uint64 for contexts of equal bytes and an equal place of the anchor; equal names are verified byte by byte."""
+    name = K.mixed(K.range_hash(K.prefix_hash(data), start, start + size) + before.astype(U) * U(0xD6E8FEB86659FD93) + size.astype(U))
+    order = np.argsort(name, kind="stable")
+    near = np.flatnonzero(name[order][1:] == name[order][:-1])
+    for s in range(0, len(near), 20000):
+        a, b = order[near[s : s + 20000]], order[near[s : s + 20000] + 1]
+        same = (size[a] == size[b]) & (before[a] == before[b])
+        if same.all():
+            same = data[K.ranges(start[a], size[a])] == data[K.ranges(start[b], size[b])]
+        if not same.all():  # two contents of one hash: another one tells them apart
+            return np.array([xxhash.xxh3_64_intdigest(data[x : x + n].tobytes(), int(p)) for x, n, p in zip(start.tolist(), size.tolist(), before.tolist(), strict=True)], U)
+    return name
+
+
 def contexts(length: int, parts: int):
     """For each repeated anchor the bytes of the windows that name it; equal ones of a batch travel once."""
 
@@ -108,8 +124,7 @@ def contexts(length: int, parts: int):
                 if not len(at):
                     continue
                 size = windows + length - 1
-                prefix = K.prefix_hash(data)
-                whole = K.mixed(K.range_hash(prefix, first, first + size) + (at - first).astype(U) * U(0xD6E8FEB86659FD93) + size.astype(U))
+                whole = context_names(data, first, size, at - first)
                 owner, place = keys[a:b][doc], first - offsets[doc]
                 # one row of each content; the others of this run are known to repeat
                 order = np.lexsort((place, owner, whole))
@@ -249,8 +264,7 @@ def twin_windows(length: int, parts: int):
                 a = b
                 own = data[K.ranges(at[rows], size[rows])]
                 here_at = np.cumsum(size[rows]) - size[rows]
-                prefix = K.prefix_hash(own)
-                whole = K.mixed(K.range_hash(prefix, here_at, here_at + size[rows]) + before[rows].astype(U) * U(0xD6E8FEB86659FD93) + size[rows].astype(U))
+                whole = context_names(own, here_at, size[rows], before[rows])
                 # contents that occur whole in two places
                 by = np.lexsort((first[rows], owner[rows], whole))
                 w, o, f = whole[by], owner[rows][by], first[rows][by]
@@ -332,8 +346,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_column: str = "doc_id"
     rows = docs.select(F.col(id_column).alias("id"), whole.alias("text")).withColumns({"tkey": F.xxhash64("text"), "n_bytes": F.octet_length("text").cast("bigint")})
     base = S.written(rows.select("id", "tkey", "n_bytes", F.sha2("text", 256).alias("sha256")))
     long_ = F.col("n_bytes") >= length
-    lead = base.where(long_).groupBy("tkey", "n_bytes").agg(F.min("id").alias("lead"), F.count("*").alias("copies"))
-    seen = S.exchanged(rows.where(long_).select("tkey", "text").mapInArrow(S.lean(anchor_sightings(length, parts)), S.PACKED), parts)
+    lead = base.where(long_).groupBy("tkey", "n_bytes", "sha256").agg(F.min("id").alias("lead"), F.count("*").alias("copies"))
+    seen = S.exchanged(rows.where(long_).select("tkey", "text").mapInArrow(S.lean(S.short(anchor_sightings(length, parts), 10_000, 24 << 20)), S.PACKED), parts)
     places = S.written(S.per_owner(seen.mapInArrow(S.lean(S.repeated_places(parts)), S.PACKED), parts, np.uint32, ("owner", "places")))
     del seen
     S.settled(spark)
@@ -342,14 +356,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_column: str = "doc_id"
     same = (F.col("tkey") == F.col("owner")) & (F.col("n_bytes") == F.col("size")) & F.col("id").eqNullSafe(F.col("lead"))
     found = S.written(some.join(wanted, same).select("tkey", "text", "copies", "places"))
     S.settled(spark)
-    around = S.exchanged(found.select("tkey", "text", "places").mapInArrow(S.lean(contexts(length, parts)), S.PACKED), parts)
+    around = S.exchanged(found.select("tkey", "text", "places").mapInArrow(S.lean(S.short(contexts(length, parts), 10_000, 24 << 20)), S.PACKED), parts)
     runs = S.written(S.per_owner(around.mapInArrow(S.lean(twin_windows(length, parts)), S.PACKED), parts, np.uint64, ("owner", "runs")))
     cut = found.where("copies = 1").select("tkey", "text").join(runs, F.col("tkey") == F.col("owner")).select("tkey", "text", "runs")
-    cut = cut.mapInArrow(S.lean(_removed(length)), "tkey bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    cut = cut.mapInArrow(S.lean(S.short(_removed(length), 10_000, 24 << 20)), "tkey bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
     cut = S.written(cut if with_text else cut.drop("kept"))
     S.dropped(places, found, runs)
-    copied = lead.where("copies > 1").select("tkey", "n_bytes", F.lit(True).alias("copied"))
-    out = base.join(copied, ["tkey", "n_bytes"], "left").join(cut, "tkey", "left")
+    copied = lead.where("copies > 1").select("tkey", "n_bytes", "sha256", F.lit(True).alias("copied"))
+    out = base.join(copied, ["tkey", "n_bytes", "sha256"], "left").join(cut, "tkey", "left")
     gone = F.coalesce("copied", F.lit(False))
     none = F.sha2(F.lit("").cast("binary"), 256)
     columns = [

@@ -113,6 +113,41 @@ def test_recompression(spark, texts):
     assert recompression.remove_repeats(empty(spark)).count() == 0
 
 
+def thue_morse(n):
+    """A word over a and b, and its complement: polynomial hashes mod 2**64 take long ones for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ("".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_long_words_and_lines_that_prefix_hashes_confuse(spark, n):
+    a, b = thue_morse(n)
+    head = " ".join(f"w{i}" for i in range(19))
+    rows = recompression.remove_repeats(frame(spark, [f"{head} {a}", f"{head} {b}"])).collect()
+    assert [r.n_removed for r in rows] == [0, 0]
+    rows = ngram_join.near_duplicates(frame(spark, [f"p q r s {a}", f"p q r s {b}", a, b])).collect()
+    assert all(r.component_id == r.doc_id for r in rows)
+    rows = suffix_dedup.remove_repeats(frame(spark, [f"1{a}2", f"3{b}4"])).collect()
+    want = [int(gone.sum()) for _, gone in covered_bytes([f"1{a}2", f"3{b}4"], 200)]
+    assert sorted(r.n_removed for r in rows) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_named_tells_long_sequences_apart(n):
+    a, b = (np.frombuffer(x.encode(), np.uint8) for x in thue_morse(n))
+    data = np.r_[a, b, a]
+    at = np.array([0, n, 2 * n])
+    x, y, z = kernels.word_hashes(data, at, at + n)
+    assert x == z != y
+
+
+def test_equal_names_of_contexts_are_verified(monkeypatch):
+    data = np.frombuffer(b"abcdabcxabcd", np.uint8)
+    monkeypatch.setattr(kernels, "mixed", lambda x: x * np.uint64(0))
+    x, y, z = suffix_dedup.context_names(data, np.array([0, 4, 8]), np.array([4, 4, 4]), np.array([1, 1, 1]))
+    assert x == z != y
+
+
 def test_equal_windows_have_equal_representatives():
     chance = random.Random(5)
     for _ in range(60):
