@@ -27,7 +27,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.score(docs, _read(spark, sf_dir, "labels").select("doc_id", "toxic")).drop("text")
+    return toxicity.score(docs, _read(spark, sf_dir, "labels").select("doc_id", "toxic"), evidence=True).drop("text")
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,14 @@ Only the fit uses a bounded sample of labelled rows (``EXAMPLES``); frequencies
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engramlake.llm import kernels as K
 from engramlake.llm import store
@@ -29,6 +31,8 @@ EXAMPLES, TERMS, LENGTHS, NEIGHBOURS, BLOCK, CHI_SQUARE = 6000, 4096, (4, 5, 6),
 LOG_ODDS, POWER = 1.0, 2.0
 #: Weight of the base rate among the votes.
 PRIOR_WEIGHT = 0.2
+#: Bytes of text that a worker turns into vectors at once.
+STEP_BYTES = 1 << 19
 _workers: dict = {}
 
 
@@ -163,7 +167,7 @@ def _associated(batches):
     """Rows (term hash, toxic texts, other texts) of a batch of examples."""
     for batch in batches:
         label, found = batch.column("label").to_numpy(), []
-        for a, b, data, offsets in K.chunks(batch.column("text")):
+        for a, b, data, offsets in K.chunks(batch.column("text"), STEP_BYTES):
             for n, h in grams(data, offsets):
                 doc = np.searchsorted(offsets, np.arange(len(h)), "right") - 1
                 ok = np.arange(len(h)) + n <= offsets[doc + 1]
@@ -185,49 +189,52 @@ def _associated(batches):
 class Model:
     """What the executors need, of a size bounded by EXAMPLES and TERMS."""
 
-    def __init__(self, hashes: np.ndarray, idf: np.ndarray, texts: list[str], labels: np.ndarray):
-        self.terms, self.idf = Terms(hashes), idf
+    def __init__(self, hashes: np.ndarray, idf: np.ndarray, vectors: list, labels: np.ndarray, ids: np.ndarray):
+        self.terms, self.idf, self.ids = Terms(hashes), idf, ids
         self.prior = float((labels.sum() + 1) / (len(labels) + 2))
-        vectors: list = []
-        for _, b, data, offsets in K.chunks(pa.array(texts, pa.large_string())):
-            vectors += unit_vectors(*self.terms.counts(data, offsets), len(offsets) - 1, idf) if len(hashes) else [(np.empty(0, np.int64), np.empty(0))] * (len(offsets) - 1)
         self.examples = Examples(vectors, labels, max(len(hashes), 1), self.prior)
         self.examples.calibrate(np.array([self.examples.vote(*v, skip=i)[0] for i, v in enumerate(vectors)]))
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         out, evidence = np.empty(len(column)), []
-        for a, b, data, offsets in K.chunks(column):
-            if len(self.terms.hashes):
-                vectors = unit_vectors(*self.terms.counts(data, offsets), b - a, self.idf)
-            else:
-                vectors = [(np.empty(0, np.int64), np.empty(0))] * (b - a)
-            for i, v in enumerate(vectors, a):
-                vote, rows = self.examples.vote(*v)
-                out[i] = self.examples.score(vote)
-                evidence.append(rows)
+        for i, v in enumerate(vectors_of(column, self.terms, self.idf)):
+            vote, rows = self.examples.vote(*v)
+            out[i] = self.examples.score(vote)
+            evidence.append(rows)
         return out, evidence
 
 
+def vectors_of(column: pa.Array, terms: Terms, idf: np.ndarray):
+    """The unit vector of each text."""
+    for a, b, data, offsets in K.chunks(column, STEP_BYTES):
+        if len(terms.hashes):
+            yield from unit_vectors(*terms.counts(data, offsets), b - a, idf)
+        else:
+            yield from [(np.empty(0, np.int64), np.empty(0))] * (b - a)
+
+
 def held_out(id_column: str):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_column: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[Model, list]:
-    """A model of at most ``examples`` labelled rows that aren't held out, chosen by the hash of their id; and those rows' ids."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_column: str = "doc_id", text: str = "text", label: str = "toxic") -> bytes:
+    """A pickled ``Model`` of at most ``examples`` labelled rows that aren't held out, chosen by the hash of their id.
+
+    Of several rows of one id the least text teaches. Texts stay on the executors: terms, frequencies and vectors are made there, and
+    one task of a bounded size makes the model.
+    """
+    spark = docs.sparkSession
     known = labels.select(F.col(id_column).alias("i"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("i").isNotNull() & ~held_out("i"))
-    known = known.groupBy("i").agg(F.max("label").alias("label"))
+    known = known.groupBy("i").agg((F.max("label") > 0).cast("int").alias("label"))
     rows = docs.select(F.col(id_column).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # the ids are chosen first, so only their texts are gathered
     picked = known.join(rows.select("i").distinct(), "i", "left_semi").orderBy(F.xxhash64("i"), "i").limit(examples)
-    chosen = rows.join(F.broadcast(picked), "i").select("i", "text", "label").collect()
-    chosen = sorted({(r.i, r.text, r.label) for r in chosen})[:examples]
-    y = np.array([r[2] > 0 for r in chosen], bool)
-    spark = docs.sparkSession
+    chosen = store.written(rows.join(F.broadcast(picked), "i").groupBy("i").agg(F.min("text").alias("text"), F.max("label").alias("label")).repartition(8, "i"))
+    sizes = {r.label: r.n for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     terms = np.empty(0, U)
-    if y.any() and not y.all():
-        table = spark.createDataFrame([(t, int(v)) for (_, t, _), v in zip(chosen, y, strict=True)], "text string, label int").repartition(8)
-        n1, n0 = int(y.sum()), int((~y).sum())
-        seen = table.mapInArrow(_associated, "term bigint, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("a"), F.sum("n0").alias("b")).where("a + b >= 3")
+    if n1 and n0:
+        seen = chosen.select("text", "label").mapInArrow(store.lean(_associated), "term bigint, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("a"), F.sum("n0").alias("b")).where("a + b >= 3")
         n = float(n1 + n0)
         chi = F.expr(f"pow(a * ({n0}D - b) - b * ({n1}D - a), 2) * {n}D / ({float(n1) * n0}D * (a + b) * ({n}D - a - b + 1e-9D))")
         odds = F.expr(f"ln((a + 0.5D) / {n1 + 1}) - ln((b + 0.5D) / {n0 + 1})")
@@ -239,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_column:
         kept, df, n = Terms(held.value), np.zeros(len(held.value), np.int64), 0
         for batch in batches:
             n += len(batch)
-            for _, _, data, offsets in K.chunks(batch.column(0)):
+            for _, _, data, offsets in K.chunks(batch.column(0), STEP_BYTES):
                 _, term, _ = kept.counts(data, offsets)
                 df += np.bincount(term, minlength=len(df))
         used = np.flatnonzero(df)
@@ -247,9 +254,24 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_column:
 
     idf = np.ones(len(terms))
     if len(terms):
-        counts = {r.term: r.n for r in rows.select("text").mapInArrow(frequency, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        counts = {r.term: r.n for r in rows.select("text").mapInArrow(store.lean(frequency), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         idf = np.array([np.log((1 + counts[-1]) / (1 + counts.get(i, 0))) + 1 for i in range(len(terms))])
-    return Model(terms, idf, [r[1] for r in chosen], y), [r[0] for r in chosen]
+
+    def vectors(batches):
+        own = Terms(held.value)
+        for batch in batches:
+            found = list(vectors_of(batch.column("text"), own, idf))
+            yield pa.RecordBatch.from_arrays([batch.column("i").cast(pa.string()), batch.column("label"), pa.array([t.astype(np.int32) for t, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float64()))], ["i", "label", "terms", "weights"])
+
+    def made(batches):
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("i", "label")), *([np.array(x.values) for x in b.column(c)] for c in ("terms", "weights")), strict=True)]
+        rows.sort(key=lambda r: (len(r[0]), r[0]))
+        model = Model(held.value, idf, [(t.astype(np.int64), w) for _, _, t, w in rows], np.array([y > 0 for _, y, _, _ in rows], bool), np.array([r[0] for r in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    one = chosen.select("i", "text", "label").mapInArrow(store.lean(vectors), "i string, label int, terms array<int>, weights array<double>").coalesce(1).mapInArrow(store.lean(made), "model binary").collect()
+    store.dropped(chosen)
+    return bytes(one[0].model) if one else pickle.dumps(Model(terms, idf, [], np.empty(0, bool), np.empty(0, str)))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_column: str = "doc_id", text: str = "text", examples: int = EXAMPLES, evidence: bool = False) -> DataFrame:
@@ -260,22 +282,20 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_column:
     labels of both kinds every score is the base rate. Null ids aren't held out. Repeated rows are scored one by one;
     columns of ``docs`` named like the new ones are replaced; an empty table gives an empty one.
     """
-    store.short_batches(docs.sparkSession)
-    model, ids = fit(docs, labels, examples, id_column, text)
-    held, key = docs.sparkSession.sparkContext.broadcast((model, ids)), uuid.uuid4().hex
-
-    kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
+    held, key = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, examples, id_column, text)), uuid.uuid4().hex
+    kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.string()))])
 
-    @F.arrow_udf("struct<score: double, evidence: array<bigint>>")
+    @F.arrow_udf("struct<score: double, evidence: array<string>>")
     def scored(texts: pa.Array) -> pa.Array:
         if key not in _workers:
             _workers.clear()
-            _workers[key] = held.value
-        own, ids = _workers[key]
+            _workers[key] = pickle.loads(held.value)
+        own = _workers[key]
         scores, rows = own.scores(texts)
-        near = [[ids[i] for i in r.tolist()] if evidence else [] for r in rows]
-        return pa.StructArray.from_arrays([pa.array(scores), pa.array(near, pa.list_(pa.int64()))], fields=list(kind))
+        near = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32), pa.array(own.ids[np.concatenate(rows)].tolist() if rows else [], pa.string())) if evidence else pa.array([[]] * len(rows), pa.list_(pa.string()))
+        store.trimmed()
+        return pa.StructArray.from_arrays([pa.array(scores), near], fields=list(kind))
 
     out = docs.withColumn("held_out", held_out(id_column)).withColumn("_scored", scored(F.coalesce(F.col(text), F.lit(""))))
-    out = out.withColumns({"score": F.col("_scored.score"), **({"evidence": F.col("_scored.evidence")} if evidence else {})}).drop("_scored")
+    out = out.withColumns({"score": F.col("_scored.score"), **({"evidence": F.col("_scored.evidence").cast(T.ArrayType(docs.schema[id_column].dataType))} if evidence else {})}).drop("_scored")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
