@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.llm import chat_format, decontaminate, line_dedup, ngram_join, order_minhash, packing, recompression, suffix_dedup, token_counts, toxicity
+from engramlake.llm import chat_format, decontaminate, line_dedup, ngram_join, order_minhash, packing, recompression, sql, suffix_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,23 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL}
-
-
-OP6_SQL = r"""
-WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
-), marked AS (
-  SELECT *, length(regexp_replace(replace(role, chr(10), '<|nl|>'), '<(\\*)\|', '<\1\\|', 'g')) AS role_chars,
-         length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS text_chars
-  FROM turns
-)
-SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(24 + role_chars + text_chars) AS BIGINT) AS formatted_chars
-FROM marked GROUP BY conv_id
-"""
+    return {"op2_suffix_dedup": sql.OP2, "op3_line_dedup": sql.OP3, "op6_chat_formatting": sql.OP6, "op8_substring_dedup": sql.OP8, "op9_ngram_jaccard_join": sql.OP9}
