@@ -454,7 +454,7 @@ def check_pieces(rows, texts, window):
 
 def test_packing(spark, texts):
     lines = check_pieces(packing.pack(frame(spark, texts).coalesce(1), BPE, window=64).collect(), texts, 64)
-    assert sum(sum(n for _, n in x) < 64 for x in lines.values()) <= 1  # one task, one shard, one last sequence
+    assert sum(sum(n for _, n in x) < 64 for x in lines.values()) <= 4  # a shard for each of four tasks, each with one last sequence
     check_pieces(packing.pack(frame(spark, texts).repartition(3), BPE, window=64).collect(), texts, 64)
     assert packing.pack(empty(spark), BPE).count() == 0
 
@@ -475,7 +475,7 @@ def test_packing_asks_with_all_terms():
     chance = np.random.default_rng(8)
     docs = [np.r_[chance.zipf(1.3, chance.integers(40, 160)) % 400 + 2, 1].astype(np.uint32) for _ in range(60)]
     alive = np.ones(len(docs), bool)
-    index = packing.Index(docs, alive, 1)
+    index = packing.Index(docs, 1)
     for seed in range(0, 60, 4):
         alive[seed] = False
         got = index.best(docs[seed], alive, 8)
@@ -487,7 +487,7 @@ def test_packing_asks_with_all_terms():
     rare, usual = np.arange(100, 130), np.arange(10, 50)
     docs = [np.r_[rare, usual, 1], np.r_[rare, 1], np.r_[usual, 1], np.r_[np.arange(300, 310), 1], np.r_[usual, 1], np.r_[usual, 1]]
     docs = [d.astype(np.uint32) for d in docs]
-    assert packing.Index(docs, np.ones(6, bool), 1).best(docs[0], np.array([False, False, True, True, False, False]), 8).tolist() == [2]
+    assert packing.Index(docs, 1).best(docs[0], np.array([False, False, True, True, False, False]), 8).tolist() == [2]
 
 
 def test_packing_prefers_neighbours():
@@ -499,6 +499,31 @@ def test_packing_prefers_neighbours():
     assert sorted(map(sorted, groups.values())) == [[0, 3], [1, 4], [2, 5]]
 
 
+def test_packing_fills_a_window_with_its_own_neighbours():
+    """The second neighbour is the seed's, not its first neighbour's; a long document's neighbours are found by all of its text."""
+    seed = np.array([*range(10, 40), 50, 51], np.uint32)
+    near = np.array([*range(10, 20), *range(60, 70)], np.uint32)
+    like_near = np.array([*range(60, 70), *range(70, 80)], np.uint32)
+    like_seed = np.array([*range(30, 40), 50, 51, *range(80, 88)], np.uint32)
+    pieces, _ = packing.packed_shard([seed, near, like_near, like_seed], 72)
+    assert {r for r, _, _, sequence, _ in pieces if sequence == 0} == {0, 1, 3}
+    long_ = np.r_[np.arange(100, 130), np.arange(200, 205)].astype(np.uint32)
+    other, same = np.arange(300, 315, dtype=np.uint32), np.arange(100, 110, dtype=np.uint32)
+    pieces, _ = packing.packed_shard([long_, other, same], 30)
+    first = {r: q for r, _, _, q, _ in pieces if r != 0}
+    rest = next(q for r, s, _, q, _ in pieces if r == 0 and s == 30)
+    assert len(first) == 2 and rest in {q for r, _, _, q, _ in pieces if r == 2}
+
+
+def test_packing_weights_are_those_of_the_table(spark, texts):
+    table = packing.encoded(frame(spark, texts).repartition(3), BPE, 1, "doc_id", "text")
+    stats, exact = packing._table_stats(table), Tokenizer.from_file(BPE)
+    ids = [[*exact.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    df = Counter(x for d in ids for x in set(d))
+    assert (stats.n, stats.mean) == (len(ids), sum(map(len, ids)) / len(ids))
+    assert {t: int(n) for t, n in enumerate(stats.df) if n} == df
+
+
 def test_key_filter_and_folder(spark):
     rows = spark.range(1000).withColumnRenamed("id", "k")
     kept = {r.k for r in store.key_filter(rows, rows.where("k % 7 = 0"), "k").collect()}
