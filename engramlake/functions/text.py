@@ -58,7 +58,9 @@ def normalized_text(text: Column) -> Column:
 def shingles(text: Column, k: int = 3) -> Column:
     """Distinct k-character pieces of the trimmed lower-cased text; a shorter text is one piece."""
     low = F.lower(F.trim(text))
-    return F.when(F.length(low) < k, F.array(low)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - k + 1), lambda i: F.substring(low, i, F.lit(k)))))
+    # characters once, so a long text isn't searched from its start for each piece
+    pieces = F.transform(F.array(F.split(low, "")), lambda cs: F.transform(F.slice(cs, F.lit(1), F.size(cs) - (k - 1)), lambda c, i: F.concat(c, *[F.get(cs, i + j) for j in range(1, k)])))
+    return F.when(F.length(low) < k, F.array(low)).otherwise(F.array_distinct(F.get(pieces, F.lit(0))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -106,3 +106,15 @@ def sections(parts: list[DataFrame], budgets: list[int]) -> DataFrame:
         rows = within_budget(part, budget, ["query_id"], [F.col("ord")], F.length("line")).select("query_id", F.lit(k).alias("section"), "ord", "line")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def row_batches(rows: DataFrame, key: str, size: int, *order: str) -> DataFrame:
+    """``batch`` from 0: every ``size`` rows of a key in order."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("batch", F.floor((n - 1) / size))
+
+
+def by_priority(rows: DataFrame, key: str, kind: str, order: list[str], *then: str) -> DataFrame:
+    """``n`` from 1 within each key: kinds in the given order, others last, equals by ``then``."""
+    place = F.coalesce(*[F.when(F.col(kind) == k, F.lit(i)) for i, k in enumerate(order)], F.lit(len(order)))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(place, *then)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions import text as T
-from engramlake.functions import vectors as V
+from engramlake.operators import graph, vector_index
 
 #: Thresholds of the three stages: share of shingles, cosine, and the cosine from which a match is borderline.
 PRESETS = {"default": (0.85, 0.90, 0.80), "class": (0.70, 0.85, 0.70), "strict": (0.8, 0.9, 0.75), "loose": (0.6, 0.8, 0.65)}
@@ -37,22 +39,94 @@ def recent_repeats(rows: DataFrame, last: int = 100) -> DataFrame:
     return numbered.withColumn("previous", F.lag("seq").over(before)).where(F.col("seq") - F.col("previous") <= last).select("id", "user_id")
 
 
-def shingle_pairs(items: DataFrame, least: float, k: int = 3, most_common: int = 1000) -> DataFrame:
-    """Pairs (a, b, jaccard) of items (id, content) whose k-character shingle sets have a Jaccard of at least ``least``.
+def set_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, jaccard) of rows (id, s) whose sets have a Jaccard of at least ``least``; empty sets pair with none.
 
-    Prefix filter, exact: with shingles ordered from rare to common, similar sets share one of their first
-    n - ceil(least * n) + 1. So only rare shingles join.
+    Prefix filter, exact: with members ordered from rare to common, similar sets share one of their first
+    n - ceil(least * n) + 1. So only rare members join, and only sets of similar size.
     """
-    sets = items.select("id", T.shingles(F.col("content"), k).alias("s"))
     df = sets.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     ordered = sets.select("id", F.explode("s").alias("t")).join(df, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
     prefix = F.slice("o", F.lit(1), F.size("o") - F.ceil(F.lit(least) * F.size("o")).cast("int") + 1)
-    heads = ordered.select("id", F.explode(prefix).alias("x")).select("id", "x.t")
-    pairs = heads.alias("x").join(heads.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    heads = ordered.select("id", F.size("o").alias("n"), F.explode(prefix).alias("x")).select("id", "n", "x.t")
+    similar = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
+    pairs = heads.alias("x").join(heads.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id")) & similar).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def shingle_pairs(items: DataFrame, least: float, k: int = 3) -> DataFrame:
+    """Pairs (a, b, jaccard) of items (id, content) whose k-character shingle sets have a Jaccard of at least ``least``."""
+    return set_pairs(items.select("id", T.shingles(F.col("content"), k).alias("s")), least)
+
+
+def signature(pieces: Column, n: int = 128) -> Column:
+    """MinHash signature of an array of strings: ``n`` least values of odd multiples of their hashes; nulls if it is empty.
+
+    The strings are hashed in the JVM; the ``n`` passes over whole batches of hashes are numpy's.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def least(hashes: pa.Array) -> pa.Array:
+        import numpy as np
+
+        chance = np.random.default_rng(20240607)
+        times, plus = (chance.integers(0, 1 << 63, n, dtype=np.uint64) for _ in range(2))
+        size = pa.compute.fill_null(pa.compute.list_value_length(hashes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        own = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        full = np.flatnonzero(size)
+        out = np.zeros((len(size), n), np.int64)
+        if len(full):
+            first = (np.cumsum(size) - size)[full]
+            for i in range(n):
+                x = own * (times[i] | np.uint64(1)) + plus[i]
+                out[full, i] = np.minimum.reduceat(x ^ (x >> np.uint64(31)), first).view(np.int64)
+        values = pa.array(out.reshape(-1), mask=np.repeat(size == 0, n))
+        return pa.ListArray.from_arrays(np.arange(len(size) + 1, dtype=np.int32) * n, values)
+
+    return least(F.transform(pieces, lambda p: F.xxhash64(p)))
+
+
+def signature_jaccard(a: Column, b: Column) -> Column:
+    """Share of equal places of two signatures: an estimate of the sets' Jaccard."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.size(a)
+
+
+def bands(signatures: DataFrame, rows: int = 8) -> DataFrame:
+    """Rows (id, band, key) of signatures (id, sig), ``rows`` places a band."""
+    cuts = F.transform(F.sequence(F.lit(0), (F.size("sig") / rows).cast("int") - 1), lambda j: F.xxhash64(F.slice("sig", j * rows + 1, F.lit(rows))))
+    return signatures.select("id", F.posexplode(cuts).alias("band", "key"))
+
+
+def lsh_pairs(new: DataFrame, known: DataFrame, least: float, k: int = 3) -> DataFrame:
+    """Pairs (id, match, jaccard) of new and known items (id, content) that share a band of their signatures and have an exact Jaccard of ``least`` or more.
+
+    16 bands of 8: pairs of 0.85 share one with probability 0.994.
+    """
+    sets = [graph.cut(rows.select("id", T.shingles(F.coalesce("content", F.lit("")), k).alias("s")).withColumn("sig", signature(F.col("s")))) for rows in (new, known)]
+    a, b = (bands(x) for x in sets)
+    found = a.join(b.withColumnRenamed("id", "match"), ["band", "key"]).select("id", "match").distinct()
+    both = found.join(sets[0].select("id", F.col("s").alias("sa")), "id").join(sets[1].select(F.col("id").alias("match"), F.col("s").alias("sb")), "match")
+    return both.select("id", "match", T.jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def word_classes(memories: DataFrame, *scope: str) -> DataFrame:
+    """Rows (scope, id, s, lead): each row's sorted word set, and the least id of the scope that has the same one."""
+    rows = memories.select("id", *scope, F.array_sort(T.words(F.coalesce("content", F.lit("")))).alias("s"))
+    # a struct, in which a null scope equals another
+    rows = rows.withColumn("k", F.struct(*scope, F.md5(F.array_join("s", " ").cast("binary")).alias("words")))
+    return rows.join(rows.groupBy("k").agg(F.min("id").alias("lead")), "k").drop("k")
+
+
+def event_pairs(memories: DataFrame, least: float = 0.75) -> DataFrame:
+    """Pairs (a, b, similarity, shared) of different word sets of similarity ``least`` or more, one row of each set: word Jaccard and the names that both hold."""
+    rows = word_classes(memories).where("id = lead AND size(s) > 0")
+    near = set_pairs(rows.select("id", "s"), least)
+    names = memories.select("id", T.entities(F.col("content")).alias("names"))
+    a, b = (names.select(F.col("id").alias(x), F.col("names").alias(f"names_{x}")) for x in "ab")
+    return near.join(a, "a").join(b, "b").select("a", "b", F.col("jaccard").alias("similarity"), F.size(F.array_intersect("names_a", "names_b")).alias("shared"))
+
+
 def three_stages(new: DataFrame, known: DataFrame, preset: str = "default") -> DataFrame:
     """Rows (id, match, stage, similarity) of new items (id, content, v) against known ones: exact, shingles, cosine, else new.
 
@@ -62,14 +136,22 @@ def three_stages(new: DataFrame, known: DataFrame, preset: str = "default") -> D
     key = T.normalized_text(F.col("content"))
     exact = new.select("id", key.alias("k")).join(known.select(F.col("id").alias("match"), key.alias("k")), "k").groupBy("id").agg(F.min("match").alias("match")).select("id", "match", F.lit("exact").alias("stage"), F.lit(1.0).alias("similarity"))
     left = new.join(exact.select("id"), "id", "left_anti")
-    # the two sides' ids are told apart by sign
-    both = left.select((-F.col("id") - 1).alias("id"), "content").union(known.select("id", "content"))
-    pairs = shingle_pairs(both, near).where("a < 0 AND b >= 0")
-    best = pairs.groupBy("a").agg(F.max(F.struct("jaccard", -F.col("b"))).alias("m"))
-    shingle = best.select((-F.col("a") - 1).alias("id"), (-F.col("m.col2")).alias("match"), F.lit("shingles").alias("stage"), F.col("m.jaccard").alias("similarity"))
+    # one known row of each content
+    leads = known.groupBy(key.alias("k")).agg(F.min_by("content", "id").alias("content"), F.min("id").alias("id")).select("id", "content")
+    best = lsh_pairs(left.select("id", "content"), leads, near).groupBy("id").agg(F.max(F.struct("jaccard", -F.col("match"))).alias("m"))
+    shingle = best.select("id", (-F.col("m.col2")).alias("match"), F.lit("shingles").alias("stage"), F.col("m.jaccard").alias("similarity"))
     rest = left.join(shingle.select("id"), "id", "left_anti")
-    cos = rest.select("id", "v").join(known.select(F.col("id").alias("match"), F.col("v").alias("w")), F.lit(True)).select("id", "match", F.round(V.cosine(F.col("v"), F.col("w")), 6).alias("similarity"))
-    top = cos.groupBy("id").agg(F.max(F.struct("similarity", -F.col("match"))).alias("m")).select("id", (-F.col("m.col2")).alias("match"), F.col("m.similarity").alias("similarity"))
+    # of known vectors those in the cells nearest to a row's own; rows without a vector are new
+    vectors = known.where("v IS NOT NULL").select("id", "v")
+    asked = rest.where("v IS NOT NULL").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    n = vectors.count()
+    if n:
+        model = vector_index.fit(vectors, min(n, vector_index.n_cells(n)))
+        found = vector_index.nearest(vector_index.indexed(vectors, model), asked, model, 1, min(16, len(model.clusterCenters())))
+        found = found.select(F.col("query_id").alias("id"), F.col("id").alias("match"), F.col("score").alias("similarity"))
+    else:
+        found = asked.select(F.col("query_id").alias("id"), F.lit(None).cast("bigint").alias("match"), F.lit(None).cast("double").alias("similarity"))
+    top = rest.select("id").join(found, "id", "left")
     stage = F.when(F.col("similarity") >= same, "cosine").when(F.col("similarity") >= unsure, "borderline").otherwise("new")
     semantic = top.select("id", "match", stage.alias("stage"), "similarity")
     return exact.unionByName(shingle).unionByName(semantic)
@@ -119,17 +201,27 @@ def topic_keywords(memories: DataFrame, most: int) -> DataFrame:
 
 
 def leader_clusters(memories: DataFrame, least: float = 0.8) -> DataFrame:
-    """Rows (id, leader): one pass by id within each user; a row joins the first leader whose words have a Jaccard of at least ``least``."""
-
-    def grouped(rows):
-        leaders, out = [], []
-        for i, c in sorted(zip(rows["id"], rows["content"], strict=True)):
-            words = set((c or "").lower().split())
-            own = next((j for j, w in leaders if (len(words & w) / len(words | w) if words | w else 0.0) >= least), None)
-            if own is None:
-                leaders.append((i, words))
-                own = i
-            out.append((i, own))
-        return type(rows)(out, columns=["id", "leader"])
-
-    return memories.groupBy("user_id").applyInPandas(grouped, "id bigint, leader bigint")
+    """Rows (id, leader): what one pass by id within each user gives where a row joins the first leader whose words have a Jaccard of at least ``least``.
+
+    Only similar pairs meet. A row without an earlier similar leader leads; it is known to be one as soon as all of its earlier
+    similar rows are known to follow, so each round settles every row that the rounds before it decide. Rows of one word set
+    are one; rows without words follow their first.
+    """
+    rows = word_classes(memories, "user_id")
+    heads = rows.where("id = lead AND size(s) > 0")
+    pairs = graph.cut(set_pairs(heads.select("id", "s"), least).join(heads.select(F.col("id").alias("a"), F.col("user_id").alias("u")), "a").join(heads.select(F.col("id").alias("b"), F.col("user_id").alias("w")), "b").where("u = w OR (u IS NULL AND w IS NULL)").select("a", "b"))
+    none = pairs.select(F.col("b").alias("id"), F.col("a").alias("leader")).limit(0)
+    open_, follows = pairs, none
+    while True:
+        # a row that no open pair puts behind another leads, and all behind it follow
+        leads = open_.select(F.col("a").alias("id")).distinct().join(open_.select(F.col("b").alias("id")), "id", "left_anti")
+        new = graph.cut(open_.join(leads.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")))
+        if new.isEmpty():
+            break
+        follows = follows.union(new)
+        gone = new.select("id")
+        open_ = graph.cut(open_.join(leads.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"))
+    # a row that a later round settled may have an earlier leader than the one that settled it
+    own = follows.select(F.col("id").alias("b"))
+    first = pairs.join(own, "b").join(own.withColumnRenamed("b", "a"), "a", "left_anti").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+    return rows.select("id", "lead").join(first.withColumnRenamed("id", "lead"), "lead", "left").select("id", F.coalesce("leader", "lead").alias("leader"))

@@ -10,10 +10,14 @@ def cut(df: DataFrame) -> DataFrame:
     """End the lineage: a reliable checkpoint in the folder that the session names."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="engramlake-"))
+        if not where:
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            where = tempfile.mkdtemp(prefix="engramlake-")
+        sc.setCheckpointDir(where)
     return df.checkpoint()
 
 
@@ -30,7 +34,7 @@ def neighbours(edges: DataFrame, direction: str = "out", types: list[str] | None
 
 def breadth_first(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out", types: list[str] | None = None) -> DataFrame:
     """Rows (start, node, depth): every node within ``depth`` hops of each start, once, at its least depth; starts have depth 0."""
-    step = neighbours(edges, direction, types).select("node", "neighbour").distinct()
+    step = cut(neighbours(edges, direction, types).select("node", "neighbour").distinct())  # each hop reads it
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
     front = seen
     for d in range(1, depth + 1):

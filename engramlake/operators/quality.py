@@ -98,3 +98,14 @@ def acts_after_end(events: DataFrame, end: str, severity: float = 0.95) -> DataF
 def report(violations: DataFrame) -> DataFrame:
     """Per entity the number of violations and the confidence max(0.5, 1 - 0.1 n)."""
     return violations.groupBy("entity").agg(F.count("*").alias("n")).withColumn("confidence", F.round(F.greatest(F.lit(0.5), 1 - 0.1 * F.col("n")), 6))
+
+
+def out_of_order(events: DataFrame, order: list[tuple[str, str]]) -> DataFrame:
+    """Rows (entity, x, y): entities whose first event x comes after their first y, though ``order`` says x before y. ``events``: rows (entity, event, at)."""
+    first = events.groupBy("entity", "event").agg(F.min("at").alias("at"))
+    out = None
+    for x, y in order:
+        a, b = first.where(F.col("event") == x).alias("a"), first.where(F.col("event") == y).alias("b")
+        found = a.join(b, "entity").where("a.at > b.at").select("entity", F.lit(x).alias("x"), F.lit(y).alias("y"))
+        out = found if out is None else out.union(found)
+    return out

@@ -6,6 +6,8 @@ ranking and ties go to the smaller id, so that ranks don't depend on summation o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,17 +114,59 @@ def rerank_bonus(text: Column, query: Column, kws: Column) -> Column:
     return 0.05 * F.size(F.filter(kws, lambda w: F.contains(F.lower(text), w))) + F.when(F.contains(F.lower(text), F.lower(query)), 0.2).otherwise(0.0)
 
 
+def in_blocks(queries: DataFrame, one: Callable[[DataFrame], DataFrame], block: int = 4096) -> DataFrame:
+    """What ``one`` makes of a stated query set, about ``block`` queries in each pass, so what a pass broadcasts has a bound."""
+    n = -(-queries.count() // block)
+    if n <= 1:
+        return one(queries)
+    out = None
+    for b in range(n):
+        part = one(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b))
+        out = part if out is None else out.union(part)
+    return out
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "cosine", positive: bool = False) -> DataFrame:
     """The ``k`` rows of largest cosine or inner product of each query vector. ``queries``: rows (query_id, q), a stated set."""
     value = V.cosine(F.col("q"), F.col("v")) if measure == "cosine" else V.dot(F.col("q"), F.col("v"))
-    scores = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", value.alias("score"))
-    return ranked(scores.where("score > 0") if positive else scores, k)
 
+    def one(some: DataFrame) -> DataFrame:
+        scores = vectors.crossJoin(F.broadcast(some)).select("query_id", "id", value.alias("score"))
+        return ranked(scores.where("score > 0") if positive else scores, k)
+
+    return in_blocks(queries, one)
+
+
+def fine_rank(candidates: DataFrame, share: float = 0.7) -> DataFrame:
+    """``share`` of the cosine and the rest of the score that candidates (query_id, id, q, v, score) came with."""
+    return candidates.select("query_id", "id", (share * V.cosine(F.col("q"), F.col("v")) + (1 - share) * F.col("score")).alias("score"))
+
+
+def mmr_vectors(candidates: DataFrame, k: int, balance: float = 0.7) -> DataFrame:
+    """Greedy choice of ``k`` rows of each query by balance * score - (1 - balance) * largest cosine to those chosen; ties by id.
+
+    ``candidates``: rows (query_id, id, score, v), a bounded number for each query. Null vectors are like none (cosine 0).
+    """
+
+    def chosen(rows):
+        import numpy as np
+
+        rows = rows.sort_values("id")
+        ids, score = rows["id"].to_numpy(), rows["score"].to_numpy(np.float64)
+        width = max((len(v) for v in rows["v"] if v is not None), default=1)
+        m = np.array([np.zeros(width) if v is None else np.asarray(v, np.float64) for v in rows["v"]])
+        size = np.sqrt((m * m).sum(1))
+        m = m / np.where(size > 0, size, 1)[:, None]
+        near, left, out = np.zeros(len(ids)), np.ones(len(ids), bool), []
+        while left.any() and len(out) < k:
+            value = np.where(left, np.round(balance * score - (1 - balance) * near, 9), -np.inf)
+            best = int(np.argmax(value))
+            left[best] = False
+            out.append((rows["query_id"].iloc[0], ids[best], score[best], len(out) + 1))
+            near = np.maximum(near, m @ m[best]) if len(out) > 1 else m @ m[best]
+        return type(rows)(out, columns=["query_id", "id", "score", "rank"])
 
-def fine_rank(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, share: float = 0.7) -> DataFrame:
-    """``share`` of the cosine and the rest of the score that candidates came with."""
-    both = candidates.join(vectors, "id").join(queries, "query_id")
-    return both.select("query_id", "id", (share * V.cosine(F.col("q"), F.col("v")) + (1 - share) * F.col("score")).alias("score"))
+    return candidates.select("query_id", "id", "score", "v").groupBy("query_id").applyInPandas(chosen, "query_id bigint, id bigint, score double, rank int")
 
 
 def mmr(candidates: DataFrame, k: int, balance: float = 0.7) -> DataFrame:

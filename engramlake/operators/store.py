@@ -63,3 +63,13 @@ def filtered(rows: DataFrame, **conditions) -> DataFrame:
     for name, value in conditions.items():
         rows = rows.where(F.col(name).isin(value) if isinstance(value, list | tuple) else F.col(name) == value)
     return rows
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of the asked keys; a key that no row has gives none."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def holding(rows: DataFrame, array: str, asked: DataFrame, key: str) -> DataFrame:
+    """Rows whose array holds an asked key, with that key: a reverse lookup as an equi-join."""
+    return rows.withColumn(key, F.explode(F.array_distinct(array))).join(asked.select(key).distinct(), key, "left_semi")

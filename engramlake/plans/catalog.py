@@ -207,13 +207,13 @@ def c_interval_overlap(spark, sf):
     return temporal.interval_pairs(src.facts(spark, sf))
 
 
-@query("""WITH e AS (SELECT DISTINCT doc_id, s, unnest(list_distinct(regexp_extract_all(sentence, '[A-Z][a-z]{2,}'))) AS name FROM (SELECT item_id AS doc_id, unnest(string_split(text, chr(10))) AS sentence, generate_subscripts(string_split(text, chr(10)), 1) AS s FROM benchmark))
+@query("""WITH e AS (SELECT DISTINCT doc_id, s, unnest(list_distinct(regexp_extract_all(sentence, '[A-Z][a-z]{2,}'))) AS name FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?\\n]')) AS sentence, generate_subscripts(regexp_split_to_array(text, '[.!?\\n]'), 1) AS s FROM documents))
 SELECT x.name AS a, y.name AS b, count(*) AS n FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.s = y.s AND x.name < y.name GROUP BY x.name, y.name""")
 def c_cooccurrence(spark, sf):
-    lines = src.table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("s", "sentence"))
-    names = lines.select("item_id", "s", F.explode(T.entities(F.col("sentence"))).alias("name")).distinct()
+    lines = src.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "[.!?\n]")).alias("s", "sentence"))
+    names = lines.select("doc_id", "s", F.explode(T.entities(F.col("sentence"))).alias("name")).distinct()
     x, y = names.alias("x"), names.alias("y")
-    both = x.join(y, (F.col("x.item_id") == F.col("y.item_id")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.name") < F.col("y.name")))
+    both = x.join(y, (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.name") < F.col("y.name")))
     return both.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(F.count("*").alias("n"))
 
 
@@ -358,7 +358,9 @@ def f_topk_by_score(spark, sf):
 
 @query()
 def f_mmr(spark, sf):
-    return plan.search(src.memories(spark, sf), _asked(spark, sf), plan.Config(diversity=0.7))
+    rows = src.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return search.mmr_vectors(search.nearest(rows, asked, 20).join(rows, "id"), 10)
 
 
 # G: sets
@@ -504,18 +506,18 @@ def i_expanding_window(spark, sf):
 _COS = "list_sum(list_transform(list_zip(q, v), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"
 
 
-@query(f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.id < 5)
+@query(f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.id % 50 = 0)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) WHERE rank <= 10""")
 def j_cosine_topk(spark, sf):
     rows = src.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return search.nearest(rows, rows.where("id < 5").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 10)
+    return search.nearest(rows, rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 10)
 
 
-@query(f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT a.id AS query_id, b.id, round(list_inner_product(a.v, b.v), 6) AS score FROM e a, e b WHERE a.id < 5)
+@query(f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT a.id AS query_id, b.id, round(list_inner_product(a.v, b.v), 6) AS score FROM e a, e b WHERE a.id % 50 = 0)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) WHERE rank <= 10""")
 def j_inner_product_topk(spark, sf):
     rows = src.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return search.nearest(rows, rows.where("id < 5").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 10, "dot")
+    return search.nearest(rows, rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 10, "dot")
 
 
 @query("SELECT label, count(*) AS n, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6) AS norm FROM embeddings GROUP BY label")
@@ -571,7 +573,7 @@ def l_triple(spark, sf):
     return graph.two_step(src.edges(spark, sf), "PLACED", "CONTAINS")
 
 
-@query(f"""WITH {EDGES}, s AS (SELECT 'c:' || c_custkey AS start FROM customer WHERE c_custkey <= 20), d1 AS (SELECT DISTINCT start, dst AS node FROM s JOIN edges ON src = start), d2 AS (SELECT DISTINCT start, dst AS node FROM d1 JOIN edges ON src = node),
+@query(f"""WITH {EDGES}, s AS (SELECT 'c:' || c_custkey AS start FROM customer WHERE c_custkey % 50 = 0), d1 AS (SELECT DISTINCT start, dst AS node FROM s JOIN edges ON src = start), d2 AS (SELECT DISTINCT start, dst AS node FROM d1 JOIN edges ON src = node),
 d3 AS (SELECT DISTINCT start, dst AS node FROM d2 JOIN edges ON src = node)
 SELECT start, node, min(depth) AS depth FROM (SELECT start, start AS node, 0 AS depth FROM s UNION ALL SELECT *, 1 FROM d1 UNION ALL SELECT *, 2 FROM d2 UNION ALL SELECT *, 3 FROM d3) GROUP BY start, node""")
 def l_bfs(spark, sf):
@@ -579,36 +581,31 @@ def l_bfs(spark, sf):
 
 
 def _starts(spark, sf):
-    return src.table(spark, sf, "customer").where("c_custkey <= 20").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("start"))
+    return src.table(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("start"))
 
 
-@query(f"""WITH {EDGES}, s AS (SELECT 'c:' || c_custkey AS start FROM customer WHERE c_custkey <= 20), w1 AS (SELECT start, dst AS node, 1 AS n FROM s JOIN edges ON src = start), w2 AS (SELECT start, dst AS node, sum(n) AS n FROM w1 JOIN edges ON src = node GROUP BY ALL)
+@query(f"""WITH {EDGES}, s AS (SELECT 'c:' || c_custkey AS start FROM customer WHERE c_custkey % 50 = 0), w1 AS (SELECT start, dst AS node, 1 AS n FROM s JOIN edges ON src = start), w2 AS (SELECT start, dst AS node, sum(n) AS n FROM w1 JOIN edges ON src = node GROUP BY ALL)
 SELECT start, node, 1 AS depth, CAST(n AS BIGINT) AS n FROM w1 UNION ALL SELECT start, node, 2, CAST(n AS BIGINT) FROM w2""")
 def l_walks(spark, sf):
     return graph.walks(src.edges(spark, sf), _starts(spark, sf), 2)
 
 
-@query(f"""WITH {EDGES}, s AS (SELECT 'c:' || c_custkey AS start FROM customer WHERE c_custkey <= 20), d1 AS (SELECT DISTINCT start, dst AS node FROM s JOIN edges ON src = start), v AS (SELECT start, start AS node, 0 AS depth FROM s UNION ALL SELECT *, 1 FROM d1)
+@query(f"""WITH {EDGES}, s AS (SELECT 'c:' || c_custkey AS start FROM customer WHERE c_custkey % 50 = 0), d1 AS (SELECT DISTINCT start, dst AS node FROM s JOIN edges ON src = start), v AS (SELECT start, start AS node, 0 AS depth FROM s UNION ALL SELECT *, 1 FROM d1)
 SELECT start, dst AS id, round(sum(1.0 / (depth + 1)), 6) AS score FROM v JOIN edges ON src = node GROUP BY start, dst""")
 def l_graph_recall(spark, sf):
     return graph.recall_by_graph(src.edges(spark, sf), _starts(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {EDGES}, s AS (SELECT 'c:' || c_custkey AS start FROM customer WHERE c_custkey <= 20), r AS (SELECT start AS node FROM s UNION SELECT dst FROM s JOIN edges ON src = start)
+@query(f"""WITH {EDGES}, s AS (SELECT 'c:' || c_custkey AS start FROM customer WHERE c_custkey % 50 = 0), r AS (SELECT start AS node FROM s UNION SELECT dst FROM s JOIN edges ON src = start)
 SELECT DISTINCT src, type, dst FROM edges WHERE src IN (SELECT node FROM r) AND dst IN (SELECT node FROM r)""")
 def l_subgraph(spark, sf):
     edges = src.edges(spark, sf)
     return graph.subgraph(edges, graph.breadth_first(edges, _starts(spark, sf), 1))
 
 
-@query("SELECT 'n:' || n_nationkey AS node, 'n:' || min(n_nationkey) OVER (PARTITION BY n_regionkey) AS least FROM nation")
+@query()
 def l_components(spark, sf):
-    nations = src.table(spark, sf, "nation")
-    # each nation is tied to its region's first one
-    first = nations.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("m"))
-    tied = nations.join(first, "n_regionkey").select(F.format_string("%06d", "n_nationkey").alias("src"), F.lit("TIED").alias("type"), F.format_string("%06d", "m").alias("dst"))
-    name = lambda c: F.concat(F.lit("n:"), F.col(c).cast("int").cast("string"))
-    return graph.connected_components(tied).select(name("node").alias("node"), name("component").alias("least"))
+    return graph.connected_components(src.edges(spark, sf))
 
 
 @query()
@@ -667,24 +664,32 @@ def n_import_dedupe(spark, sf):
     return dedup.import_dedupe(src.memories(spark, sf).withColumn("external_id", F.lit(None).cast("string"))).select("id")
 
 
-@query("""WITH p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.doc_id % 4 AS shared, 0.7 + x.doc_id % 3 * 0.1 AS similarity FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1)
-SELECT a, b, CASE WHEN shared >= 3 AND similarity >= 0.85 THEN 'FOLLOWS' ELSE 'RELATED' END AS relation FROM p WHERE (shared >= 1 AND similarity >= 0.75) OR similarity >= 0.85""")
+#: Distinct word sets (one document of each), pairs of word Jaccard 0.75 or more by rare-word prefixes, and the names they share.
+LINKS = r"""w AS (SELECT doc_id AS id, text, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))) AS ws FROM documents),
+one AS (SELECT min(id) AS id, any_value(ws) AS ws FROM w WHERE len(ws) > 0 GROUP BY md5(array_to_string(ws, ' '))),
+t AS (SELECT id, unnest(ws) AS t, len(ws) AS n FROM one), df AS (SELECT t, count(*) AS df FROM t GROUP BY t),
+h AS (SELECT * FROM (SELECT id, t, n, row_number() OVER (PARTITION BY id ORDER BY df, t) AS r FROM t JOIN df USING (t)) WHERE r <= n - CAST(ceil(0.75 * n) AS BIGINT) + 1),
+near AS (SELECT DISTINCT x.id AS a, y.id AS b FROM h x JOIN h y ON x.t = y.t AND x.id < y.id AND least(x.n, y.n) >= 0.75 * greatest(x.n, y.n)),
+sim AS (SELECT a, b, len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws))) AS similarity FROM near JOIN one x ON a = x.id JOIN one y ON b = y.id),
+ents AS (SELECT id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS e FROM w),
+p AS (SELECT a, b, similarity, len(list_intersect(x.e, y.e)) AS shared FROM sim JOIN ents x ON a = x.id JOIN ents y ON b = y.id WHERE similarity >= 0.75),
+links AS (SELECT a, b, CASE WHEN shared >= 3 AND similarity >= 0.85 THEN 'FOLLOWS' ELSE 'RELATED' END AS relation FROM p WHERE shared >= 1 OR similarity >= 0.85)"""
+
+
+@query(f"WITH {LINKS} SELECT * FROM links")
 def n_event_links(spark, sf):
-    ids = src.table(spark, sf, "documents").select(F.col("doc_id").alias("a"))
-    pairs = ids.join(ids.select((F.col("a") - 1).alias("k"), F.col("a").alias("b")), F.col("a") == F.col("k")).select("a", "b", F.pmod("a", F.lit(4)).alias("shared"), (0.7 + F.pmod("a", F.lit(3)) * 0.1).alias("similarity"))
-    return dedup.event_links(pairs).select("a", "b", "relation")
+    return dedup.event_links(dedup.event_pairs(src.memories(spark, sf))).select("a", "b", "relation")
 
 
 @query()
 def n_three_stages(spark, sf):
-    rows = src.table(spark, sf, "benchmark").join(src.table(spark, sf, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("id"), F.col("text").alias("content"), F.col("embedding").alias("v"))
+    rows = src.memories(spark, sf).select("id", "content").join(src.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id", "left")
     return dedup.three_stages(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
 
 
 @query()
 def n_leader_clusters(spark, sf):
-    rows = src.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"), F.lit("u").alias("user_id"))
-    return dedup.leader_clusters(rows)
+    return dedup.leader_clusters(src.memories(spark, sf).select("id", "content", "user_id"))
 
 
 # O, P: pipelines and triggers
@@ -742,7 +747,7 @@ def k_expire(spark, sf):
     return temporal.expired(facts, facts.where("predicate = 'click'").select("uuid"), NOW).select("uuid", "expired_at")
 
 
-@query(f"""WITH {EDGES}, s AS (SELECT 'c:' || c_custkey AS start FROM customer WHERE c_custkey <= 20), d1 AS (SELECT DISTINCT start, dst AS node FROM s JOIN edges ON src = start), d2 AS (SELECT DISTINCT start, dst AS node FROM d1 JOIN edges ON src = node),
+@query(f"""WITH {EDGES}, s AS (SELECT 'c:' || c_custkey AS start FROM customer WHERE c_custkey % 50 = 0), d1 AS (SELECT DISTINCT start, dst AS node FROM s JOIN edges ON src = start), d2 AS (SELECT DISTINCT start, dst AS node FROM d1 JOIN edges ON src = node),
 d3 AS (SELECT DISTINCT start, dst AS node FROM d2 JOIN edges ON src = node) SELECT start, node AS goal, 3 AS hops FROM d3 WHERE node IN ('s:1', 's:2', 's:3')""")
 def l_shortest_paths(spark, sf):
     goals = spark.createDataFrame([("s:1",), ("s:2",), ("s:3",)], "goal string")
@@ -774,12 +779,12 @@ def o_context_sections(spark, sf):
     return context.sections([rows.where(F.col("line").startswith("user:")), rows.where(F.col("line").startswith("assistant:"))], [400, 1200])
 
 
-@query("SELECT q.vec_id AS query_id, e.vec_id AS id, round(0.7 * list_cosine_similarity(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))) + 0.3 * (e.vec_id % 7 / 7), 6) AS score FROM embeddings q JOIN embeddings e ON e.label = q.label WHERE q.vec_id < 3")
+@query("SELECT q.vec_id AS query_id, e.vec_id AS id, round(0.7 * list_cosine_similarity(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))) + 0.3 * (e.vec_id % 7 / 7), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0")
 def j_fine_rank(spark, sf):
     rows = src.table(spark, sf, "embeddings")
-    asked = rows.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    found = rows.join(asked.select("query_id", "label"), "label").select("query_id", F.col("vec_id").alias("id"), (F.pmod("vec_id", F.lit(7)) / 7).alias("score"))
-    out = search.fine_rank(found, rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), asked.select("query_id", "q"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    own = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), (F.pmod("vec_id", F.lit(7)) / 7).alias("score"))
+    out = search.in_blocks(asked.select("query_id", "q"), lambda some: search.fine_rank(own.crossJoin(F.broadcast(some))))
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -851,8 +856,8 @@ def n_usage_marking(spark, sf):
     return lifecycle.marked_used(_contexts(spark, sf), log, "id").select("id", "use_count")
 
 
-@query("""WITH RECURSIVE p AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents) AND ((doc_id % 4 >= 1 AND 0.7 + doc_id % 3 * 0.1 >= 0.75) OR 0.7 + doc_id % 3 * 0.1 >= 0.85)),
-w AS (SELECT 1 AS start, 1 AS node, 0 AS depth UNION ALL SELECT start, b, depth + 1 FROM w JOIN p ON a = node WHERE depth < 5) SELECT start::VARCHAR AS start, node::VARCHAR AS node, depth FROM w""")
+@query(f"""WITH RECURSIVE {LINKS}, w2 AS (SELECT id AS start, id AS node, 0 AS depth FROM w WHERE id % 50 = 0 UNION SELECT start, b, depth + 1 FROM w2 JOIN links ON a = node WHERE depth < 5)
+SELECT start::VARCHAR AS start, node::VARCHAR AS node, min(depth) AS depth FROM w2 GROUP BY start, node""")
 def n_event_chain(spark, sf):
-    links = QUERIES["n_event_links"](spark, sf)
-    return lifecycle.event_chain(links, spark.createDataFrame([("1",)], "start string"), 5)
+    starts = src.memories(spark, sf).where("id % 50 = 0").select(F.col("id").cast("string").alias("start"))
+    return lifecycle.event_chain(QUERIES["n_event_links"](spark, sf), starts, 5)

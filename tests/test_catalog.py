@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from engramlake.plans import catalog
+from engramlake.plans import catalog, catalog_memory
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -19,6 +19,9 @@ def plain(frame, columns):
     return sorted(tuple(cell(x) for x in row) for row in frame[columns].itertuples(index=False))
 
 
+assert set(catalog.QUERIES) > {f for f in dir(catalog_memory) if f.startswith("m_")}
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()

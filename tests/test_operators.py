@@ -1,5 +1,6 @@
 """Operators against hand-computed values."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -117,3 +118,69 @@ def test_chunks_and_source_types(spark):
     assert [r.content for r in rows if r.id == 1][0] == "One two three." and all(r.total == len([x for x in rows if x.id == r.id]) for r in rows)
     kinds = spark.createDataFrame([("User: hi\nAI: ho",), ("[00:12] start",), ('{"a": 1}',), ("a,b,c\n1,2,3",), ("plain words",)], "t string").select(context.source_type(F.col("t")).alias("k"))
     assert [r.k for r in kinds.collect()] == ["dialogue", "transcript", "json", "csv", "article"]
+
+
+def _words(t):
+    return frozenset(w for w in t.lower().split() if w)
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def test_leader_clusters_are_those_of_one_pass(spark):
+    chance = random.Random(5)
+    vocab = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(160):
+        base = vocab[(i % 4) * 5 : (i % 4) * 5 + 10]
+        own = [w if chance.random() > 0.1 else chance.choice(vocab) for w in base]
+        rows.append((i, " ".join(own) if i % 29 else "", "u" if i % 3 else None))
+    got = {r.id: r.leader for r in dedup.leader_clusters(spark.createDataFrame(rows, "id bigint, content string, user_id string")).collect()}
+    want = {}
+    for user in ("u", None):
+        leaders = []
+        for i, t, u in rows:
+            if u != user:
+                continue
+            own = next((j for j, w in leaders if w == _words(t) or _jaccard(w, _words(t)) >= 0.8), None)
+            if own is None:
+                leaders.append((i, _words(t)))
+                own = i
+            want[i] = own
+    assert {i: got[i] for i in want if rows[i][2] == "u"} == {i: want[i] for i in want if rows[i][2] == "u"}
+    assert {i: got[i] for i in want} == want
+
+
+def test_signatures_estimate_jaccard_and_find_pairs(spark):
+    chance = random.Random(6)
+    base = "".join(chance.choice("abcdefghij ") for _ in range(400))
+    rows = [(0, base), (1, base[:380] + "zzzzzzzzzz"), (2, "".join(chance.choice("klmnopqrst ") for _ in range(400))), (3, ""), (4, None)]
+    table = spark.createDataFrame(rows, "id bigint, content string")
+    pairs = {(r.id, r.match): r.jaccard for r in dedup.lsh_pairs(table, table, 0.8).collect() if r.id < r.match}
+    pieces = lambda t: {t.strip().lower()[i : i + 3] for i in range(max(len(t.strip()) - 2, 1))}
+    exact = {(a, b): _jaccard(pieces(x or ""), pieces(y or "")) for a, x in rows for b, y in rows if a < b}
+    assert pairs == {k: v for k, v in exact.items() if v >= 0.8}
+
+
+def test_components_of_a_graph(spark):
+    chance = random.Random(7)
+    edges = [(f"n{chance.randrange(60)}", "T", f"n{chance.randrange(60)}") for _ in range(45)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, _, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src string, type string, dst string")).collect()}
+    assert got == {n: find(n) for n in root}
+
+
+def test_vector_mmr(spark):
+    rows = [(1, i, s, v) for i, (s, v) in enumerate([(0.9, [1.0, 0.0]), (0.89, [1.0, 0.01]), (0.6, [0.0, 1.0]), (0.5, None)])]
+    got = search.mmr_vectors(spark.createDataFrame(rows, "query_id bigint, id bigint, score double, v array<double>"), 3).orderBy("rank").collect()
+    assert [r.id for r in got] == [0, 2, 3]
