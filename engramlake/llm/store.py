@@ -24,9 +24,11 @@ PACKED = "part int, payload binary"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a private one only where none is set."""
+    """The shared folder of this session; a private one only in local mode, where none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="engramlake-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -125,13 +127,6 @@ def settled(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def short_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """At most ``rows`` rows of long texts at once in a Python worker; the setting stays with the session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def n_partitions(spark: SparkSession) -> int:
     """Tasks of a packed shuffle: the session's own number."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import public_tokenizers
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -362,6 +364,54 @@ def test_order_minhash(spark, texts):
     assert order_minhash.edited_fingerprints(empty(spark)).count() == 0
 
 
+def murmur_of_longs(*values):
+    """32-bit Murmur3 of 64-bit numbers one after the other, each seeded with the hash before it."""
+    low, turn = 0xFFFFFFFF, lambda x, r: (x << r | x >> (32 - r)) & 0xFFFFFFFF
+    h = 42
+    for v in values:
+        for part in (v & low, v >> 32 & low):
+            h = (turn(h ^ turn(part * 0xCC9E2D51 & low, 15) * 0x1B873593 & low, 13) * 5 + 0xE6546B64) & low
+        h ^= 8
+        h = (h ^ h >> 16) * 0x85EBCA6B & low
+        h = (h ^ h >> 13) * 0xC2B2AE35 & low
+        h ^= h >> 16
+    return h
+
+
+def test_order_minhash_is_that_of_its_definition(spark, texts):
+    """Fingerprints and likenesses from the least two elements of each slot's own order, sought one slot at a time."""
+
+    def chained(*values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v, h)
+        return h
+
+    def fingerprint(text):
+        words = [w.encode() for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+        kmers = [chained(*words[i : i + 2]) for i in range(len(words) - 1)] if len(words) > 1 else [chained(text.encode())] if text else []
+        seen, elements = Counter(), []
+        for at, k in enumerate(kmers):
+            seen[k] += 1
+            elements.append((chained(k.to_bytes(8, "little"), seen[k].to_bytes(4, "little")), at))
+        out = ""
+        for s in range(32 if elements else 0):
+            least = sorted(elements, key=lambda e: (e[0] - (s << 59)) % (1 << 64))[:2]
+            out += f"{murmur_of_longs(*[e for e, _ in sorted(least, key=lambda e: e[1])]):08x}"
+        return out
+
+    def likeness(a, b):
+        return 1.0 if not a and not b else sum(a[i : i + 8] == b[i : i + 8] != "" for i in range(0, 256, 8)) / 32
+
+    rows = {r.doc_id: r for r in order_minhash.edited_fingerprints(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        own, after = t or "", texts[(i + 1) % len(texts)] or ""
+        half = len(own) // 2
+        a, b, c = fingerprint(own), fingerprint(own[: len(own) - half] + after[:half]), fingerprint(after)
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (a, b)
+        assert (rows[i].near_edited, rows[i].near_next) == (likeness(a, b), likeness(a, c))
+
+
 def test_order_minhash_sees_order(spark):
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join(words), " ".join(words[100:] + words[:100]), " ".join(words[:-4] + ["x"] * 4)]
