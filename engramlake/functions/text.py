@@ -77,7 +77,7 @@ def words(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Pieces that end in . ! ? or a line feed, trimmed, without empty ones."""
     marked = F.regexp_replace(text, "([.!?\\n])\\s*", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def estimated_tokens(text: Column) -> Column:
