@@ -117,3 +117,70 @@ def parse_phrase(phrase: str, now: datetime) -> tuple[datetime, datetime] | None
         if re.search(pattern, text):
             return made()
     return None
+
+
+def numeral(text: Column) -> Column:
+    """``chinese_number`` as a column; null where a character is neither digit nor unit, or the text is empty."""
+    many = F.create_map(*[x for k, v in {**DIGITS, **UNITS}.items() for x in (F.lit(k), F.lit(v).cast("bigint"))])
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("total"), zero.alias("section"), zero.alias("digit"))
+
+    def state(total: Column, section: Column, digit: Column) -> Column:
+        return F.struct(total.alias("total"), section.alias("section"), digit.alias("digit"))
+
+    def step(s: Column, c: Column) -> Column:
+        v = F.element_at(many, c)
+        small = state(s["total"], s["section"] + F.greatest(s["digit"], F.lit(1)) * v, zero)
+        large = state((s["total"] + s["section"] + s["digit"]) * v, zero, zero)
+        return F.when(v < 10, state(s["total"], s["section"], v)).when(v < 10000, small).when(v >= 10000, large)
+
+    spoken = F.aggregate(F.split(text, ""), start, step, lambda s: s["total"] + s["section"] + s["digit"])
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint")).when(text != "", spoken)
+
+
+def phrase_range(phrase: Column, now: Column) -> tuple[Column, Column]:
+    """``parse_phrase`` as columns: first and last microsecond of the range that a phrase names, seen from ``now``.
+
+    The first rule that fits decides; both are null where none fits, for dates that don't exist, for counts of over a million days,
+    and for null phrases.
+    """
+    text = F.trim(F.lower(phrase))
+    days = {"day": 1, "week": 7, "month": 30, "year": 365, "天": 1, "周": 7, "个月": 30, "年": 365}
+    length = F.create_map(*[F.lit(x) for kv in days.items() for x in kv])
+    date = F.regexp_extract(text, r"(\d{4}-\d{1,2}-\d{1,2})", 1)
+    back, ago = r"(?:past|last)\s+(\d+)\s+(day|week|month|year)s?", r"(\d+)\s+(day|week|month|year)s?\s+ago"
+    spoken = r"(?:最近|过去)?([0-9零一二两三四五六七八九十百千万]+)(天|周|个月|年)[前内]?"
+
+    def span(pattern: str, n) -> tuple[Column, Column, Column]:
+        many = n(F.regexp_extract(text, pattern, 1)) * F.element_at(length, F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")))
+        first = F.timestamp_add("DAY", F.when(many <= 1_000_000, -many).cast("int"), now)
+        return text.rlike(pattern), first.cast("timestamp_ntz"), F.when(first.isNotNull(), now)
+
+    def unit(pattern: str, name: str, shift: str) -> tuple[Column, Column, Column]:
+        return text.rlike(pattern), *bounds(now + F.expr(f"interval {shift}"), name)
+
+    day = date.try_cast("date").cast("timestamp_ntz")
+    rules = [
+        (date != "", *bounds(day, "day")),
+        span(back, lambda n: n.try_cast("bigint")),
+        span(ago, lambda n: n.try_cast("bigint")),
+        span(spoken, numeral),
+        unit("day before yesterday|前天", "day", "-2 day"),
+        unit("yesterday|昨天", "day", "-1 day"),
+        unit("tomorrow|明天", "day", "1 day"),
+        unit("today|今天", "day", "0 day"),
+        unit("last week|上周", "week", "-7 day"),
+        unit("this week|这周|本周", "week", "0 day"),
+        unit("last month|上个月|上月", "month", "-1 month"),
+        unit("this month|这个月|本月", "month", "0 day"),
+        unit("last year|去年", "year", "-1 year"),
+        unit("this year|今年", "year", "0 day"),
+    ]
+
+    def chosen(k: int) -> Column:
+        out = F.when(rules[0][0], rules[0][k])
+        for rule in rules[1:]:
+            out = out.when(rule[0], rule[k])
+        return out
+
+    return chosen(1), chosen(2)

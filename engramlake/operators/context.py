@@ -118,3 +118,66 @@ def by_priority(rows: DataFrame, key: str, kind: str, order: list[str], *then: s
     """``n`` from 1 within each key: kinds in the given order, others last, equals by ``then``."""
     place = F.coalesce(*[F.when(F.col(kind) == k, F.lit(i)) for i, k in enumerate(order)], F.lit(len(order)))
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(place, *then)))
+
+
+def segments(rows: DataFrame, by: str, ts: str, seconds: int = 180, *order: str) -> DataFrame:
+    """``rows`` with ``segment_start``: a segment of a group ends with the last row less than ``seconds`` after its first one.
+
+    Where a segment starts depends on the one before, so rows of a group pass one task in order, in constant memory however many
+    they are. Rows without a time come first in their group and have no segment; a column of the new name is replaced.
+    """
+    span = seconds * 1_000_000
+    rows = rows.drop("segment_start")
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, start = None, None
+        for batch in batches:
+            keys, at, out = batch.column(by).to_pylist(), batch.column(ts).cast(pa.int64()).to_pylist(), []
+            for k, t in zip(keys, at, strict=True):
+                if k != held:
+                    held, start = k, None
+                if t is not None and (start is None or t - start >= span):
+                    start = t
+                out.append(start if t is not None else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64()).cast(pa.timestamp("us"))], [*batch.schema.names, "segment_start"])
+
+    sorted_ = rows.repartition(by).sortWithinPartitions(by, ts, *order)
+    return sorted_.mapInArrow(run, rows.select("*", F.lit(None).cast("timestamp_ntz").alias("segment_start")).schema)
+
+
+def first_sentences(rows: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
+    """Rows (id, pos, sentence): each different sentence where it comes first (least id, then place). Null texts have none."""
+    cut = rows.select(F.col(id_column).alias("id"), F.posexplode(T.sentences(F.col(text))).alias("pos", "sentence"))
+    first = cut.groupBy("sentence").agg(F.min(F.struct("id", "pos")).alias("f"))
+    return first.select("f.id", "f.pos", "sentence")
+
+
+def extractive_summary(text: Column, name: Column, first: int = 5, least: int = 10, budget: int = 12000) -> Column:
+    """Different sentences of ``least`` characters or more, the ``first`` ones and those that mention ``name``, while their lengths sum to at most ``budget``."""
+    different = F.array_distinct(F.filter(T.sentences(text), lambda s: F.length(s) >= least))
+    kept = F.filter(different, lambda s, i: (i < first) | ((name != "") & F.contains(F.lower(s), F.lower(name))))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("n"))
+
+    def step(state: Column, s: Column) -> Column:
+        used = state["used"] + F.length(s)
+        return F.struct(used.alias("used"), (state["n"] + F.when(used <= budget, 1).otherwise(0)).alias("n"))
+
+    return F.slice(kept, F.lit(1), F.aggregate(kept, start, step)["n"])
+
+
+def core_lines(states: DataFrame, by: str, name: str, state: str, confidence: str, newest: Column, budget: int, most: int = 3) -> DataFrame:
+    """Rows (by, line): each name with its ``most`` newest states, by falling confidence, while the lines' lengths fit ``budget``."""
+    along = Window.partitionBy(by, name).orderBy(newest)
+    few = states.withColumn("_n", F.row_number().over(along)).where(F.col("_n") <= most)
+    said = few.groupBy(by, name).agg(F.max(confidence).alias("_c"), F.array_sort(F.collect_list(F.struct("_n", F.col(state).alias("s")))).alias("l"))
+    lines = said.withColumn("line", F.concat(F.col(name), F.lit(": "), F.array_join(F.transform("l", lambda x: x["s"]), ", ")))
+    return within_budget(lines, budget, [by], [F.desc("_c"), F.col(name)], F.length("line")).select(by, name, "line", "used")
+
+
+def mentioning_first(rows: DataFrame, by: str, text: str, name: str, last: Column, top: int) -> DataFrame:
+    """The ``top`` rows of each group, those that mention ``name`` in any case first; ``rank`` from 1."""
+    hit = F.coalesce(F.contains(F.lower(text), F.lit(name.lower())), F.lit(False))
+    along = Window.partitionBy(by).orderBy(F.desc("mentions"), last)
+    return rows.withColumn("mentions", hit).withColumn("rank", F.row_number().over(along)).where(F.col("rank") <= top)

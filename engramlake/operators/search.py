@@ -114,6 +114,21 @@ def rerank_bonus(text: Column, query: Column, kws: Column) -> Column:
     return 0.05 * F.size(F.filter(kws, lambda w: F.contains(F.lower(text), w))) + F.when(F.contains(F.lower(text), F.lower(query)), 0.2).otherwise(0.0)
 
 
+def reranked(candidates: DataFrame, k: int, words: int = 8) -> DataFrame:
+    """The ``k`` best of candidates (query_id, id, score, content, text) after ``rerank_bonus`` for the query's first keywords."""
+    bonus = rerank_bonus(F.coalesce("content", F.lit("")), F.coalesce("text", F.lit("")), F.slice(T.keywords(F.coalesce("text", F.lit(""))), 1, words))
+    return ranked(candidates.select("query_id", "id", (F.col("score") + bonus).alias("score")), k)
+
+
+def field_weighted(rows: DataFrame, queries: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """Sum over fields of weight times the field's own BM25 score. ``rows``: id and the fields."""
+    parts = None
+    for field, weight in fields.items():
+        own = bm25(rows.select("id", F.col(field).alias("content")), queries).select("query_id", "id", (F.lit(float(weight)) * F.col("score")).alias("score"))
+        parts = own if parts is None else parts.union(own)
+    return parts.groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+
+
 def in_blocks(queries: DataFrame, one: Callable[[DataFrame], DataFrame], block: int = 4096) -> DataFrame:
     """What ``one`` makes of a stated query set, about ``block`` queries in each pass, so what a pass broadcasts has a bound."""
     n = -(-queries.count() // block)

@@ -73,3 +73,14 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 def holding(rows: DataFrame, array: str, asked: DataFrame, key: str) -> DataFrame:
     """Rows whose array holds an asked key, with that key: a reverse lookup as an equi-join."""
     return rows.withColumn(key, F.explode(F.array_distinct(array))).join(asked.select(key).distinct(), key, "left_semi")
+
+
+def scopes(rows: DataFrame, *levels: str) -> DataFrame:
+    """Each scope that holds rows: its levels, its ``path`` and how many rows it holds; a missing level is ``default``."""
+    named = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("default")).alias(c) for c in levels])
+    return named.groupBy(*levels).agg(F.count("*").alias("n")).withColumn("path", F.concat_ws("/", *levels))
+
+
+def expanded(summaries: DataFrame, ids: str, rows: DataFrame, key: str) -> DataFrame:
+    """The rows that each summary was made of; ids that no row has are left out."""
+    return summaries.withColumn(key, F.explode(F.array_distinct(ids))).drop(ids).join(rows, key)

@@ -1,7 +1,7 @@
 """Operators against hand-computed values."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +184,37 @@ def test_vector_mmr(spark):
     rows = [(1, i, s, v) for i, (s, v) in enumerate([(0.9, [1.0, 0.0]), (0.89, [1.0, 0.01]), (0.6, [0.0, 1.0]), (0.5, None)])]
     got = search.mmr_vectors(spark.createDataFrame(rows, "query_id bigint, id bigint, score double, v array<double>"), 3).orderBy("rank").collect()
     assert [r.id for r in got] == [0, 2, 3]
+
+
+def test_phrase_columns_against_the_parser(spark):
+    now = datetime(2024, 3, 31, 15, 30)
+    said = ["yesterday", "the day before yesterday", "今天", "tomorrow", "last week", "本周", "last month", "这个月", "last year", "今年", "3 days ago", "past 2 months", "十二万天前", "一百二十三天前", "两周内", "on 2024-02-29", "on 2023-02-29", "nothing", "", "Last 4 weeks, not yesterday"]
+    rows = spark.createDataFrame([(i, p, now) for i, p in enumerate(said)] + [(-1, None, now)], "i int, p string, now timestamp_ntz")
+    first, last = TM.phrase_range(F.col("p"), F.col("now"))
+    found = {r.i: (r.a, r.b) for r in rows.select("i", first.alias("a"), last.alias("b")).collect()}
+    assert found.pop(-1) == (None, None)
+    assert found == {i: TM.parse_phrase(p, now) or (None, None) for i, p in enumerate(said)}
+    numerals = ["十", "一百二十三", "一万二千", "十二万", "零", "42", "x", ""]
+    got = spark.createDataFrame([(n,) for n in numerals], "n string").select("n", TM.numeral(F.col("n")).alias("v"))
+    assert {r.n: r.v for r in got.collect()} == {n: TM.chinese_number(n) if n else None for n in numerals}
+
+
+def test_segments_are_anchored_at_their_first_row(spark):
+    t = datetime(2024, 1, 1)
+    lines = [("a", s) for s in (0, 100, 179, 180, 180, 300, 361, None)] + [(None, 5), (None, 400)]
+    rows = spark.createDataFrame([(k, t + timedelta(seconds=s) if s is not None else None, "old") for k, s in lines], "k string, t timestamp_ntz, segment_start string")
+    out = context.segments(rows, "k", "t")
+    got = sorted((r.k or "", (r.t - t).seconds if r.t else -1, (r.segment_start - t).seconds if r.segment_start else -1) for r in out.collect())
+    assert got == [("", 5, 5), ("", 400, 400), ("a", -1, -1), ("a", 0, 0), ("a", 100, 0), ("a", 179, 0), ("a", 180, 180), ("a", 180, 180), ("a", 300, 180), ("a", 361, 361)]
+    assert context.segments(rows.limit(0), "k", "t").count() == 0
+
+
+def test_sentences_and_summaries(spark):
+    text = "1 one. 2 two! Alma went home today.  Alma went home today. short. Then it rained a lot. Nobody saw alma again"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (0, "2 two!")], "id int, content string")
+    first = sorted((r.id, r.pos, r.sentence) for r in context.first_sentences(rows).collect())
+    assert first == [(0, 0, "2 two!"), (1, 0, "1 one."), (1, 2, "Alma went home today."), (1, 4, "short."), (1, 5, "Then it rained a lot."), (1, 6, "Nobody saw alma again")]
+    kept = context.extractive_summary(F.col("content"), F.lit("Alma"), first=1, budget=30)
+    assert {r.id: r.s for r in rows.select("id", kept.alias("s")).collect()} == {1: ["Alma went home today."], 2: None, 3: [], 0: []}
+    wide = context.extractive_summary(F.col("content"), F.lit("Alma"), first=1)
+    assert rows.where("id = 1").select(wide.alias("s")).first().s == ["Alma went home today.", "Nobody saw alma again"]
