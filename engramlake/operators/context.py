@@ -181,3 +181,19 @@ def mentioning_first(rows: DataFrame, by: str, text: str, name: str, last: Colum
     hit = F.coalesce(F.contains(F.lower(text), F.lit(name.lower())), F.lit(False))
     along = Window.partitionBy(by).orderBy(F.desc("mentions"), last)
     return rows.withColumn("mentions", hit).withColumn("rank", F.row_number().over(along)).where(F.col("rank") <= top)
+
+
+def relevant(contexts: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
+    """Rows (query_id, id, score, rank): of a user's contexts the ``k`` that suit the user's query best.
+
+    ``contexts``: rows (user_id, id, content, keywords, entities), ``asked``: rows (query_id, user_id, text). 0.1 for every context, 0.3 for each
+    keyword and 0.4 for each entity inside the query, 0.2 if one of the query's words is inside the content, in any case. Ties go to the smaller id.
+    """
+    low = F.lower("text")
+    inside = lambda names: F.size(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda w: F.contains(low, F.lower(w))))
+    words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
+    says = F.exists(words, lambda w: F.contains(F.lower("content"), w))
+    score = 0.1 + 0.3 * inside(F.col("keywords")) + 0.4 * inside(F.col("entities")) + F.when(says, 0.2).otherwise(0.0)
+    rows = contexts.join(asked, "user_id").select("query_id", "id", F.round(score, 6).alias("score"))
+    along = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return rows.withColumn("rank", F.row_number().over(along)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))

@@ -26,7 +26,12 @@ def containing(entities: DataFrame, asked: DataFrame) -> DataFrame:
     lengths = [r.n for r in want.select(F.length("piece").alias("n")).distinct().collect()]  # at most the longest name's
     if not lengths:
         return want.select("query", F.lit(None).cast("bigint").alias("id")).limit(0)
-    cuts = [F.when(F.length("form") >= n, F.transform(F.sequence(F.lit(1), F.length("form") - (n - 1)), lambda i, n=n: F.substring("form", i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths]
+
+    def pieces_of(n: int):
+        cut = F.transform(F.sequence(F.lit(1), F.length("form") - (n - 1)), lambda i: F.substring("form", i, F.lit(n)))
+        return F.when(F.length("form") >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    cuts = [pieces_of(n) for n in lengths]
     pieces = forms(entities).select("id", F.explode(F.array_distinct(F.flatten(F.array(*cuts)))).alias("piece"))
     return want.join(pieces, "piece").select("query", "id").distinct()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -121,3 +121,12 @@ def recall_by_graph(edges: DataFrame, starts: DataFrame, depth: int = 2, weight:
     """Rows (start, id, score): weight / (depth + 1) of every edge that a visited node sends out, summed by the edge's far end."""
     seen = breadth_first(edges, starts, depth - 1)
     return seen.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy("start", F.col("dst").alias("id")).agg(F.sum(F.lit(weight) / (F.col("depth") + 1)).alias("score"))
+
+
+def drawable(nodes: DataFrame, edges: DataFrame, *order: Column, most_nodes: int = 200, most_edges: int = 500) -> DataFrame:
+    """Edges of a picture: among the first ``most_nodes`` of ``nodes`` (node) in ``order``, the first ``most_edges`` by name.
+
+    Both limits are what the picture asks for; only the kept nodes travel.
+    """
+    kept = nodes.distinct().orderBy(*order).limit(most_nodes)
+    return subgraph(edges, kept).orderBy("src", "type", "dst").limit(most_edges)

@@ -40,3 +40,10 @@ def gauges(rows: DataFrame, by: str, value: str, ts: str, tie: str) -> DataFrame
 def health(stats: DataFrame, by: str, limit: float) -> DataFrame:
     """healthy if the 95th percentile stays within the limit, else degraded."""
     return stats.select(by, "p95", F.when(F.col("p95") > limit, "degraded").otherwise("healthy").alias("status"))
+
+
+def source_statistics(calls: DataFrame) -> DataFrame:
+    """Per source of calls (source, time_ms, n, success): calls, those that succeeded, total and longest time, rows that successful ones gave."""
+    won = F.when(F.col("success"), F.col("n")).otherwise(0)
+    times = [F.round(F.sum("time_ms"), 6).alias("total_ms"), F.round(F.max("time_ms"), 6).alias("max_ms")]
+    return calls.groupBy("source").agg(F.count("*").alias("calls"), F.count_if("success").alias("succeeded"), *times, F.sum(won).alias("results"))

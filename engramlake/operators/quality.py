@@ -109,3 +109,70 @@ def out_of_order(events: DataFrame, order: list[tuple[str, str]]) -> DataFrame:
         found = a.join(b, "entity").where("a.at > b.at").select("entity", F.lit(x).alias("x"), F.lit(y).alias("y"))
         out = found if out is None else out.union(found)
     return out
+
+
+#: Words of a relation, and words that contradict it (fixed values).
+RELATION_OPPOSITES = {
+    "朋友": ["敌人", "仇人", "对手", "死敌"],
+    "敌人": ["朋友", "盟友", "同伴", "挚友", "好友"],
+    "恋人": ["仇人", "敌人", "陌生人", "前任"],
+    "夫妻": ["陌生人", "前夫", "前妻", "离婚"],
+    "亲人": ["陌生人", "外人"],
+    "主人": ["仆人", "奴隶"],
+    "同盟": ["敌对", "对立", "敌方"],
+    "信任": ["背叛", "欺骗", "不信任"],
+}
+#: Words that tell of the past and of the future (fixed values).
+PAST = ("之前", "以前", "去年", "上个月", "昨天", "曾经", "年前", "月前", "天前")
+FUTURE = ("之后", "以后", "明年", "下个月", "明天", "将来", "年后", "月后", "天后")
+
+
+def relation_conflicts(relations: DataFrame, opposites: dict[str, list[str]] = RELATION_OPPOSITES, severity: float = 0.75) -> DataFrame:
+    """Rows (a, b, x, y, severity): different relations x < y stated of a pair, one holding a word and the other a word against it.
+
+    ``relations``: rows (a, b, relation). Words are found inside relations; they meet by an equi-join on the pair and the word.
+    """
+    own = relations.select("a", "b", "relation").where("relation IS NOT NULL").distinct()
+
+    def holding(words: dict[str, list[str]]) -> DataFrame:
+        held = F.array_compact(F.array(*[F.when(_any(F.col("relation"), ws), F.lit(k)) for k, ws in words.items()]))
+        return own.select("a", "b", "relation", F.explode(held).alias("word"))
+
+    for_it = holding({k: [k] for k in opposites}).withColumnRenamed("relation", "x")
+    met = for_it.join(holding(opposites).withColumnRenamed("relation", "y"), ["a", "b", "word"]).where("x <> y")
+    return met.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().withColumn("severity", F.lit(severity))
+
+
+def _any(text: Column, words) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out |= F.contains(text, F.lit(w))
+    return out
+
+
+def denied_acts(acts: DataFrame, denials: DataFrame, severity: float = 0.85) -> DataFrame:
+    """Rows (entity, action, denied, severity): an act that holds, or is held by, what its entity said it would not do.
+
+    ``acts``: rows (entity, action); ``denials``: rows (entity, denied). Both count once and need two characters.
+    """
+    did = acts.select("entity", "action").where("length(action) >= 2").distinct()
+    never = denials.select("entity", "denied").where("length(denied) >= 2").distinct()
+    met = did.join(never, "entity").where(F.contains("denied", "action") | F.contains("action", "denied"))
+    return met.select("entity", "action", "denied", F.lit(severity).alias("severity"))
+
+
+def tense_conflicts(texts: DataFrame, past: tuple[str, ...] = PAST, future: tuple[str, ...] = FUTURE, severity: float = 0.6) -> DataFrame:
+    """Rows (id, date, n_against, severity): texts (id, text) that name a date as past, or as future, and how many others name it as the opposite.
+
+    Counts of each date stand for its pairs, so a date in a third of all texts costs one row of counts. Null texts name nothing.
+    """
+    date = r"(\d{4})[年/-](\d{1,2})[月/-]?(\d{1,2})?"
+    parts = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(date), F.lit(g)).alias(n) for g, n in ((1, "y"), (2, "m"), (3, "d"))])
+    named = texts.withColumn("_at", F.explode(F.array_distinct(parts)))
+    key = F.concat_ws("-", "_at.y", "_at.m", F.nullif(F.col("_at.d"), F.lit("")))
+    said = named.select("id", key.alias("date"), _any(F.col("text"), past).alias("p"), _any(F.col("text"), future).alias("f")).where("p OR f")
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    counts = said.groupBy("date").agg(one(F.col("p")).alias("np"), one(F.col("f")).alias("nf"), F.count("*").alias("n")).where("np > 0 AND nf > 0")
+    # of the other texts: all for one of both tenses, else those of the other tense
+    against = F.when(F.col("p") & F.col("f"), F.col("n") - 1).when(F.col("p"), F.col("nf")).otherwise(F.col("np"))
+    return said.join(counts, "date").select("id", "date", against.cast("bigint").alias("n_against"), F.lit(severity).alias("severity")).where("n_against > 0")

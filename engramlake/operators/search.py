@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import text as T
 from engramlake.functions import vectors as V
+from engramlake.operators.graph import cut
 
 DIGITS = 6
 
@@ -205,3 +206,12 @@ def mmr(candidates: DataFrame, k: int, balance: float = 0.7) -> DataFrame:
 
     few = ranked(candidates, 2 * k).select("query_id", "id", "score", "content")
     return few.groupBy("query_id").applyInPandas(chosen, "query_id bigint, id bigint, score double, rank int")
+
+
+def phrase_search(memories: DataFrame, queries: DataFrame, cap: int = 50) -> DataFrame:
+    """Rows (query_id, id): rows that share a phrase with the query; queries that find none fall back on ``substring_scan``."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(T.noun_phrases(F.col("text")))).alias("phrase"))
+    held = memories.select("id", F.explode(F.array_distinct(T.noun_phrases(F.col("content")))).alias("phrase"))
+    first = cut(held.join(asked, "phrase").select("query_id", "id").distinct())  # read twice
+    rest = queries.join(first.select("query_id").distinct(), "query_id", "left_anti")
+    return first.union(substring_scan(memories, rest, cap=cap))

@@ -18,7 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 STOP = "(" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + ")"
-TOKENS = f"list_filter(regexp_extract_all(lower({{}}), '[a-z]+'), lambda w: length(w) > 1 AND w NOT IN {STOP})"
+TOKENS = f"""list_concat(list_filter(regexp_extract_all(lower({{0}}), '[a-z]+'), lambda w: length(w) > 1 AND w NOT IN {STOP}),
+  list_filter(flatten(list_transform(regexp_extract_all(lower({{0}}), '[一-鿿]{{{{2,}}}}'), lambda r: list_concat([r], list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))), lambda w: w NOT IN {STOP}))"""
 #: doc tokens, postings, and the queries: benchmark texts' first eight tokens
 POSTINGS = f"""
 tok AS (SELECT doc_id AS id, {TOKENS.format("text")} AS words FROM documents),
@@ -392,7 +393,10 @@ def h_tokenizer(spark, sf):
     return src.memories(spark, sf).select("id", F.array_join(T.tokens(F.col("content")), " ").alias("tokens"))
 
 
-@query("SELECT doc_id AS id, array_to_string(regexp_extract_all(text, '[a-zA-Z]{3,}'), ' ') AS phrases FROM documents")
+PHRASES = "list_filter(list_concat(regexp_extract_all({}, '[一-龥]{{2,4}}'), regexp_extract_all({}, '[a-zA-Z]{{3,}}')), lambda p: lower(p) NOT IN ('的', '了', '是', '在', '和', '有', '这', '那', 'the', 'a', 'is', 'are', 'to', 'and', 'of', 'in'))"
+
+
+@query(f"SELECT doc_id AS id, array_to_string({PHRASES.format('text', 'text')}, ' ') AS phrases FROM documents")
 def h_noun_phrases(spark, sf):
     return src.memories(spark, sf).select("id", F.array_join(T.noun_phrases(F.col("content")), " ").alias("phrases"))
 

@@ -27,6 +27,9 @@ class Config:
     recency: float = 0.2
     diversity: float | None = 0.7
     min_importance: float | None = None
+    #: the time that ages of rows (column created_at) are counted to, and the age in days that halves recency
+    now: str | None = None
+    half_life: float = 30.0
 
 
 FAST = Config(candidates=50, diversity=None)
@@ -55,14 +58,20 @@ def recalled(memories: DataFrame, queries: DataFrame, paths: dict[str, Path], ca
 def search(memories: DataFrame, queries: DataFrame, config: Config = Config(), paths: dict[str, Path] | None = None) -> DataFrame:
     """Rows (query_id, id, score, rank): fused by reciprocal ranks, weighed by importance, and made diverse."""
     fused = S.reciprocal_rank_fusion(recalled(memories, queries, paths or PATHS, config.candidates), weights=config.weights)
-    rows = fused.join(memories.select("id", "importance", "content"), "id")
+    timed = config.now is not None and "created_at" in memories.columns
+    rows = fused.join(memories.select("id", "importance", "content", *(["created_at"] if timed else [])), "id")
     if config.min_importance is not None:
         rows = rows.where(F.coalesce("importance", F.lit(0.5)) >= config.min_importance)
     own = Window.partitionBy("query_id")
     low, high = F.min("score").over(own), F.max("score").over(own)
     scaled = F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low))
-    # without times every row's recency is the neutral 0.5
-    score = config.relevance * scaled + config.importance * F.coalesce("importance", F.lit(0.5)) + config.recency * 0.5
+    # without a time a row's recency is the neutral 0.5
+    recency = F.lit(0.5)
+    if timed:
+        age = F.unix_micros(F.lit(config.now).cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
+        recency = F.coalesce(F.pow(F.lit(0.5), F.when(age > 0, age).when(age <= 0, 0) / (config.half_life * 86400e6)), recency)
+    important = F.least(F.greatest(F.coalesce("importance", F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
+    score = config.relevance * scaled + config.importance * important + config.recency * recency
     rows = rows.select("query_id", "id", F.round(score, S.DIGITS).alias("score"), "content")
     if config.diversity is None:
         return S.ranked(rows, config.top_k).select("query_id", "id", "score", "rank")

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from engramlake.plans import catalog, catalog_memory, catalog_text  # noqa: F401
+from engramlake.plans import catalog, catalog_memory, catalog_rules, catalog_text  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

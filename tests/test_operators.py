@@ -218,3 +218,50 @@ def test_sentences_and_summaries(spark):
     assert {r.id: r.s for r in rows.select("id", kept.alias("s")).collect()} == {1: ["Alma went home today."], 2: None, 3: [], 0: []}
     wide = context.extractive_summary(F.col("content"), F.lit("Alma"), first=1)
     assert rows.where("id = 1").select(wide.alias("s")).first().s == ["Alma went home today.", "Nobody saw alma again"]
+
+
+def test_names_that_hold_the_asked_text_anywhere(spark):
+    from engramlake.operators import entities
+
+    rows = spark.createDataFrame([(1, "Anna Bell", ["Nan"]), (2, "Bo", None), (3, None, ["xanny"]), (4, "ann", [])], "id bigint, name string, aliases array<string>")
+    asked = spark.createDataFrame([("ANN",), ("b",), ("",), (None,), ("zzzzzzzzzzzzzzz",)], "query string")
+    assert {(r.query, r.id) for r in entities.containing(rows, asked).collect()} == {("ANN", 1), ("ANN", 3), ("ANN", 4), ("b", 1), ("b", 2)}
+
+
+def test_tokens_repeat_runs_of_two_and_leave_stopwords(spark):
+    from engramlake.functions import text as T
+
+    row = spark.createDataFrame([("It has 北京 and 没有人 a b",)], "t string").select(T.tokens(F.col("t")).alias("w"), T.noun_phrases(F.col("t")).alias("p")).first()
+    assert row.w == ["北京", "北京", "没有人", "有人"] and row.p == ["北京", "没有人", "has"]
+
+
+def test_marks_of_time(spark):
+    from engramlake.functions import text as T
+
+    rows = spark.createDataFrame([("1999年5月3日 done",), ("SINCE last spring",), ("",), (None,)], "t string")
+    marks = [None if r.m is None else [(x.text, x.type) for x in r.m] for r in rows.select(T.time_marks(F.col("t")).alias("m")).collect()]
+    assert marks[0][:3] == [("1999年5月3日", "POINT"), ("1999年5月", "POINT"), ("1999年", "POINT")] and ("1999年5月3日 done", "KEYWORD") in marks[0]
+    assert marks[1] == [("SINCE last spring", "START"), ("SINCE last spring", "KEYWORD")] and marks[2] == [] and marks[3] is None
+
+
+def test_relations_denials_and_tenses_against_brute_force(spark):
+    from engramlake.operators import quality
+
+    said = [("a", "b", "好朋友"), ("a", "b", "死敌"), ("a", "b", "死敌"), ("a", "c", "敌人"), ("a", "d", None), ("b", "a", "信任"), ("b", "a", "不信任")]
+    found = quality.relation_conflicts(spark.createDataFrame(said, "a string, b string, relation string"))
+    assert {(r.a, r.b, r.x, r.y) for r in found.collect()} == {("a", "b", "好朋友", "死敌"), ("b", "a", "不信任", "信任")}
+    acts = spark.createDataFrame([("x", "sing aloud"), ("x", "sing aloud"), ("x", "s"), ("y", "sing")], "entity string, action string")
+    never = spark.createDataFrame([("x", "sing"), ("x", None), ("z", "sing")], "entity string, denied string")
+    assert [tuple(r)[:3] for r in quality.denied_acts(acts, never).collect()] == [("x", "sing aloud", "sing")]
+    texts = [(1, "昨天 2020/1/2 和 2020-1-2"), (2, "明天 2020年1月2日"), (3, "以前以后 2020/1/2"), (4, "2020/1/2"), (5, "昨天 2021/1"), (6, None), (7, "昨天 2020/1/2")]
+    rows = quality.tense_conflicts(spark.createDataFrame(texts, "id bigint, text string"))
+    assert {(r.id, r.date, r.n_against) for r in rows.collect()} == {(1, "2020-1-2", 2), (2, "2020-1-2", 3), (3, "2020-1-2", 3), (7, "2020-1-2", 2)}
+
+
+def test_splits_settings_and_recency(spark):
+    from engramlake.functions import text as T
+
+    rows = spark.createDataFrame([("a\n \n\tb\n",), ("User: hi\n  AI： yes\nno",), ("  ",), (None,)], "t string")
+    got = [tuple(r) for r in rows.select(T.paragraphs(F.col("t")), T.spoken_turns(F.col("t"))).collect()]
+    assert got[0] == (["a", "b"], ["a\n \n\tb"]) and got[1][1] == ["User: hi", "AI： yes\nno"] and got[2] == ([], ["  "])
+    assert got[3][0] is None
