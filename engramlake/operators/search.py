@@ -32,9 +32,18 @@ def first_words(queries: DataFrame, n: int = 8) -> DataFrame:
     return queries.select("query_id", F.posexplode(F.slice(T.tokens(F.col("text")), 1, n)).alias("pos", "term"))
 
 
+def indexed(memories: DataFrame) -> DataFrame:
+    """Rows (id, _words, _names), written, for recall paths that would each cut the texts into words again."""
+    return cut(memories.select("id", T.tokens(F.col("content")).alias("_words"), T.entities(F.col("content")).alias("_names")))
+
+
+def _words(memories: DataFrame) -> Column:
+    return F.col("_words") if "_words" in memories.columns else T.tokens(F.col("content"))
+
+
 def postings(memories: DataFrame) -> DataFrame:
-    """Rows (id, term, tf, doc_len)."""
-    words = memories.select("id", T.tokens(F.col("content")).alias("words")).select("id", F.size("words").alias("doc_len"), F.explode("words").alias("term"))
+    """Rows (id, term, tf, doc_len) of memories (id, content), or of those that ``indexed`` wrote."""
+    words = memories.select("id", _words(memories).alias("words")).select("id", F.size("words").alias("doc_len"), F.explode("words").alias("term"))
     return words.groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf"))
 
 
@@ -45,7 +54,7 @@ def term_frequencies(memories: DataFrame) -> DataFrame:
 
 def corpus_statistics(memories: DataFrame) -> DataFrame:
     """One row (n, avgdl) over all rows, those without tokens included."""
-    return memories.select(F.size(T.tokens(F.col("content"))).alias("l")).agg(F.count("*").alias("n"), F.avg("l").alias("avgdl"))
+    return memories.select(F.size(_words(memories)).alias("l")).agg(F.count("*").alias("n"), F.avg("l").alias("avgdl"))
 
 
 def bm25(memories: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 0.0, words: int = 8) -> DataFrame:

@@ -313,11 +313,11 @@ def d_health(spark, sf):
 @query(f"""WITH s AS (SELECT event_id, event_type, CASE WHEN max(value) OVER w = min(value) OVER w THEN 1.0 ELSE (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) END AS rel, event_id % 10 / 10 AS imp, exp(-ln(2) * date_sub('second', ts, TIMESTAMP '{NOW}') / 2592000) AS rec FROM events WINDOW w AS (PARTITION BY event_type))
 SELECT event_id, round(0.5 * rel + 0.3 * imp + 0.2 * rec, 6) AS score FROM s""")
 def e_minmax_recency(spark, sf):
-    own = Window.partitionBy("event_type")
-    low, high = F.min("value").over(own), F.max("value").over(own)
-    rel = F.when(high == low, 1.0).otherwise((F.col("value") - low) / (high - low))
+    rows = src.table(spark, sf, "events")
+    ends = rows.groupBy(F.col("event_type").alias("t")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    rel = F.when(F.col("high") == F.col("low"), 1.0).otherwise((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")))
     score = 0.5 * rel + 0.3 * (F.pmod("event_id", F.lit(10)) / 10) + 0.2 * TM.recency(F.col("ts"), NOW)
-    return src.table(spark, sf, "events").select("event_id", F.round(score, 6).alias("score"))
+    return rows.join(ends, F.col("event_type").eqNullSafe(F.col("t"))).select("event_id", F.round(score, 6).alias("score"))
 
 
 @query("SELECT event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n FROM events) WHERE n <= 10 ORDER BY value DESC, event_id LIMIT 30")

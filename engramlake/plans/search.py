@@ -39,7 +39,8 @@ ACCURATE = Config(candidates=300)
 def entity_path(memories: DataFrame, queries: DataFrame) -> DataFrame:
     """0.7 for rows that mention one of the query's first capitalised words."""
     asked = queries.select("query_id", F.explode(F.slice(T.entities(F.col("text")), 1, 3)).alias("entity"))
-    held = memories.select("id", F.explode(T.entities(F.col("content"))).alias("entity"))
+    names = F.col("_names") if "_names" in memories.columns else T.entities(F.col("content"))
+    held = memories.select("id", F.explode(names).alias("entity"))
     return held.join(asked, "entity").groupBy("query_id", "id").agg(F.lit(0.7).alias("score"))
 
 
@@ -57,7 +58,8 @@ def recalled(memories: DataFrame, queries: DataFrame, paths: dict[str, Path], ca
 
 def search(memories: DataFrame, queries: DataFrame, config: Config = Config(), paths: dict[str, Path] | None = None) -> DataFrame:
     """Rows (query_id, id, score, rank): fused by reciprocal ranks, weighed by importance, and made diverse."""
-    fused = S.reciprocal_rank_fusion(recalled(memories, queries, paths or PATHS, config.candidates), weights=config.weights)
+    found = recalled(memories, queries, paths, config.candidates) if paths else recalled(S.indexed(memories), queries, PATHS, config.candidates)
+    fused = S.reciprocal_rank_fusion(found, weights=config.weights)
     timed = config.now is not None and "created_at" in memories.columns
     rows = fused.join(memories.select("id", "importance", "content", *(["created_at"] if timed else [])), "id")
     if config.min_importance is not None:

@@ -265,3 +265,17 @@ def test_splits_settings_and_recency(spark):
     got = [tuple(r) for r in rows.select(T.paragraphs(F.col("t")), T.spoken_turns(F.col("t"))).collect()]
     assert got[0] == (["a", "b"], ["a\n \n\tb"]) and got[1][1] == ["User: hi", "AI： yes\nno"] and got[2] == ([], ["  "])
     assert got[3][0] is None
+
+
+def test_percentiles_against_sorted_lists(spark):
+    from engramlake.operators import metrics
+
+    draw = random.Random(3)
+    rows = [(g, None if draw.random() < 0.1 else float(draw.randrange(40))) for g, n in (("a", 300), ("b", 30), (None, 50), ("c", 1)) for _ in range(n)] + [("d", None)]
+    got = {r.g: (r.n, r.low, r.high, r.p50, r.p95, r.p99) for r in metrics.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    for g in {r[0] for r in rows}:
+        all_, v = [r for r in rows if r[0] == g], sorted(r[1] for r in rows if r[0] == g and r[1] is not None)
+        n, high = len(all_), v[-1] if v else None
+        at = lambda q: v[int(n * q)] if int(n * q) < len(v) else None
+        assert got[g] == (n, v[0] if v else None, high, at(0.5), at(0.95) if n >= 20 else high, at(0.99) if n >= 100 else high)
+    assert metrics.percentiles(spark.createDataFrame([], "g string, v double"), "g", "v").count() == 0
