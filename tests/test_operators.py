@@ -279,3 +279,44 @@ def test_percentiles_against_sorted_lists(spark):
         at = lambda q: v[int(n * q)] if int(n * q) < len(v) else None
         assert got[g] == (n, v[0] if v else None, high, at(0.5), at(0.95) if n >= 20 else high, at(0.99) if n >= 100 else high)
     assert metrics.percentiles(spark.createDataFrame([], "g string, v double"), "g", "v").count() == 0
+
+
+def _vector_rows():
+    chance = random.Random(11)
+    rows = [(i, [chance.gauss(0, 1) for _ in range(6)]) for i in range(700)]
+    rows += [(700 + i, rows[3][1]) for i in range(40)]  # equal scores go to the smaller id
+    return rows + [(800, None), (801, [0.0] * 6), (802, [1.0, 2.0]), (803, [None] + [1.0] * 5)]
+
+
+def _best(rows, asked, k, measure):
+    """Brute force: unlike lengths and zero vectors have cosine 0, nulls come last."""
+    out = {}
+    for q, v in asked:
+        found = []
+        for i, w in rows:
+            if w is None or (None in w and len(w) == len(v)) or (measure == "dot" and len(w) != len(v)):
+                found.append((float("inf"), i, None))
+                continue
+            s = sum(x * y for x, y in zip(v, w, strict=False) if y is not None) if len(v) == len(w) else 0.0
+            if measure == "cosine":
+                scale = sum(x * x for x in v) ** 0.5 * sum(x * x for x in w if x is not None) ** 0.5
+                s = s / scale if scale and len(v) == len(w) else 0.0
+            found.append((-round(s, 6), i, round(s, 6)))
+        out[q] = [(i, s) for _, i, s in sorted(found)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("measure", ["cosine", "dot"])
+def test_nearest_by_blocks_is_brute_force(spark, measure):
+    rows = _vector_rows()
+    table = spark.createDataFrame(rows, "id bigint, v array<double>").repartition(3)
+    asked = [(q, rows[q][1]) for q in (0, 3, 50)]
+    found = search.nearest(table, spark.createDataFrame(asked, "query_id bigint, q array<double>"), 60, measure)
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().toString()) and "NestedLoop" not in plan  # pairs never are rows of Spark
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    want = _best(rows, asked, 60, measure)
+    assert got == {q: [(i, pytest.approx(s) if s is not None else None) for i, s in x] for q, x in want.items()}
+    every = search.nearest(table, spark.createDataFrame(asked, "query_id bigint, q array<double>"), len(rows), measure).orderBy("query_id", "rank").collect()
+    assert [(r.id, r.score is None) for r in every if r.query_id == 3] == [(i, s is None) for i, s in _best(rows, asked, len(rows), measure)[3]]
