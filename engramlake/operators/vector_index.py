@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.functions import vectors as V
-from engramlake.operators import search
+from engramlake.operators import search, vector_blocks
 
 
 def n_cells(n: int) -> int:
@@ -43,7 +45,20 @@ def indexed(vectors: DataFrame, model: KMeansModel) -> DataFrame:
 
 def nearest(index: DataFrame, queries: DataFrame, model: KMeansModel, k: int, probes: int) -> DataFrame:
     """The ``k`` best cosines of each query (query_id, q) among the vectors of its ``probes`` nearest cells."""
-    centres = queries.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "id int, v array<double>")
-    cells = search.nearest(centres, queries, probes).select("query_id", F.col("id").alias("cell"))
-    own = index.join(cells, "cell").join(queries, "query_id")
-    return search.ranked(own.select("query_id", "id", V.cosine(F.col("q"), F.col("v")).alias("score")), k)
+    centres = vector_blocks.Vectors(pa.array([[float(x) for x in c] for c in model.clusterCenters()], pa.list_(pa.float64()))).unit()
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.schema['id'].dataType.simpleString()}, score double"
+
+    def one(some: DataFrame) -> DataFrame:
+        ids, asked = search.collected(some)
+
+        def found(batches):
+            near, null = vector_blocks.scores(asked, centres, "cosine")
+            near = -np.round(near if null is None else np.where(null, -np.inf, near), vector_blocks.DIGITS)
+            # the smaller cell of equals
+            probed = np.zeros(near.shape, bool)
+            np.put_along_axis(probed, np.argsort(near, axis=1, kind="stable")[:, :probes], True, axis=1)
+            return vector_blocks.best(batches, ids, asked, k, "cosine", probed=probed)
+
+        return search.ranked(index.select("id", "v", "cell").mapInArrow(found, kinds), k)
+
+    return search.in_blocks(queries, one)

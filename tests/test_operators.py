@@ -320,3 +320,33 @@ def test_nearest_by_blocks_is_brute_force(spark, measure):
     assert got == {q: [(i, pytest.approx(s) if s is not None else None) for i, s in x] for q, x in want.items()}
     every = search.nearest(table, spark.createDataFrame(asked, "query_id bigint, q array<double>"), len(rows), measure).orderBy("query_id", "rank").collect()
     assert [(r.id, r.score is None) for r in every if r.query_id == 3] == [(i, s is None) for i, s in _best(rows, asked, len(rows), measure)[3]]
+
+
+def test_fine_ranks_of_all_pairs_without_a_join(spark):
+    rows = spark.createDataFrame([(i, v, i % 7 / 7) for i, v in _vector_rows()], "id bigint, v array<double>, score double")
+    asked = rows.where("id IN (0, 3, 50)").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    found = search.fine_ranked(rows, asked)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    got = {(r.query_id, r.id): r.score for r in found.collect()}
+    want = {(r.query_id, r.id): r.score for r in search.fine_rank(rows.crossJoin(asked)).collect()}
+    assert got == {k: pytest.approx(s, abs=1e-6) if s is not None else None for k, s in want.items()}
+
+
+def test_probed_cells_hold_exact_scores(spark):
+    from engramlake.operators import vector_index
+
+    rows = spark.createDataFrame(_vector_rows()[:740], "id bigint, v array<double>")
+    asked = rows.where("id IN (0, 3, 50)").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    model = vector_index.fit(rows, 9)
+    index = vector_index.indexed(rows, model)
+    found = vector_index.nearest(index, asked, model, 5, 3)
+    assert "SortMergeJoin" not in (text := found._jdf.queryExecution().toString()) and "HashJoin" not in text  # a query doesn't travel once for each cell
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, pytest.approx(r.score, abs=1e-6)))
+    cells = {r.id: r.cell for r in index.collect()}
+    vectors = dict(_vector_rows()[:740])
+    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    for q, mine in got.items():
+        probed = {i for i, _ in _best(centres, [(q, vectors[q])], 3, "cosine")[q]}
+        assert mine == _best([(i, v) for i, v in vectors.items() if cells[i] in probed], [(q, vectors[q])], 5, "cosine")[q]
