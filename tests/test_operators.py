@@ -350,3 +350,30 @@ def test_probed_cells_hold_exact_scores(spark):
     for q, mine in got.items():
         probed = {i for i, _ in _best(centres, [(q, vectors[q])], 3, "cosine")[q]}
         assert mine == _best([(i, v) for i, v in vectors.items() if cells[i] in probed], [(q, vectors[q])], 5, "cosine")[q]
+
+
+def test_best_by_fields_scores_one_row_of_equal_ones(spark):
+    chance = random.Random(12)
+    vocab = ["red", "blue", "ring", "bolt", "plate", "gear"]
+    rows = [(i, " ".join(chance.choice(vocab) for _ in range(3)) if i % 41 else None, chance.choice(["large", "small", ""])) for i in range(900)]
+    table = spark.createDataFrame(rows, "id bigint, name string, kind string")
+    asked = spark.createDataFrame([(i, n or "", k) for i, n, k in rows[::9]], "query_id bigint, name string, kind string").select("query_id", F.concat_ws(" ", "name", "kind").alias("text"))
+    fields = {"name": 2, "kind": 1}
+    found = search.best_by_fields(table, asked, fields, 10)
+    want = search.ranked(search.field_weighted(table, asked, fields), 10)
+    key = lambda rows: {(r.query_id, r["rank"]): (r.id, r.score) for r in rows.collect()}
+    assert key(found) == key(want)
+
+
+def test_shared_topics_compare_classes_only(spark):
+    chance = random.Random(13)
+    links = {(i, t) for i in range(90) for t in ([i % 4, 100 + i % 8] if i % 5 else [chance.randrange(6) for _ in range(3)])}
+    table = spark.createDataFrame([*links, (1000, None)], "id bigint, topic bigint")
+    found = dedup.shared_topics(table, 2, block=4)
+    got = sorted((r.a, r.b, r.shared, r.confidence) for r in found.collect())
+    own = {i: {t for j, t in links if j == i} for i, _ in links}
+    want = sorted((a, b, n, pytest.approx(min(0.5 + 0.1 * n, 0.9))) for a in own for b in own if a < b and (n := len(own[a] & own[b])) >= 2)
+    assert got == want
+    # pairs are made at the end, so none of them is grouped or dealt
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(ids_b") < plan.index("Aggregate")
