@@ -377,3 +377,39 @@ def test_shared_topics_compare_classes_only(spark):
     # pairs are made at the end, so none of them is grouped or dealt
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(ids_b") < plan.index("Aggregate")
+
+
+def test_node_codes_have_the_order_of_names(spark):
+    from engramlake.sources import tables as src
+
+    keys = [0, 1, 2, 10, 12, 19, 100, 999, 10**15, 10**16 - 1, -1, -10, 7, 70]
+    table = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    rows = [r for kind in "cops" for r in table.select(F.concat(F.lit(kind + ":"), F.col("k").cast("string")).alias("name"), src.node_code(kind, "k").alias("code")).collect()]
+    assert [r.name for r in sorted(rows, key=lambda r: r.code)] == sorted(r.name for r in rows)
+    back = spark.createDataFrame(rows, "name string, code bigint").select("name", src.node_name("code").alias("again")).collect()
+    assert all(r.name == r.again for r in back)
+
+
+def test_coded_graphs_give_what_names_give_and_leave_no_rounds_behind(spark, sf):
+    import os
+
+    from engramlake.plans import catalog
+    from engramlake.sources import tables as src
+
+    names = lambda rows, *columns: sorted(tuple(r[c] for c in columns) for r in rows.collect())
+    edges = src.edges(spark, sf)
+    assert names(catalog.QUERIES["l_components"](spark, sf), "node", "component") == names(graph.connected_components(edges), "node", "component")
+    left = set(os.listdir(folder := graph._folder(spark).removeprefix("file:") + "/tables"))
+    labels = catalog.QUERIES["l_label_propagation"](spark, sf)
+    assert len(set(os.listdir(folder)) - left) == 1  # before, each round left its table
+    want = {n: n for e in edges.where("type = 'SUPPLIED_BY'").collect() for n in (e.src, e.dst)}
+    around = {n: set() for n in want}
+    for e in edges.where("type = 'SUPPLIED_BY'").collect():
+        around[e.src].add(e.dst)
+        around[e.dst].add(e.src)
+    for _ in range(3):
+        votes = {n: [want[m] for m in near] for n, near in around.items()}
+        want = {n: min(set(v), key=lambda x: (-v.count(x), x)) for n, v in votes.items()}
+    assert names(labels, "node", "label") == sorted(want.items())
+    loose = spark.createDataFrame([(5, 5), (7, 3), (3, 2), (None, 9)], "src bigint, dst bigint")
+    assert names(graph.connected_components(loose), "node", "component") == [(2, 2), (3, 2), (5, 5), (7, 2), (9, 9)]
