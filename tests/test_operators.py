@@ -413,3 +413,17 @@ def test_coded_graphs_give_what_names_give_and_leave_no_rounds_behind(spark, sf)
     assert names(labels, "node", "label") == sorted(want.items())
     loose = spark.createDataFrame([(5, 5), (7, 3), (3, 2), (None, 9)], "src bigint, dst bigint")
     assert names(graph.connected_components(loose), "node", "component") == [(2, 2), (3, 2), (5, 5), (7, 2), (9, 9)]
+
+
+def test_store_scores_read_a_text_once_for_all_queries(spark):
+    rows = [(1, "The Quickness of foxes, brown-red"), (2, "QUICK brown"), (3, None), (4, ""), (5, "qu ick fox 狐狸"), (6, "x" * 70 + "fox")]
+    asked = [(1, "quick brown fox"), (2, "The fox"), (3, "a of"), (4, None), (5, "Fox 狐狸")]
+    found = search.store_score(spark.createDataFrame(rows, "id bigint, content string"), spark.createDataFrame(asked, "query_id bigint, text string"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # before, every text met every query
+    want = {}
+    for q, t in asked:
+        kws = [w for w in dict.fromkeys((t or "").lower().split()) if w.isascii() and len(w) > 2 and w not in T.STOPWORDS][:4]
+        for i, c in rows if kws else []:
+            if c is not None and (s := (t[:12].lower() in c.lower()) + 0.8 * sum(w in c.lower() for w in kws) / len(kws)):
+                want[q, i] = pytest.approx(s)
+    assert {(r.query_id, r.id): r.score for r in found.collect()} == want
