@@ -427,3 +427,52 @@ def test_store_scores_read_a_text_once_for_all_queries(spark):
             if c is not None and (s := (t[:12].lower() in c.lower()) + 0.8 * sum(w in c.lower() for w in kws) / len(kws)):
                 want[q, i] = pytest.approx(s)
     assert {(r.query_id, r.id): r.score for r in found.collect()} == want
+
+
+def _pairs_by_brute_force(sets, least):
+    own = {i: set(s) for i, s in sets if s}
+    found = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if a < b}
+    return {k: v for k, v in found.items() if v >= least}
+
+
+def test_set_pairs_against_brute_force(spark):
+    chance = random.Random(11)
+    sets = [(-1, []), (-2, None)]
+    for i in range(300):
+        own = chance.sample(range(400), chance.choice([1, 2, 5, 9, 20, 70, 150, 300]))
+        if i and chance.random() < 0.5:
+            own = list(chance.choice(sets)[1] or own)
+            for _ in range(chance.randrange(1, max(2, len(own) // 5))):
+                own[chance.randrange(len(own))] = chance.randrange(400)
+        sets.append((i, list(dict.fromkeys(own))))
+    table = spark.createDataFrame([(i, s and [f"w{x}" for x in s]) for i, s in sets], "id bigint, s array<string>")
+    for least in (0.1, 0.75, 1.0):
+        assert {(r.a, r.b): r.jaccard for r in dedup.set_pairs(table, least).collect()} == _pairs_by_brute_force(sets, least)
+
+
+def test_lsh_pairs_of_one_bucket_leave_the_sets_behind(spark):
+    # texts that share bands without being similar enough, and copies: what travels doesn't grow with the pairs of a bucket
+    chance = random.Random(12)
+    base = [chance.choice("abcdefghij ") for _ in range(600)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for at in chance.sample(range(600), 40):
+            own[at] = chance.choice("abcdefghij")
+        rows.append((i, "".join(own)))
+    rows += [(200, rows[0][1]), (201, ""), (202, None), (203, "é𝄞"), (204, "é𝄞")]
+    table = spark.createDataFrame(rows, "id bigint, content string")
+    pieces = lambda t: {t.strip().lower()[i : i + 3] for i in range(max(len(t.strip()) - 2, 1))}
+    exact = _pairs_by_brute_force([(i, pieces(t or "")) for i, t in rows], 0.85)
+    found = {(r.id, r.match): r.jaccard for r in dedup.lsh_pairs(table, table, 0.85).collect() if r.id < r.match}
+    assert found == {k: exact[k] for k in found} and {(0, 200), (201, 202), (203, 204)} <= set(found) and len(found) >= 0.95 * len(exact)
+    plan = dedup.lsh_pairs(table, table, 0.85)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "array_intersect" not in plan
+
+
+def test_three_stages_with_vectors_aside(spark):
+    rows = [(2, "Same text!", None), (1, "same  text", None), (3, "SAME TEXT", None), (4, "another thing", [1.0, 0.0]), (5, "far away words", [1.0, 0.05]), (6, None, None), (7, "elsewhere", [-1.0, 0.0]), (8, "x y z", [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "id bigint, content string, v array<double>")
+    new, known = table.where("id % 2 = 0"), table.where("id % 2 = 1")
+    for got in (dedup.three_stages(new, known), dedup.three_stages(new.drop("v"), known.drop("v"), vectors=(new.select("id", "v"), known.select("id", "v")))):
+        assert {r.id: (r.match, r.stage) for r in got.collect()} == {2: (1, "exact"), 4: (5, "cosine"), 6: (None, "new"), 8: (5, "new")}
