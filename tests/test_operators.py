@@ -476,3 +476,13 @@ def test_three_stages_with_vectors_aside(spark):
     new, known = table.where("id % 2 = 0"), table.where("id % 2 = 1")
     for got in (dedup.three_stages(new, known), dedup.three_stages(new.drop("v"), known.drop("v"), vectors=(new.select("id", "v"), known.select("id", "v")))):
         assert {r.id: (r.match, r.stage) for r in got.collect()} == {2: (1, "exact"), 4: (5, "cosine"), 6: (None, "new"), 8: (5, "new")}
+
+
+def test_event_pairs_count_common_names_without_joining_texts(spark):
+    words = "Anna Bell Carl met near the old harbour and spoke about nothing in particular that day".split()
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1] + ["night"])), (3, " ".join(reversed(words))), (4, " ".join(["anna", *words[1:-1], "night"])), (5, ""), (6, None)]
+    pairs = dedup.event_pairs(spark.createDataFrame(rows, "id bigint, content string"))
+    # 3 holds the words of 1 and 4 those of 2, in other cases or orders
+    assert {(r.a, r.b, round(r.similarity, 6), r.shared) for r in pairs.collect()} == {(1, 2, round(15 / 17, 6), 3)}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "array_union" not in plan
