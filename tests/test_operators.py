@@ -486,3 +486,10 @@ def test_event_pairs_count_common_names_without_joining_texts(spark):
     assert {(r.a, r.b, round(r.similarity, 6), r.shared) for r in pairs.collect()} == {(1, 2, round(15 / 17, 6), 3)}
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" in plan and "array_union" not in plan
+
+
+def test_word_pairs_stay_within_a_user(spark):
+    rows = [(1, "a b c d e", "u"), (2, "a b c d e f", "u"), (3, "a b c d e", "w"), (4, "a b c d e f", None), (5, "E d c b a", None)]
+    table = spark.createDataFrame(rows, "id bigint, content string, user_id string")
+    pairs = dedup.word_pairs(table, dedup.word_classes(table, "user_id"), 0.8, "user_id")
+    assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2), (4, 5)}
