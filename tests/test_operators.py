@@ -2,13 +2,16 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from engramlake.functions import text as T
 from engramlake.functions import times as TM
-from engramlake.operators import context, dedup, graph, quality, search, store, temporal
+from engramlake.operators import context, dedup, graph, quality, search, set_join, store, temporal
 from engramlake.streaming import ingest
 
 
@@ -493,3 +496,27 @@ def test_word_pairs_stay_within_a_user(spark):
     table = spark.createDataFrame(rows, "id bigint, content string, user_id string")
     pairs = dedup.word_pairs(table, dedup.word_classes(table, "user_id"), 0.8, "user_id")
     assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2), (4, 5)}
+
+
+def test_sets_travel_as_gaps_of_ranks_and_only_with_keys_that_meet(spark, monkeypatch):
+    chance = np.random.default_rng(13)
+    hashes = np.unique(chance.integers(0, 2**64, 30_000, np.uint64))
+    rank = chance.permutation(len(hashes) - 1000)
+    sets = [chance.choice(hashes, n, replace=False) for n in (1, 700, 9000, 9000, 25_000)] + [hashes[-500:]]
+    size, flat = np.array([len(s) for s in sets]), np.concatenate(sets)
+    parts = set_join._gaps(size, flat, hashes[:-1000], rank)
+    # before, a member took 8 bytes
+    assert sum(v.nbytes for _, v in parts) < 2 * len(flat)
+    opened = set_join._Opened(*[np.split(v, np.cumsum(n)[:-1]) for n, v in parts])
+    a, b = np.triu_indices(6, 1)
+    assert opened.size.tolist() == size.tolist() and opened.shared(a, b).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)]
+    # of known sets only those with a band of a new one are dealt
+    rows = pa.RecordBatch.from_pydict({"id": [1, 2], "side": pa.array([2, 2], pa.int8()), "h": [s.view(np.int64).tolist() for s in sets[1:3]]})
+    known = SimpleNamespace(value=np.unique(dedup.bands(size[2:3], sets[2])[1]))
+    came = set_join._Sets(set_join._dealt(4, dedup.bands, known)([rows]))
+    assert set(came.ident.tolist()) == {2}
+    # blocks in several passes give the same pairs
+    words = [(i, [f"w{x}" for x in range(i % 7, 60 + i % 11)]) for i in range(60)]
+    table = spark.createDataFrame(words, "id bigint, s array<string>")
+    monkeypatch.setattr(set_join, "DISK", 1)
+    assert {(r.a, r.b): r.jaccard for r in dedup.set_pairs(table, 0.9).collect()} == _pairs_by_brute_force(words, 0.9)
