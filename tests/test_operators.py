@@ -520,3 +520,25 @@ def test_sets_travel_as_gaps_of_ranks_and_only_with_keys_that_meet(spark, monkey
     table = spark.createDataFrame(words, "id bigint, s array<string>")
     monkeypatch.setattr(set_join, "DISK", 1)
     assert {(r.a, r.b): r.jaccard for r in dedup.set_pairs(table, 0.9).collect()} == _pairs_by_brute_force(words, 0.9)
+
+
+def test_sets_are_dealt_in_passes_over_the_keys(spark, monkeypatch):
+    chance = random.Random(14)
+    base = [f"w{x}" for x in range(90)]
+    words = [(i, [*chance.sample(base, 80), f"own{i}"]) for i in range(150)]
+    sets = [np.unique(np.array([hash((13, w)) & (2**63 - 1) for w in s], np.uint64)) for _, s in words]
+    rows = pa.RecordBatch.from_pydict({"id": list(range(150)), "side": pa.array([0] * 150, pa.int8()), "h": [s.view(np.int64).tolist() for s in sets]})
+    keys = set_join._rarest(0.75, SimpleNamespace(value=(np.empty(0, np.uint64), np.empty(0, np.uint64))))
+    whole, *passes = (sum(x.nbytes for x in set_join._dealt(16, keys, None, only)([rows])) for only in ((1, 0), *((4, k) for k in range(4))))
+    # before, all sets went to all tasks of their keys at once
+    assert max(passes) < 0.5 * whole and sum(passes) < 1.5 * whole
+    # twice the sets have at most about twice the bytes on the disk at once: more parts come with more passes
+    for n in (240_000, 480_000, 2_880_000):
+        parts, many = set_join._planned({9: (n, 330 * n)}, 0.75, 200)
+        assert n * (77 * parts * (1 - (1 - 1 / parts) ** 83) + 12 * 83) / many < 16 * 330 * n
+    monkeypatch.setattr(set_join, "SHARE", 0)
+    monkeypatch.setattr(set_join, "DISK", 20_000)
+    classes = {7: (150, 150 * 81)}
+    assert set_join._planned(classes, 0.75, 4)[1] > 1
+    table = spark.createDataFrame(words, "id bigint, s array<string>")
+    assert {(r.a, r.b): r.jaccard for r in dedup.set_pairs(table, 0.75).collect()} == _pairs_by_brute_force(words, 0.75)
