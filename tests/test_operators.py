@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import text as T
 from engramlake.functions import times as TM
-from engramlake.operators import context, dedup, graph, quality, search, set_join, store, temporal
+from engramlake.operators import context, dedup, graph, lifecycle, quality, search, set_join, store, temporal
 from engramlake.streaming import ingest
 
 
@@ -542,3 +542,22 @@ def test_sets_are_dealt_in_passes_over_the_keys(spark, monkeypatch):
     assert set_join._planned(classes, 0.75, 4)[1] > 1
     table = spark.createDataFrame(words, "id bigint, s array<string>")
     assert {(r.a, r.b): r.jaccard for r in dedup.set_pairs(table, 0.75).collect()} == _pairs_by_brute_force(words, 0.75)
+
+
+def test_event_chains_follow_links_of_several_passes(spark, monkeypatch):
+    chance = random.Random(15)
+    rows = [(i, " ".join([f"Abcd Efgh Ijkl w{i // 40}", *(f"v{x}" for x in range(i // 2, i // 2 + 30) if chance.random() < 0.99)])) for i in range(80)]
+    rows += [(80, rows[7][1]), (81, ""), (82, None)]
+    own = {i: w for w, i in {_words(t): i for i, t in reversed(rows[:-3])}.items()}  # one row of each set
+    steps = {i: {j for j in own if i < j and _jaccard(own[i], own[j]) >= 0.75} for i in own}
+    want = {(str(i), str(i)): 0 for i in (0, 50, 80)}
+    for s in (0, 50):
+        front = {s}
+        for d in range(1, 6):
+            front = {j for i in front for j in steps[i] if (str(s), str(j)) not in want}
+            want |= {(str(s), str(j)): d for j in front}
+    monkeypatch.setattr(set_join, "SHARE", 0)
+    monkeypatch.setattr(set_join, "DISK", 8000)
+    links = dedup.event_links(dedup.event_pairs(spark.createDataFrame(rows, "id bigint, content string")))
+    starts = spark.createDataFrame([("0",), ("50",), ("80",)], "start string")
+    assert len(want) > 20 and {(r.start, r.node): r.depth for r in lifecycle.event_chain(links, starts, 5).collect()} == want
