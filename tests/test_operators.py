@@ -561,3 +561,16 @@ def test_event_chains_follow_links_of_several_passes(spark, monkeypatch):
     links = dedup.event_links(dedup.event_pairs(spark.createDataFrame(rows, "id bigint, content string")))
     starts = spark.createDataFrame([("0",), ("50",), ("80",)], "start string")
     assert len(want) > 20 and {(r.start, r.node): r.depth for r in lifecycle.event_chain(links, starts, 5).collect()} == want
+
+
+def test_leader_clusters_by_several_passes(spark, monkeypatch):
+    chance = random.Random(16)
+    rows = [(i, " ".join(f"w{x}" for x in chance.sample(range(i % 4 * 30, i % 4 * 30 + 23), 21)), f"u{i % 3}") for i in range(90)]
+    table = spark.createDataFrame(rows, "id bigint, content string, user_id string")
+    monkeypatch.setattr(set_join, "SHARE", 0)
+    monkeypatch.setattr(set_join, "DISK", 4000)
+    got, want, leaders = {r.id: r.leader for r in dedup.leader_clusters(table).collect()}, {}, []
+    for i, t, u in rows:
+        want[i] = next((j for j, w, v in leaders if v == u and _jaccard(w, _words(t)) >= 0.8), i)
+        leaders += [(i, _words(t), u)] if want[i] == i else []
+    assert got == want and 12 <= len(set(want.values())) < 90
