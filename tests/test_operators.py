@@ -574,3 +574,10 @@ def test_leader_clusters_by_several_passes(spark, monkeypatch):
         want[i] = next((j for j, w, v in leaders if v == u and _jaccard(w, _words(t)) >= 0.8), i)
         leaders += [(i, _words(t), u)] if want[i] == i else []
     assert got == want and 12 <= len(set(want.values())) < 90
+
+
+def test_each_task_gets_one_part_of_the_keys(spark):
+    labels = set_join._labels(spark, 37)
+    rows = spark.createDataFrame([(int(x),) for x in labels], "part int").repartition(37, "part")
+    # before, parts were dealt by the hash of their number, and some tasks got several
+    assert {r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()} == {1} and len(set(labels.tolist())) == 37
