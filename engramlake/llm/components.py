@@ -1,4 +1,4 @@
-"""Distributed union-find: connected components by large-star and small-star rounds."""
+"""Distributed union-find: stars of each task's edges; what doesn't fit one task goes on in large-star and small-star rounds."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.llm import store as S
+from engramlake.operators import graph
+
+#: So many edges are joined at once, in bounded memory; fewer need no rounds.
+HELD = 1 << 21
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -15,11 +19,20 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (node, root) of every node of ``edges`` (two bigint columns a, b): root is the least node reachable.
 
-    Loops and repeated edges don't matter; null ends are left out. Each round hooks every node's larger
-    neighbours, then its smaller ones, to its least neighbour and is written to the shared folder, so
+    Loops and repeated edges don't matter; null ends are left out. Tasks first replace their edges by stars, a row for each node. If those
+    are fewer than HELD, one task joins them, without a plan of joins for each round, all of which the driver would hold. Else each
+    round hooks every node's larger neighbours, then its smaller ones, to its least neighbour and is written to the shared folder, so
     a lost executor never costs earlier rounds. Rounds needed grow with the logarithm of the nodes.
     """
-    edges = S.written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), small=True)
+    most = HELD
+    stars = S.lean(lambda batches: graph.forests(batches, most))
+    own = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    parts = S.written(own.mapInArrow(stars, "a bigint, b bigint"), small=True)
+    few = parts.count() < most
+    edges = S.written(parts.coalesce(1).mapInArrow(stars, "a bigint, b bigint") if few else parts.distinct(), small=True)
+    S.dropped(parts)
+    if few:
+        return _with_roots(edges)
     mark = _mark(edges)
     for _ in range(rounds):
         if not mark[0]:
@@ -37,4 +50,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+    return _with_roots(edges)
+
+
+def _with_roots(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from engramlake.llm import chat_format, decontaminate, kernels, line_dedup, ngram_join, order_minhash, packing, queries, recompression, store, suffix_dedup, token_counts, toxicity
+from engramlake.llm import chat_format, components, decontaminate, kernels, line_dedup, ngram_join, order_minhash, packing, queries, recompression, store, suffix_dedup, token_counts, toxicity
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", None, " ", "\n\n", "a", "word", "naïve café — 日本語 текст 🎉", "<|endoftext|> inside <|endoftext|>", "x" * 3000, "a b " * 200, "don't   stop\t\tnow\r\n"]
@@ -593,3 +593,28 @@ def test_sql(spark, sf):
         columns = sorted(rows.columns)
         assert columns == sorted(expected.columns)
         assert sorted(map(tuple, rows[columns].astype(str).values)) == sorted(map(tuple, expected[columns].astype(str).values))
+
+
+def test_components_take_no_rounds_where_one_task_can_join_them(spark, monkeypatch):
+    chance = np.random.default_rng(21)
+    # chains, stars and what joins them; loops, repeated and null ends
+    pairs = [(int(a), int(b)) for a, b in chance.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7), (2000, 2001), (2001, 2000), (None, 3), (-5, 4)]
+    root = {x: x for p in pairs if None not in p and p[0] != p[1] for x in p}
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+
+    for a, b in pairs:
+        if a in root and b in root and a != b:
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    want = sorted((x, top(x)) for x in root)
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(5)
+    jobs = spark.sparkContext.statusTracker()
+    for most, rounds in ((1 << 21, False), (40, True)):
+        monkeypatch.setattr(components, "HELD", most)
+        spark.sparkContext.setJobGroup(f"components {most}", "")
+        assert sorted((r.node, r.root) for r in components.components(edges).collect()) == want
+        # before, each round was a plan of joins and a count of its own
+        assert (len(jobs.getJobIdsForGroup(f"components {most}")) > 12) == rounds
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
