@@ -1,5 +1,6 @@
 """Operators against hand-computed values."""
 
+import collections
 import random
 from datetime import datetime, timedelta
 from types import SimpleNamespace
@@ -581,3 +582,33 @@ def test_each_task_gets_one_part_of_the_keys(spark):
     rows = spark.createDataFrame([(int(x),) for x in labels], "part int").repartition(37, "part")
     # before, parts were dealt by the hash of their number, and some tasks got several
     assert {r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()} == {1} and len(set(labels.tolist())) == 37
+
+
+def test_sets_go_to_the_tasks_of_their_scope_only(spark, monkeypatch):
+    chance = random.Random(22)
+    # one large user, some small ones, and one of null; similar sets within users and across
+    users = ["u0"] * 60 + [f"u{1 + i % 9}" for i in range(54)] + [None] * 6
+    rows = [(i, " ".join(f"w{x}" for x in chance.sample(range(i % 5 * 30, i % 5 * 30 + 23), 21)), u) for i, u in enumerate(users)]
+    h = np.random.default_rng(23).integers(0, 1 << 63, (120, 30), dtype=np.int64)
+    u = np.array([hash(str(x)) for x in users], np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120), pa.int64()), pa.array(np.zeros(120, np.int8)), pa.array(u), pa.array(list(h), pa.list_(pa.int64()))], ["id", "side", "u", "h"])
+    counted = pa.Table.from_batches(list(set_join._counts([batch]))).to_pylist()
+    classes, scopes = ({r[k]: (r["c"], r["m"]) for r in counted if own(r)} for k, own in (("kind", lambda r: r["t"] is None), ("t", lambda r: r["kind"] == -1)))
+    assert sorted(scopes.values()) == sorted((n, 30 * n) for n in collections.Counter(users).values())
+    keys = set_join._rarest(0.2, SimpleNamespace(value=(np.empty(0, np.uint64), np.empty(0, np.uint64))))
+    # one scope without a range of its own
+    scopes.pop(int(u[-1]))
+    places = set_join._places(scopes, classes, 0.2)
+    before, after = (set_join._dealt(40, keys, places=p) for p in (None, places))
+    copies = [sum(set_join._Sets([b.slice(i, 1)]).n for b in f([batch]) for i in range(b.num_rows)) for f in (before, after)]
+    # before, a set of 25 keys went to 19 of 40 tasks; a small user's has a range of 2
+    assert copies[1] < copies[0] / 1.5 and set_join._planned(classes, 0.2, 40, places[2])[0] <= set_join._planned(classes, 0.2, 40)[0]
+    met = [set_join._Sets([b]) for b in pa.Table.from_batches(list(after([batch]))).to_batches()]
+    assert sum(len(s.key) for s in met) == sum(len(s.key) for s in [set_join._Sets([b]) for b in before([batch])])
+    monkeypatch.setattr(set_join, "TASK", 300)
+    monkeypatch.setattr(set_join, "SCOPES", 4)
+    got, want, leaders = {r.id: r.leader for r in dedup.leader_clusters(spark.createDataFrame(rows, "id bigint, content string, user_id string")).collect()}, {}, []
+    for i, t, u in rows:
+        want[i] = next((j for j, w, v in leaders if v == u and _jaccard(w, _words(t)) >= 0.8), i)
+        leaders += [(i, _words(t), u)] if want[i] == i else []
+    assert got == want and 12 <= len(set(want.values())) < 120
