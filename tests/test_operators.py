@@ -383,6 +383,23 @@ def test_shared_topics_compare_classes_only(spark):
     assert plan.index("Generate explode(ids_b") < plan.index("Aggregate")
 
 
+def test_shared_topics_explode_blocks_apart(spark):
+    import re
+
+    table = spark.createDataFrame([(i, t) for i in range(40) for t in (i % 2, 100 + i % 4)], "id bigint, topic bigint")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = dedup.shared_topics(table, 2, block=4)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 4 * 45 == found.distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    # stages of generated code hold all that they make of a row: a memory's pairs with a block, not those of two blocks
+    stages = re.findall(r"(\*\(\d+\) )?Generate explode\(\S*ids_[ab]", plan)
+    assert len(stages) == 2 and stages[0] != stages[1]
+
+
 def test_node_codes_have_the_order_of_names(spark):
     from engramlake.sources import tables as src
 
